@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Query name and the module whose ``query(spark, sf_dir)`` runs it.
 MODULES = {
+    "op4_repetition_rules": "quality",
+    "op5_toxicity": "toxicity",
+    "op7_ngram_jaccard_join": "ngram_join",
     "op2_best_fit_packing": "packing",
     "op6_exact_dedup": "exact_dedup",
     "op10_source_mixing": "mixing",
