@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Query name and the module whose ``query(spark, sf_dir)`` runs it.
 MODULES = {
+    "op1_substring_dedup": "substring_dedup",
     "op4_repetition_rules": "quality",
     "op5_toxicity": "toxicity",
     "op7_ngram_jaccard_join": "ngram_join",

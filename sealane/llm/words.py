@@ -122,3 +122,31 @@ def ngrams(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
     sums = np.zeros(len(w.hash) + 1, U)
     np.cumsum(w.hash * up[:-1], out=sums[1:])
     return at, mix((sums[at + n] - sums[at]) * down[at] + U(n))
+
+
+_others = _Powers(U(0xA24BAED4963EE407))
+
+
+class Spans:
+    """128-bit hashes of runs of words of a chunk, from running sums."""
+
+    def __init__(self, w: Words) -> None:
+        self.sums = []
+        for powers, values in ((_words, w.hash), (_others, mix(w.hash ^ U(0x5851F42D4C957F2D)))):
+            up, down = powers.get(len(values) + 1)
+            sums = np.zeros(len(values) + 1, U)
+            np.cumsum(values * up[:-1], out=sums[1:])
+            self.sums.append((sums, down))
+
+    def get(self, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        one, two = (mix((sums[end] - sums[start]) * down[start] + (end - start).astype(U)) for sums, down in self.sums)
+        return one, two
+
+
+def sliding_min(x: np.ndarray, n: int) -> np.ndarray:
+    """Minimum of each n neighbours."""
+    width = 1
+    while width * 2 <= n:
+        x = np.minimum(x[:-width], x[width:])
+        width *= 2
+    return np.minimum(x[: len(x) - (n - width)], x[n - width :]) if n > width else x
