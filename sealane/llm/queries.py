@@ -13,6 +13,7 @@ MODULES = {
     "op4_repetition_rules": "quality",
     "op5_toxicity": "toxicity",
     "op7_ngram_jaccard_join": "ngram_join",
+    "op9_license_scan": "licenses",
     "op2_best_fit_packing": "packing",
     "op6_exact_dedup": "exact_dedup",
     "op10_source_mixing": "mixing",

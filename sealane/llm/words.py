@@ -98,12 +98,12 @@ def span_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarra
     return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(U) * _STEP)
 
 
-def words(chunk: Chunk, data: np.ndarray | None = None, sums: np.ndarray | None = None) -> Words:
-    """Maximal runs of bytes other than ASCII white space, within each text."""
+def words(chunk: Chunk, data: np.ndarray | None = None, sums: np.ndarray | None = None, between: np.ndarray = _SPACE) -> Words:
+    """Maximal runs of bytes other than ASCII white space (or those marked in ``between``), within each text."""
     data = chunk.data if data is None else data
     n = len(data)
     space = np.ones(n + 2, bool)
-    space[1:-1] = _SPACE[data]
+    space[1:-1] = between[data]
     edge = np.zeros(n + 1, bool)
     edge[chunk.bounds] = True
     word = ~space[1:-1]
