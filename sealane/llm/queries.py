@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 #: Query name and the module whose ``query(spark, sf_dir)`` runs it.
 MODULES = {
     "op1_substring_dedup": "substring_dedup",
+    "op3_secret_scan": "secrets_scan",
+    "op8_pii_scan": "pii",
     "op4_repetition_rules": "quality",
     "op5_toxicity": "toxicity",
     "op7_ngram_jaccard_join": "ngram_join",
