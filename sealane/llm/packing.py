@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,46 +20,70 @@ END_ID = 2
 #: Pieces that one task packs, on average.
 SHARD = 60_000
 #: Chunks of text whose ids a Python worker remembers; when full, it starts anew.
-MOST_REMEMBERED = 600_000
+MOST_REMEMBERED = 1_000_000
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _PLACED = _PIECES + ", sequence_id long, offset long"
 
 
+#: How byte-level BPE writes the bytes: printable ones as themselves, others from U+0100 on.
+_PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_AS_WRITTEN = {byte: chr(0x100 + k) for k, byte in enumerate(b for b in range(256) if b not in _PRINTABLE)}
+
+
 class ChunkEncoder:
     """Ids of whole texts, as little-endian uint32 bytes, with each distinct chunk encoded once.
 
     Byte-level BPE first cuts a text into pre-tokens and no merge crosses them.  Before a space
     that a non-space follows there is always such a cut, so a text's ids are the ids of its chunks
     between those places.  Texts in which a space is followed by other white space, or ends the
-    text, are encoded in one go.
+    text, are encoded in one go.  A chunk of Latin letters and signs after them is two pre-tokens;
+    other chunks are left to the tokenizer's own rule.
     """
 
     uneven = re.compile(r" \s| \Z")
+    plain = re.compile(r"( ?[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]+)([!-&(-/:-@\[-`{-~]*)")
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.known: dict[str, bytes] = {}
+        self._cut, self._merge = self.tokenizer.pre_tokenizer.pre_tokenize_str, self.tokenizer.model.tokenize
+        self.chunks, self.parts = _Remembered(self._chunk), _Remembered(self._part)
 
-    def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _part(self, written: str) -> bytes:
+        return array("I", [t.id for t in self._merge(written)]).tobytes()
+
+    def _chunk(self, key: str) -> bytes:
+        text = key[1:] if key[:1] == " " else " " + key
+        if match := self.plain.fullmatch(text):
+            cut = [part.replace(" ", "\u0120") if part.isascii() else part.encode().decode("latin-1").translate(_AS_WRITTEN) for part in match.groups() if part]
+        else:
+            cut = [part for part, _ in self._cut(text)]
+        return b"".join([self.parts[part] for part in cut])
 
     def encode(self, text: str) -> bytes:
         if self.uneven.search(text):
-            return self.whole([text])[0]
-        known, chunks = self.known, text.split(" ")
-        # The first chunk has no space before it; it is kept apart under a key no chunk can have.
-        keys = [" " + chunks[0], *chunks[1:]]
-        new = [k for k in dict.fromkeys(keys) if k not in known]
-        if new:
-            if len(known) + len(new) > MOST_REMEMBERED:
-                known.clear()
-                new = list(dict.fromkeys(keys))
-            known.update(zip(new, self.whole([k[1:] if k[:1] == " " else " " + k for k in new]), strict=True))
-        return b"".join([known[k] for k in keys])
+            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        keys = text.split(" ")
+        # The first chunk has no space before it; it is kept apart under a key no other chunk has.
+        keys[0] = " " + keys[0]
+        return b"".join(map(self.chunks.__getitem__, keys))
+
+
+class _Remembered(dict):
+    """Results of a function by its argument, up to MOST_REMEMBERED."""
+
+    def __init__(self, function) -> None:
+        super().__init__()
+        self.function = function
+
+    def __missing__(self, key: str) -> bytes:
+        if len(self) >= MOST_REMEMBERED:
+            self.clear()
+        self[key] = found = self.function(key)
+        return found
 
 
 _encoders: dict[str, ChunkEncoder] = {}  # a worker is used for many tasks
