@@ -16,9 +16,9 @@ from sealane.llm.common import documents, labels
 from sealane.llm.words import Chunk, Words, chunks, words
 
 #: The model is fitted on so many labelled texts at most, of up to so many characters each.
-MOST_TOXIC, MOST_CLEAN, LONGEST_LABELLED = 3_000, 6_000, 400_000
+MOST_TOXIC, MOST_CLEAN, LONGEST_LABELLED = 1_500, 2_500, 100_000
 #: Evidence of a word counts from so many toxic texts on; weight of the prior in texts.
-LEAST_SUPPORT, PRIOR = 3, 2.0
+LEAST_SUPPORT, PRIOR = 5, 2.0
 MOST_REMEMBERED = 500_000
 
 # ---- Character language model: trigrams over a-z, one class for all other letters, and a break.
@@ -229,7 +229,7 @@ def score(model: Model, evidence: list[float]) -> float:
 
 def _evidence(keys: np.ndarray, toxic: np.ndarray, n_toxic: int, n_clean: int) -> dict[int, float]:
     """Smoothed log odds of a feature in toxic texts, where it is positive and has support."""
-    some, first, total = np.unique(keys, return_index=True, return_counts=True)
+    some, total = np.unique(keys, return_counts=True)
     at = np.searchsorted(some, keys[toxic])
     a = np.bincount(at, minlength=len(some))
     ratio = n_toxic / max(n_clean, 1)
@@ -299,7 +299,7 @@ def train(docs: DataFrame, marks: DataFrame, lm_var) -> Model:
 
     half = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(2)).cast("int").alias("half")
     rows = sample.select("text", "toxic", half).mapInArrow(run, "toxic int, half int, keys binary").dropDuplicates(["keys"]).collect()
-    rows.sort(key=lambda r: bytes(r[2]))
+    rows.sort(key=lambda r: r[2])
     return fit([np.frombuffer(r[2], np.int64) for r in rows], np.asarray([r[0] == 1 for r in rows], bool), np.asarray([r[1] for r in rows], np.int64))
 
 
