@@ -67,11 +67,11 @@ def stream_positions(parsed: DataFrame) -> DataFrame:
 
 def stream_static(parsed: DataFrame) -> DataFrame:
     s, meta = F.col("Message.ShipStaticData"), F.col("MetaData")
-    eta = F.when(s["Eta.Month"] > 0, F.format_string("%02d-%02d %02d:%02d", s["Eta.Month"], s["Eta.Day"], s["Eta.Hour"], s["Eta.Minute"]))
+    eta = F.when(s["Eta"]["Month"] > 0, F.format_string("%02d-%02d %02d:%02d", s["Eta"]["Month"], s["Eta"]["Day"], s["Eta"]["Hour"], s["Eta"]["Minute"]))
     rows = parsed.where("MessageType = 'ShipStaticData'").select(
         F.coalesce(meta["MMSI"], s["UserID"]).alias("mmsi"), F.when(s["ImoNumber"] != 0, s["ImoNumber"].cast("string")).alias("imo"), ais.clean_text(s["CallSign"]).alias("callsign"), F.coalesce(ais.clean_text(s["Name"]), ais.clean_text(meta["ShipName"])).alias("name"),
         ais.ship_type(s["Type"]).alias("ship_type"), ais.cargo_hazard(s["Type"]).alias("cargo_type"), ais.clean_text(s["Destination"]).alias("destination"), eta.alias("eta"), F.lit("stream").alias("source"),
-        ais.dimension(s["Dimension.A"], s["Dimension.B"]).alias("length"), ais.dimension(s["Dimension.C"], s["Dimension.D"]).alias("width"), F.when(s["MaximumStaticDraught"] != 0, s["MaximumStaticDraught"]).alias("draught"), ais.go_time(meta["time_utc"]).alias("_at"),
+        ais.dimension(s["Dimension"]["A"], s["Dimension"]["B"]).alias("length"), ais.dimension(s["Dimension"]["C"], s["Dimension"]["D"]).alias("width"), F.when(s["MaximumStaticDraught"] != 0, s["MaximumStaticDraught"]).alias("draught"), ais.go_time(meta["time_utc"]).alias("_at"),
     )
     return last_values(rows, "_at", [*STATIC_TEXT, "source", "length", "width", "draught"])
 
