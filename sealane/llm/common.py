@@ -54,6 +54,8 @@ def lookup(left: DataFrame, right: DataFrame, on: list[str], size: str, total: i
     """
     least = max(2, -(-total // HOT_SHARE))
     hot = right.where(F.col(size) >= least)
+    if hot.isEmpty():
+        return left.join(right, on, how).select(*left.columns, *[c for c in right.columns if c not in on])
     marked = left.join(F.broadcast(hot.select(*on, F.struct(*[c for c in right.columns if c not in on]).alias("_hot"))), on, "left")
     rest = [c for c in right.columns if c not in on]
     found = marked.where(F.col("_hot").isNotNull()).select(*left.columns, *[F.col(f"_hot.{c}").alias(c) for c in rest])
@@ -64,28 +66,18 @@ def lookup(left: DataFrame, right: DataFrame, on: list[str], size: str, total: i
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, root): for every node of ``links(a, b)`` the smallest node that it reaches.
 
-    Alternates between hooking the larger of two neighbouring roots to the smaller one and
-    shortening the paths, all as joins; it ends when no edge joins two roots.  Edges between nodes
-    that already share a root are dropped on the way, so the work shrinks in each round.
+    In each round a node takes the smallest label among its own and its neighbours', and then the
+    label of the node which that label names, so labels travel in growing steps.  It ends after the
+    first round in which no label changes.
     """
-    edges = durable(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct())
-    parent = durable(edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct().select("node", F.col("node").alias("root")))
+    both = durable(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a != b").distinct())
+    labels = durable(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")))
     for _ in range(most_rounds):
-        root_a = parent.select(F.col("node").alias("a"), F.col("root").alias("ra"))
-        root_b = parent.select(F.col("node").alias("b"), F.col("root").alias("rb"))
-        edges = durable(
-            edges.join(root_a, "a").join(root_b, "b").where("ra != rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
-        )
-        if edges.isEmpty():
-            return parent
-        # Chains among the hooks are flattened on the small table of hooks alone.
-        hooks = durable(edges.groupBy("b").agg(F.min("a").alias("to")))
-        while True:
-            up = hooks.select(F.col("b").alias("to"), F.col("to").alias("next"))
-            jumped = durable(hooks.join(up, "to", "left").select("b", F.coalesce("next", "to").alias("to"), F.col("next").isNotNull().alias("moved")))
-            hooks = jumped.drop("moved")
-            if jumped.where("moved").isEmpty():
-                break
-        moved = hooks.select(F.col("b").alias("root"), "to")
-        parent = durable(parent.join(moved, "root", "left").select("node", F.coalesce("to", "root").alias("root")))
+        heard = both.join(labels.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("heard"))
+        near = labels.join(heard, "node").select("node", "root", F.least("root", "heard").alias("to"))
+        far = labels.select(F.col("node").alias("to"), F.col("root").alias("beyond"))
+        moved = durable(near.join(far, "to").select("node", F.least("to", "beyond").alias("root"), (F.col("beyond") != F.col("root")).alias("changed")))
+        labels = moved.select("node", "root")
+        if moved.where("changed").isEmpty():
+            return labels
     raise RuntimeError(f"components were still merging after {most_rounds} rounds")

@@ -19,10 +19,14 @@ PERCENT = 90
 #: Shingles found in more of a prefix index's sets than this are indexed in pairs.
 FREQUENT = 32
 #: Largest number of frequent shingles in one prefix that are paired; beyond it they stay single.
-MOST_PAIRED = 48
+MOST_PAIRED = 12
 #: At most so many shingles are set back to the end of the order, as the most widespread ones.
 MOST_BACK = 1 << 20
-LEAST_BACK = 64
+#: Ids of the documents whose sets are verified are broadcast up to this number, else joined by shuffle.
+BROADCAST_IDS = 500_000
+LEAST_BACK = 16
+#: Shingles that a task counts together when it looks for widespread ones.
+COUNTED_AT_ONCE = 2_000_000
 
 
 def shingle_sets(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
@@ -65,58 +69,86 @@ def nodes(docs: DataFrame) -> DataFrame:
 def widespread(docs: DataFrame, n_shingles: int) -> np.ndarray:
     """Sorted hashes of the most widespread shingles, MOST_BACK at most.
 
-    Every batch of every task counts all shingles of its texts and reports those that several of
-    its texts share; their sums over the whole table decide.  A reported sum of at least
+    Every task counts all shingles of its texts, some texts at a time, and reports those that several
+    of these share; their sums over the whole table decide.  A reported sum of at least
     ``n_shingles / MOST_BACK`` can be reached by MOST_BACK shingles at most.  The choice only
     sets an order of shingles, so it bears on speed alone.
     """
 
+    def counted_sets(sets):
+        key, count = np.unique(np.concatenate(sets), return_counts=True)
+        often = count > 1
+        return pa.RecordBatch.from_arrays([pa.array(_signed(key[often])), pa.array(count[often].astype(np.int64))], names=["shingle", "n"])
+
     def run(batches):
         for batch in batches:
-            sets = [s for _, s in shingle_sets(batch) if len(s)]
+            sets, held = [], 0
+            for _, s in shingle_sets(batch):
+                if len(s):
+                    sets.append(s)
+                    held += len(s)
+                if held >= COUNTED_AT_ONCE:
+                    yield counted_sets(sets)
+                    sets, held = [], 0
             if sets:
-                key, count = np.unique(np.concatenate(sets), return_counts=True)
-                often = count > 1
-                yield pa.RecordBatch.from_arrays([pa.array(_signed(key[often])), pa.array(count[often].astype(np.int64))], names=["shingle", "n"])
+                yield counted_sets(sets)
 
     least = max(LEAST_BACK, -(-n_shingles // MOST_BACK))
     counted = docs.select("doc_id", "text").mapInArrow(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
     return np.sort(np.asarray([r[0] for r in counted.select("shingle").collect()], np.int64).view(U))
 
 
-def prefix_length(n: int, percent: int = PERCENT, k: int = 1) -> int:
-    """Two linked sets share k elements among this many first ones of each, in any common order."""
-    return min(n, n - -(-percent * n // 100) + k)
+def lacking(n: int, percent: int = PERCENT) -> int:
+    """At most so many elements of a set of ``n`` are missing in a set that it links with."""
+    return n - -(-percent * n // 100)
+
+
+def prefix_length(n: int, percent: int = PERCENT) -> int:
+    """Elements that are looked at: half as many again as can be missing, and two more."""
+    e = lacking(n, percent)
+    return min(n, e + e // 2 + 2)
 
 
 def prefixes(docs: DataFrame, back, percent: int = PERCENT) -> DataFrame:
-    """(shingle, node, n) for the extended prefix of each set; widespread shingles come last."""
+    """(node, n, prefix): first elements of each distinct set; widespread shingles come last."""
 
     def run(batches):
         last = back.value
         for batch in batches:
-            out = []
+            out, held = [], 0
             for _, s in shingle_sets(batch):
-                if len(s) * (100 - percent) < 100 - percent + 1 or len(s) < 2:
-                    continue  # equal to all that it could link with, so the same node
-                if len(last):
-                    late = last[np.minimum(np.searchsorted(last, s), len(last) - 1)] == s
-                    s_order = np.concatenate([s[~late], s[late]])
-                else:
-                    s_order = s
-                out.append((s_order[: prefix_length(len(s), percent, 2)], set_id(s), len(s)))
+                if len(s) * (100 - percent) < percent or len(s) < 2:
+                    continue  # a set this small links only with its equals, which are the same node
+                late = last[np.minimum(np.searchsorted(last, s), len(last) - 1)] == s if len(last) else np.zeros(len(s), bool)
+                out.append((np.concatenate([s[~late], s[late]])[: prefix_length(len(s), percent)], set_id(s), len(s)))
+                held += len(out[-1][0])
+                if held >= COUNTED_AT_ONCE // 4:
+                    yield prefix_rows(out)
+                    out, held = [], 0
             if out:
-                take = [len(p) for p, _, _ in out]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(_signed(np.concatenate([p for p, _, _ in out]))),
-                        pa.array(np.repeat(np.asarray([i for _, i, _ in out], np.int64), take)),
-                        pa.array(np.repeat(np.asarray([n for _, _, n in out], np.int32), take)),
-                    ],
-                    names=["shingle", "node", "n"],
-                )
+                yield prefix_rows(out)
+
+    return docs.select("doc_id", "text").mapInArrow(run, "node long, n int, prefix array<long>").dropDuplicates(["node", "n"])
+
+
+def prefix_rows(out: list) -> pa.RecordBatch:
+    offsets = np.concatenate([[0], np.cumsum([len(p) for p, _, _ in out])]).astype(np.int32)
+    lists = pa.ListArray.from_arrays(offsets, pa.array(_signed(np.concatenate([p for p, _, _ in out]))))
+    return pa.RecordBatch.from_arrays([pa.array([i for _, i, _ in out], pa.int64()), pa.array([n for _, _, n in out], pa.int32()), lists], names=["node", "n", "prefix"])
+
+
+def linkable(prefix: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Rows (node, n, prefix) of sets that share enough of their prefix with other sets at all.
 
-    return docs.select("doc_id", "text").mapInArrow(run, "shingle long, node long, n int")
+    Of a linked set's prefix all but ``lacking(n)`` elements are in the partner.  Texts that only
+    share a passage go here, before any pair is made.
+    """
+    rows = prefix.select("node", "n", F.explode("prefix").alias("shingle"))
+    counts = durable(rows.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1"))
+    total = prefix.agg(F.sum(F.size("prefix"))).first()[0] or 0
+    found = lookup(rows, counts, ["shingle"], "df", total, how="inner").groupBy("node", "n").agg(F.count("*").alias("shared"))
+    may = F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100)
+    return durable(prefix.join(found, ["node", "n"]).where(F.col("shared") >= F.size("prefix") - may).select("node", "n", "prefix"))
 
 
 def sets_of(docs: DataFrame) -> DataFrame:
@@ -131,26 +163,30 @@ def sets_of(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "node long, n int, shingles array<long>")
 
 
-def index_keys(index: DataFrame) -> DataFrame:
-    """(k1, k2, node, n): single rare shingles, and pairs of frequent ones (k1 < k2).
+def index_keys(prefix: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(key, node, n, pos): single rare shingles, and pairs of frequent ones, of extended prefixes.
 
-    Two linked sets share at least two shingles of their extended prefixes.  Either one of these is
-    indexed alone, or all are paired, and then both sets have the pair.  A shingle is paired if
-    more than FREQUENT prefixes hold it and none of them has over MOST_PAIRED such shingles: so
-    pairs stay few in long documents, whose shingles are indexed alone.
+    Two linked sets share at least two of their first ``lacking(n) + 2`` elements.  Either one of
+    these is indexed alone, or all are paired, and then both sets have the pair.  A shingle is
+    paired if more than FREQUENT prefixes hold it and none of them has over MOST_PAIRED such
+    shingles: so pairs stay few in long documents, whose shingles are indexed alone.  ``pos`` is
+    the place in the prefix, of a pair's later shingle.
     """
-    held = durable(index)
-    counts = held.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1")
-    total = held.count()
-    shared = durable(lookup(held, counts, ["shingle"], "df", total, how="inner"))
+    e = F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100)
+    held = durable(prefix.select("node", "n", F.posexplode(F.slice("prefix", F.lit(1), (e + 2).cast("int"))).alias("pos", "shingle")))
+    counts = durable(held.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1"))
+    shared = durable(lookup(held, counts, ["shingle"], "df", held.count(), how="inner"))
     often = shared.where(F.col("df") > FREQUENT)
     many = often.groupBy("node", "n").agg(F.count("*").alias("m"))
     crowded = often.join(many.where(F.col("m") > MOST_PAIRED), ["node", "n"], "left_semi").select("shingle").distinct()
     single = shared.where(F.col("df") <= FREQUENT).unionByName(often.join(crowded, "shingle", "left_semi"))
-    paired = often.join(crowded, "shingle", "left_anti").groupBy("node", "n").agg(F.sort_array(F.collect_list("shingle")).alias("s"))
-    pairs = paired.select("node", "n", F.posexplode("s").alias("i", "k1"), "s").select("node", "n", "k1", F.explode(F.slice("s", F.col("i") + 2, F.greatest(F.size("s"), F.lit(1)))).alias("k2"))
-    keys = single.select("node", "n", F.col("shingle").alias("k1"), F.lit(None).cast("long").alias("k2")).unionByName(pairs)
-    return keys.select(F.xxhash64("k1", F.coalesce("k2", F.lit(0))).alias("key"), "node", "n").distinct()
+    paired = often.join(crowded, "shingle", "left_anti").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("pos", "shingle"))).alias("s"))
+    # At most MOST_PAIRED elements: every two of them are one key, in the order of the hashes.
+    one = paired.select("node", "n", F.posexplode("s").alias("i", "x"), "s")
+    pairs = one.select("node", "n", "x", F.explode(F.slice("s", F.col("i") + 2, F.lit(MOST_PAIRED))).alias("y"))
+    ends = F.least("x.shingle", "y.shingle"), F.greatest("x.shingle", "y.shingle")
+    keys = single.select(F.xxhash64(F.lit(1), "shingle").alias("key"), "node", "n", "pos").unionByName(pairs.select(F.xxhash64(F.lit(2), *ends).alias("key"), "node", "n", F.col("y.pos").alias("pos")))
+    return keys
 
 
 def _alike(a: str, b: str, percent: int):
@@ -158,17 +194,52 @@ def _alike(a: str, b: str, percent: int):
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(a, b) of those pairs of node structs whose sets link; each pair carries one set at a time."""
-    one = sets.select(F.struct("node", "n").alias("b"), F.col("shingles").alias("sb"))
-    two = sets.select(F.struct("node", "n").alias("a"), F.col("shingles").alias("sa"))
-    both = pairs.join(one, "b").join(two, "a")
-    shared = F.size(F.array_intersect("sa", "sb"))
+def _early(a: str, a_pos: str, b: str, b_pos: str, percent: int):
+    """Whether a shared key stands early enough in both prefixes for the sets to link.
+
+    Linked sets share at least ``least`` elements, so the first two shared ones are among the first
+    n - least + 2 of each.
+    """
+    least = F.ceil(F.lit(percent) * (F.col(f"{a}.n") + F.col(f"{b}.n")) / F.lit(100 + percent))
+    return _alike(f"{a}.n", f"{b}.n", percent) & (F.col(a_pos) <= F.col(f"{a}.n") - least + 1) & (F.col(b_pos) <= F.col(f"{b}.n") - least + 1)
+
+
+def _attach(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
+    """Add ``column`` of both nodes of each pair, as <column>_a and <column>_b."""
+    one = table.select(F.struct("node", "n").alias("b"), F.col(column).alias(f"{column}_b"))
+    two = table.select(F.struct("node", "n").alias("a"), F.col(column).alias(f"{column}_a"))
+    return pairs.join(one, "b").join(two, "a")
+
+
+def promising(pairs: DataFrame, prefix: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Pairs that can still link after a look at their prefixes.
+
+    Of the two prefixes, take the one that ends first in the common order: what it does not share
+    with the other prefix is not in the other set at all.  A linked set lacks at most its size less
+    the least overlap.  A pair goes if that is exceeded whichever prefix ends first.
+    """
+    both = _attach(pairs, prefix, "prefix")
+    shared = F.size(F.array_intersect("prefix_a", "prefix_b"))
+    least = F.ceil(F.lit(percent) * (F.col("a.n") + F.col("b.n")) / F.lit(100 + percent))
+    may = lambda x: F.size(f"prefix_{x}") - shared <= F.col(f"{x}.n") - least
+    return both.where(may("a") | may("b")).select("a", "b")
+
+
+def verified(pairs: DataFrame, docs: DataFrame, members: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(a, b) of those pairs whose whole sets link; sets are built for the nodes of pairs only."""
+    wanted = pairs.select(F.col("a").alias("v")).union(pairs.select("b")).distinct()
+    owners = members.where("doc_id IS NOT NULL").groupBy("node", "n").agg(F.min("doc_id").alias("doc_id"))
+    ids = durable(owners.join(wanted.select("v.node", "v.n"), ["node", "n"], "left_semi").select("doc_id").distinct())
+    if ids.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    sets = durable(sets_of(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi")).dropDuplicates(["node", "n"]))
+    both = _attach(pairs, sets, "shingles")
+    shared = F.size(F.array_intersect("shingles_a", "shingles_b"))
     return both.where(shared * (100 + percent) >= percent * (F.col("a.n") + F.col("b.n"))).select("a", "b")
 
 
 def links(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
-    """(membership of every document, links among sets that join all linked sets).
+    """(node of every document, root of every linked node).
 
     Candidate pairs are taken in two steps.  First every set is checked against one set of each of
     its keys only, so a key that thousands of near copies share costs thousands of pairs and not
@@ -178,29 +249,26 @@ def links(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame
     members = durable(nodes(docs))
     n_shingles = members.agg(F.sum("n")).first()[0] or 0
     back = docs.sparkSession.sparkContext.broadcast(widespread(docs, n_shingles))
-    index = prefixes(docs, back, percent).distinct()
-    keys = durable(index_keys(index).select("key", F.struct("node", "n").alias("v")))
-    lone = durable(keys.groupBy("key").agg(F.min("v").alias("first"), F.count("*").alias("size")).where("size > 1"))
-    total = keys.count()
-    keys = durable(lookup(keys, lone, ["key"], "size", total, how="inner"))
-
-    needed = keys.select("v").distinct().join(members.groupBy("node", "n").agg(F.min("doc_id").alias("doc_id")).select(F.struct("node", "n").alias("v"), "doc_id"), "v").select("doc_id").distinct()
-    texts = docs.select("doc_id", "text").join(needed, "doc_id", "left_semi")
-    sets = durable(sets_of(texts).dropDuplicates(["node", "n"]))
-
-    stars = keys.select(F.col("first").alias("a"), F.col("v").alias("b")).where((F.col("a") != F.col("b")) & _alike("a.n", "b.n", percent)).distinct()
-    found = durable(verified(stars, sets, percent))
+    prefix = linkable(durable(prefixes(docs, back, percent)), percent)
+    keys = durable(index_keys(prefix, percent).select("key", F.struct("node", "n").alias("v"), "pos"))
+    lone = durable(keys.groupBy("key").agg(F.min(F.struct("v", "pos")).alias("first"), F.count("*").alias("size")).where("size > 1"))
+    keys = durable(lookup(keys, lone, ["key"], "size", keys.count(), how="inner"))
+
+    stars = keys.select(F.col("first.v").alias("a"), F.col("first.pos").alias("pa"), F.col("v").alias("b"), "pos")
+    stars = stars.where((F.col("a") != F.col("b")) & _early("a", "pa", "b", "pos", percent)).select("a", "b").distinct()
+    stars = durable(promising(stars, prefix, percent))
+    found = durable(verified(stars, docs, members, percent))
     roots = components(found)
-    placed = keys.select("key", "v").join(roots.select(F.col("node").alias("v"), "root"), "v", "left").select("key", "v", F.coalesce("root", "v").alias("root"))
-    placed = durable(placed)
+    placed = durable(keys.select("key", "v", "pos").join(roots.select(F.col("node").alias("v"), "root"), "v", "left").select("key", "v", "pos", F.coalesce("root", "v").alias("root")))
     split = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("key")
     open_keys = placed.join(split, "key", "left_semi")
-    a = open_keys.select("key", F.col("v").alias("a"), F.col("root").alias("ra"))
-    b = open_keys.select("key", F.col("v").alias("b"), F.col("root").alias("rb"))
-    rest = a.join(b, "key").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & _alike("a.n", "b.n", percent)).select("a", "b").distinct()
-    rest = rest.join(stars, ["a", "b"], "left_anti")
-    more = durable(verified(rest, sets, percent))
-    return members, found.unionByName(more)
+    a = open_keys.select("key", F.col("v").alias("a"), F.col("pos").alias("pa"), F.col("root").alias("ra"))
+    b = open_keys.select("key", F.col("v").alias("b"), F.col("pos").alias("pb"), F.col("root").alias("rb"))
+    rest = a.join(b, "key").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & _early("a", "pa", "b", "pb", percent)).select("a", "b").distinct()
+    rest = durable(promising(rest, prefix, percent).join(stars, ["a", "b"], "left_anti"))
+    if rest.isEmpty():
+        return members, roots
+    return members, components(found.unionByName(durable(verified(rest, docs, members, percent))))
 
 
 def similar_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -210,8 +278,8 @@ def similar_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     empty, blank) has an empty set and is linked with nothing, not even its like.  Repeated rows
     get a row each.  Only doc_id and text are read.  An empty table gives an empty result.
     """
-    members, linked = links(docs, percent)
-    roots = components(linked).select(F.col("node.node").alias("node"), F.col("node.n").alias("n"), F.col("root.node").alias("r_node"), F.col("root.n").alias("r_n"))
+    members, roots = links(docs, percent)
+    roots = roots.select(F.col("node.node").alias("node"), F.col("node.n").alias("n"), F.col("root.node").alias("r_node"), F.col("root.n").alias("r_n"))
     sizes = members.where("n > 0").groupBy("node", "n").agg(F.count("*").alias("size"), F.min("doc_id").alias("least"))
     classes = durable(sizes.join(roots, ["node", "n"], "left").select("node", "n", "size", "least", F.coalesce("r_node", "node").alias("r_node"), F.coalesce("r_n", "n").alias("r_n")))
     smallest = classes.groupBy("r_node", "r_n").agg(F.min("least").alias("component_id"))
