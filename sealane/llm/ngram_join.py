@@ -262,11 +262,15 @@ def links(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame
     placed = durable(keys.select("key", "v", "pos").join(roots.select(F.col("node").alias("v"), "root"), "v", "left").select("key", "v", "pos", F.coalesce("root", "v").alias("root")))
     split = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("key")
     open_keys = placed.join(split, "key", "left_semi")
-    a = open_keys.select("key", F.col("v").alias("a"), F.col("pos").alias("pa"), F.col("root").alias("ra"))
-    b = open_keys.select("key", F.col("v").alias("b"), F.col("pos").alias("pb"), F.col("root").alias("rb"))
-    rest = a.join(b, "key").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & _early("a", "pa", "b", "pb", percent)).select("a", "b").distinct()
+    # A pair that shares several keys is made only at the first of them, in the common order.
+    every = open_keys.groupBy("v").agg(F.transform(F.sort_array(F.collect_set(F.struct("pos", "key"))), lambda x: x["key"]).alias("keys"))
+    open_keys = open_keys.join(every, "v")
+    a = open_keys.select("key", F.col("v").alias("a"), F.col("pos").alias("pa"), F.col("root").alias("ra"), F.col("keys").alias("ka"))
+    b = open_keys.select("key", F.col("v").alias("b"), F.col("pos").alias("pb"), F.col("root").alias("rb"), F.col("keys").alias("kb"))
+    across = (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & _early("a", "pa", "b", "pb", percent)
+    rest = a.join(b, "key").where(across & (F.col("key") == F.get(F.array_intersect("ka", "kb"), F.lit(0)))).select("a", "b")
     rest = durable(promising(rest, prefix, percent).join(stars, ["a", "b"], "left_anti"))
-    if rest.isEmpty():
+    if not rest.count():
         return members, roots
     return members, components(found.unionByName(durable(verified(rest, docs, members, percent))))
 
