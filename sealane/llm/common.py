@@ -54,7 +54,7 @@ def lookup(left: DataFrame, right: DataFrame, on: list[str], size: str, total: i
     """
     least = max(2, -(-total // HOT_SHARE))
     hot = right.where(F.col(size) >= least)
-    if hot.isEmpty():
+    if (right.agg(F.max(size)).first()[0] or 0) < least:
         return left.join(right, on, how).select(*left.columns, *[c for c in right.columns if c not in on])
     marked = left.join(F.broadcast(hot.select(*on, F.struct(*[c for c in right.columns if c not in on]).alias("_hot"))), on, "left")
     rest = [c for c in right.columns if c not in on]
@@ -78,6 +78,6 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         far = labels.select(F.col("node").alias("to"), F.col("root").alias("beyond"))
         moved = durable(near.join(far, "to").select("node", F.least("to", "beyond").alias("root"), (F.col("beyond") != F.col("root")).alias("changed")))
         labels = moved.select("node", "root")
-        if moved.where("changed").isEmpty():
+        if not moved.agg(F.max("changed")).first()[0]:
             return labels
     raise RuntimeError(f"components were still merging after {most_rounds} rounds")
