@@ -7,19 +7,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sealane.llm.common import documents, durable, lookup
-from sealane.llm.words import U, Chunk, Spans, Words, chunks, ngrams, sliding_min, words
+from sealane.llm.words import U, Chunk, Spans, Words, chunks, mix, ngrams, sliding_min, words
 
 WINDOW = 50
 #: A window's fingerprint is the smallest hash of its runs of so many words.
 SHINGLE = 16
+#: Windows with one fingerprint are told apart further by where in them it stands, to so many words:
+#: a passage's inner windows then form runs that do not depend on what surrounds the passage.
+PART = 8
 #: Batches by ascending doc_id in which the query's table goes through the index.
 BATCHES = 3
 #: Runs of one level that are merged into one of the next.
 FAN_IN = 2
+UNPACKED_AT_ONCE = 1 << 22
 LAST = (1 << 63) - 1  # stands for a null doc_id: larger than any other
 
 
@@ -38,19 +43,21 @@ class Windows:
         full[at] = key
         n = len(full) - WINDOW + 1
         if n > 0:
-            low = sliding_min(full[: len(full) - SHINGLE + 1], WINDOW - SHINGLE + 1)
+            low, place = sliding_min(full[: len(full) - SHINGLE + 1], WINDOW - SHINGLE + 1)
             at = np.flatnonzero(self.words.doc[:n] == self.words.doc[WINDOW - 1 :])
         else:
-            low, at = np.empty(0, U), np.empty(0, np.int64)
+            low, place, at = np.empty(0, U), np.empty(0, np.int64), np.empty(0, np.int64)
         self.at, self.fingerprint = at, low[at]
+        # Like the fingerprint, the part depends on nothing but the window's words.
+        self.part = mix(self.fingerprint + ((place[at] - at) // PART).astype(U))
         self.of = np.searchsorted(self.words.doc[at], np.arange(len(chunk.bounds)))
 
     def segments(self, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(first, length) into ``at`` of maximal runs of adjoining kept windows with one fingerprint."""
+        """(first, length) into ``at`` of maximal runs of adjoining kept windows of one part."""
         k = np.flatnonzero(keep)
         if not len(k):
             return k, k
-        new = np.concatenate([[True], (np.diff(self.at[k]) != 1) | (self.fingerprint[k[1:]] != self.fingerprint[k[:-1]]) | (self.words.doc[self.at[k[1:]]] != self.words.doc[self.at[k[:-1]]])])
+        new = np.concatenate([[True], (np.diff(self.at[k]) != 1) | (self.part[k[1:]] != self.part[k[:-1]]) | (self.words.doc[self.at[k[1:]]] != self.words.doc[self.at[k[:-1]]])])
         first = np.flatnonzero(new)
         return k[first], np.diff(np.append(first, len(k)))
 
@@ -81,6 +88,31 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("id"), F.xxhash64("text").alias("text_key"), "doc_id", "text")
 
 
+def packed(keyed: DataFrame) -> DataFrame:
+    """(id, text_key, packed): texts compressed, for their way through a shuffle and a checkpoint."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=3).compress
+        for batch in batches:
+            out = [press((t.as_py() or "").encode()) for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["id", "text_key", "packed"])
+
+    return keyed.select("id", "text_key", "text").mapInArrow(run, "id long, text_key long, packed binary")
+
+
+def unpacked(column: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
+    """(first row, texts) of a packed column, some texts at a time."""
+    expand, first, out, held = zstandard.ZstdDecompressor().decompress, 0, [], 0
+    for value in column:
+        out.append(expand(value.as_buffer().to_pybytes()))
+        held += len(out[-1])
+        if held >= UNPACKED_AT_ONCE:
+            yield first, out
+            first, out, held = first + len(out), [], 0
+    if out:
+        yield first, out
+
+
 class FingerprintIndex:
     """Sorted immutable runs (mark, n): marks of past batches and in how many texts they are.
 
@@ -141,7 +173,7 @@ def _batches(rows: DataFrame, n: int) -> list[DataFrame]:
     return out
 
 
-SEGMENT = "id long, text_key long, mark long, d1 long, d2 long, pos long, length long"
+SEGMENT = "id long, text_key long, part long, d1 long, d2 long, pos long, length long"
 
 
 def segments(involved: DataFrame) -> DataFrame:
@@ -149,46 +181,45 @@ def segments(involved: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chunk, win, chosen, ids, keys in _with_marks(batch):
+            for win, chosen, ids, keys in _with_marks(batch, "fingerprint"):
                 first, length = win.segments(chosen)
                 start = win.at[first]
                 d1, d2 = Spans(win.words).get(start, start + length - 1 + WINDOW)
                 doc = win.words.doc[start]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[doc]), pa.array(keys[doc]), _signed(win.fingerprint[first]), _signed(d1), _signed(d2), pa.array(start - win.words.of[doc]), pa.array(length)],
-                    names=["id", "text_key", "mark", "d1", "d2", "pos", "length"],
+                    [pa.array(ids[doc]), pa.array(keys[doc]), _signed(win.part[first]), _signed(d1), _signed(d2), pa.array(start - win.words.of[doc]), pa.array(length)],
+                    names=["id", "text_key", "part", "d1", "d2", "pos", "length"],
                 )
 
-    return involved.select("id", "text_key", "text", "marks").mapInArrow(run, SEGMENT)
+    return involved.select("id", "text_key", "packed", "marks").mapInArrow(run, SEGMENT)
 
 
 def single_windows(involved: DataFrame) -> DataFrame:
-    """(id, text_key, pos, h1, h2) of every window that has one of the row's marks."""
+    """(id, text_key, pos, h1, h2) of every window of one of the row's parts (in its column marks)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chunk, win, chosen, ids, keys in _with_marks(batch):
+            for win, chosen, ids, keys in _with_marks(batch, "part"):
                 start = win.at[chosen]
                 h1, h2 = Spans(win.words).get(start, start + WINDOW)
                 doc = win.words.doc[start]
                 yield pa.RecordBatch.from_arrays([pa.array(ids[doc]), pa.array(keys[doc]), pa.array(start - win.words.of[doc]), _signed(h1), _signed(h2)], names=["id", "text_key", "pos", "h1", "h2"])
 
-    return involved.select("id", "text_key", "text", "marks").mapInArrow(run, "id long, text_key long, pos long, h1 long, h2 long")
+    return involved.select("id", "text_key", "packed", "marks").mapInArrow(run, "id long, text_key long, pos long, h1 long, h2 long")
 
 
-def _with_marks(batch: pa.RecordBatch):
-    """Each chunk of a batch with its windows and which of them have one of their row's marks."""
-    ids, keys = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-    marks = batch.column(3)
-    for chunk in chunks(batch.column(2)):
-        win, n = Windows(chunk), len(chunk.bounds) - 1
-        chosen = np.zeros(len(win.at), bool)
-        for k, (a, b) in enumerate(zip(win.of, win.of[1:], strict=False)):
-            if b > a:
-                wanted = np.sort(np.asarray(marks[chunk.first + k].values.to_numpy(zero_copy_only=False)).view(U))
-                if len(wanted):
-                    chosen[a:b] = wanted[np.minimum(np.searchsorted(wanted, win.fingerprint[a:b]), len(wanted) - 1)] == win.fingerprint[a:b]
-        yield chunk, win, chosen, ids[chunk.first : chunk.first + n], keys[chunk.first : chunk.first + n]
+def _with_marks(batch: pa.RecordBatch, by: str):
+    """The windows of a batch's texts and which of them have their ``by`` among their row's marks."""
+    all_ids, all_keys, marks = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(3)
+    for row, texts in unpacked(batch.column(2)):
+        for chunk in chunks(pa.array(texts, pa.large_binary()).cast(pa.large_string())):
+            win, n, first = Windows(chunk), len(chunk.bounds) - 1, row + chunk.first
+            value, chosen = getattr(win, by), np.zeros(len(win.at), bool)
+            for k, (a, b) in enumerate(zip(win.of, win.of[1:], strict=False)):
+                wanted = np.sort(marks[first + k].values.to_numpy(zero_copy_only=False).view(U))
+                if b > a and len(wanted):
+                    chosen[a:b] = wanted[np.minimum(np.searchsorted(wanted, value[a:b]), len(wanted) - 1)] == value[a:b]
+            yield win, chosen, all_ids[first : first + n], all_keys[first : first + n]
 
 
 def _cut(found: DataFrame) -> DataFrame:
@@ -196,9 +227,9 @@ def _cut(found: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            removed, sha = [], []
+            removed, sha, expand = [], [], zstandard.ZstdDecompressor().decompress
             for text, places in zip(batch.column(2), batch.column(3), strict=True):
-                parts = (text.as_py() or "").encode().split()
+                parts = expand(text.as_buffer().to_pybytes()).split()
                 steps = np.zeros(len(parts) + 1, np.int64)
                 flat = places.values
                 pos, length = flat.field(0).to_numpy(), flat.field(1).to_numpy()
@@ -209,7 +240,7 @@ def _cut(found: DataFrame) -> DataFrame:
                 sha.append(hashlib.sha256(b" ".join([p for p, g in zip(parts, gone.tolist(), strict=True) if not g])).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(removed, pa.int64()), pa.array(sha, pa.string())], names=["id", "text_key", "n_removed", "cut_sha"])
 
-    return found.select("id", "text_key", "text", "places").mapInArrow(run, "id long, text_key long, n_removed long, cut_sha string")
+    return found.select("id", "text_key", "packed", "places").mapInArrow(run, "id long, text_key long, n_removed long, cut_sha string")
 
 
 def substring_dedup(docs: DataFrame, n_batches: int = BATCHES) -> DataFrame:
@@ -219,8 +250,8 @@ def substring_dedup(docs: DataFrame, n_batches: int = BATCHES) -> DataFrame:
     have equal fingerprints and neighbouring windows mostly share one; every window has one.  The
     table goes through the index in batches by doc_id.  Texts with fingerprints that others share
     are then verified by 128-bit hashes of the words themselves: first whole runs of windows with
-    one fingerprint, whose owners but the first lose them; then, where a fingerprint has several
-    different runs, the first owner's single windows.
+    one fingerprint and part, whose owners but the first lose them; then, where a part has several
+    different runs, the first owners' single windows.
 
     Windows never span rows.  Rows with one doc_id do not remove each other's words, and a null
     doc_id is larger than all others.  Null, empty and short texts lose nothing.  Only doc_id and
@@ -237,22 +268,22 @@ def substring_dedup(docs: DataFrame, n_batches: int = BATCHES) -> DataFrame:
     held = rows.select("id", "text_key", F.explode("marks").alias("mark"))
     total = rows.agg(F.sum(F.size("marks"))).first()[0] or 0
     by_text = lookup(held, shared, ["mark"], "n", total, how="inner").groupBy("id", "text_key").agg(F.collect_set("mark").alias("marks"))
-    texts = _keyed(docs).select("id", "text_key", "text").dropDuplicates(["id", "text_key"]) if _repeated(rows) else _keyed(docs).select("id", "text_key", "text")
-    involved = durable(texts.join(by_text, ["id", "text_key"]))
+    texts = packed(_keyed(docs))
+    involved = durable((texts.dropDuplicates(["id", "text_key"]) if _repeated(rows) else texts).join(by_text, ["id", "text_key"]))
 
     runs = durable(segments(involved))
     n_runs = runs.count()
-    key = ["mark", "d1", "d2", "length"]
+    key = ["part", "d1", "d2", "length"]
     classes = durable(runs.groupBy(*key).agg(F.min("id").alias("first"), F.count("*").alias("n")))
     later = lookup(runs, classes, key, "n", n_runs).where("id > first").select("id", "text_key", F.struct("pos", "length").alias("place"))
-    contested = classes.groupBy("mark").agg(F.count("*").alias("k")).where("k > 1")
-    owners = classes.join(contested, "mark", "left_semi").groupBy(F.col("first").alias("id")).agg(F.collect_set("mark").alias("wanted"))
-    single = durable(single_windows(involved.join(owners, "id").select("id", "text_key", "text", F.array_intersect("marks", "wanted").alias("marks"))))
+    contested = classes.groupBy("part").agg(F.count("*").alias("k")).where("k > 1")
+    owners = classes.join(contested, "part", "left_semi").groupBy(F.col("first").alias("id")).agg(F.collect_set("part").alias("wanted"))
+    single = durable(single_windows(involved.join(owners, "id").select("id", "text_key", "packed", F.col("wanted").alias("marks"))))
     firsts = single.groupBy("h1", "h2").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count("*").alias("n")).where("first < last").drop("last")
     earlier = lookup(single, durable(firsts), ["h1", "h2"], "n", single.count(), how="inner").where("id > first")
     earlier = earlier.select("id", "text_key", F.struct("pos", F.lit(1).cast("long").alias("length")).alias("place"))
     places = later.unionByName(earlier).groupBy("id", "text_key").agg(F.collect_list("place").alias("places"))
-    changed = _cut(involved.select("id", "text_key", "text").join(places, ["id", "text_key"]))
+    changed = _cut(involved.select("id", "text_key", "packed").join(places, ["id", "text_key"]))
 
     whole = rows.select("id", "text_key", "doc_id", "n_words", "sha").join(changed, ["id", "text_key"], "left")
     return whole.select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("cut_sha", "sha").alias("kept_sha256"))

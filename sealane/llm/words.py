@@ -143,10 +143,16 @@ class Spans:
         return one, two
 
 
-def sliding_min(x: np.ndarray, n: int) -> np.ndarray:
-    """Minimum of each n neighbours."""
-    width = 1
+def sliding_min(x: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(minimum, its last place) of each ``n`` neighbours."""
+
+    def lower(v: np.ndarray, p: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
+        left, right = slice(None, len(v) - step), slice(step, None)
+        later = v[right] <= v[left]
+        return np.where(later, v[right], v[left]), np.where(later, p[right], p[left])
+
+    width, value, place = 1, x, np.arange(len(x))
     while width * 2 <= n:
-        x = np.minimum(x[:-width], x[width:])
+        value, place = lower(value, place, width)
         width *= 2
-    return np.minimum(x[: len(x) - (n - width)], x[n - width :]) if n > width else x
+    return lower(value, place, n - width) if n > width else (value, place)
