@@ -195,17 +195,32 @@ def segments(involved: DataFrame) -> DataFrame:
 
 
 def single_windows(involved: DataFrame) -> DataFrame:
-    """(id, text_key, pos, h1, h2) of every window of one of the row's parts (in its column marks)."""
+    """(id, text_key, h1, h2, places) of every distinct window of one of the row's parts (in marks).
+
+    ``places`` has the window's places in its text as (pos, length) of adjoining ones, so a text that
+    repeats one word thousands of times is one row.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for win, chosen, ids, keys in _with_marks(batch, "part"):
                 start = win.at[chosen]
                 h1, h2 = Spans(win.words).get(start, start + WINDOW)
+                order = np.lexsort((start, h2, h1, win.words.doc[start]))
+                start, h1, h2 = start[order], h1[order], h2[order]
                 doc = win.words.doc[start]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[doc]), pa.array(keys[doc]), pa.array(start - win.words.of[doc]), _signed(h1), _signed(h2)], names=["id", "text_key", "pos", "h1", "h2"])
+                new = np.ones(len(start), bool)
+                new[1:] = (doc[1:] != doc[:-1]) | (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
+                apart = new.copy()
+                apart[1:] |= np.diff(start) != 1
+                group, first = np.flatnonzero(new), np.flatnonzero(apart)
+                length = np.diff(np.append(first, len(start)))
+                ranges = pa.StructArray.from_arrays([pa.array(start[first] - win.words.of[doc[first]]), pa.array(length)], names=["pos", "length"])
+                offsets = np.append(np.searchsorted(first, group), len(first)).astype(np.int32)
+                columns = [pa.array(ids[doc[group]]), pa.array(keys[doc[group]]), _signed(h1[group]), _signed(h2[group]), pa.ListArray.from_arrays(offsets, ranges)]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "text_key", "h1", "h2", "places"])
 
-    return involved.select("id", "text_key", "packed", "marks").mapInArrow(run, "id long, text_key long, pos long, h1 long, h2 long")
+    return involved.select("id", "text_key", "packed", "marks").mapInArrow(run, "id long, text_key long, h1 long, h2 long, places array<struct<pos:long,length:long>>")
 
 
 def _with_marks(batch: pa.RecordBatch, by: str):
@@ -275,14 +290,13 @@ def substring_dedup(docs: DataFrame, n_batches: int = BATCHES) -> DataFrame:
     n_runs = runs.count()
     key = ["part", "d1", "d2", "length"]
     classes = durable(runs.groupBy(*key).agg(F.min("id").alias("first"), F.count("*").alias("n")))
-    later = lookup(runs, classes, key, "n", n_runs).where("id > first").select("id", "text_key", F.struct("pos", "length").alias("place"))
+    later = lookup(runs, classes, key, "n", n_runs).where("id > first").select("id", "text_key", F.array(F.struct("pos", "length")).alias("places"))
     contested = classes.groupBy("part").agg(F.count("*").alias("k")).where("k > 1")
     owners = classes.join(contested, "part", "left_semi").groupBy(F.col("first").alias("id")).agg(F.collect_set("part").alias("wanted"))
     single = durable(single_windows(involved.join(owners, "id").select("id", "text_key", "packed", F.col("wanted").alias("marks"))))
     firsts = single.groupBy("h1", "h2").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count("*").alias("n")).where("first < last").drop("last")
     earlier = lookup(single, durable(firsts), ["h1", "h2"], "n", single.count(), how="inner").where("id > first")
-    earlier = earlier.select("id", "text_key", F.struct("pos", F.lit(1).cast("long").alias("length")).alias("place"))
-    places = later.unionByName(earlier).groupBy("id", "text_key").agg(F.collect_list("place").alias("places"))
+    places = later.unionByName(earlier.select("id", "text_key", "places")).groupBy("id", "text_key").agg(F.flatten(F.collect_list("places")).alias("places"))
     changed = _cut(involved.select("id", "text_key", "packed").join(places, ["id", "text_key"]))
 
     whole = rows.select("id", "text_key", "doc_id", "n_words", "sha").join(changed, ["id", "text_key"], "left")
