@@ -63,21 +63,29 @@ def lookup(left: DataFrame, right: DataFrame, on: list[str], size: str, total: i
     return found.unionByName(other.select(*left.columns, *rest))
 
 
-def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """(node, root): for every node of ``links(a, b)`` the smallest node that it reaches.
 
-    In each round a node takes the smallest label among its own and its neighbours', and then the
-    label of the node which that label names, so labels travel in growing steps.  It ends after the
-    first round in which no label changes.
+    Alternating large-star and small-star steps on edges (high, low).  The large star puts the
+    higher end of an edge onto the smallest neighbour of the lower end; the small star joins all
+    lower neighbours of a node to the smallest of them.  Each edge gives one edge, so the table never
+    grows, and long chains are halved and not walked: the rounds grow with the logarithm of the
+    nodes (at most its square).  It ends after the first round in which no edge changes, whatever
+    the number of rounds; then every edge leads to its component's smallest node.
     """
-    both = durable(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a != b").distinct())
-    labels = durable(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")))
-    for _ in range(most_rounds):
-        heard = both.join(labels.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("heard"))
-        near = labels.join(heard, "node").select("node", "root", F.least("root", "heard").alias("to"))
-        far = labels.select(F.col("node").alias("to"), F.col("root").alias("beyond"))
-        moved = durable(near.join(far, "to").select("node", F.least("to", "beyond").alias("root"), (F.col("beyond") != F.col("root")).alias("changed")))
-        labels = moved.select("node", "root")
-        if not moved.agg(F.max("changed")).first()[0]:
-            return labels
-    raise RuntimeError(f"components were still merging after {most_rounds} rounds")
+    edges = durable(links.where("a != b").select(F.greatest("a", "b").alias("high"), F.least("a", "b").alias("low")).distinct())
+    changed = True
+    while changed:
+        least = lambda: edges.groupBy(F.col("high").alias("node")).agg(F.min("low").alias("least"))  # noqa: B023, E731
+        moved = edges.join(least().withColumnRenamed("node", "low"), "low", "left")
+        edges = _star(moved.select("high", F.coalesce("least", "low").alias("low"), F.col("least").isNotNull().alias("changed")))
+        moved = edges.join(least().withColumnRenamed("node", "high"), "high")
+        alone = F.col("low") == F.col("least")
+        edges = _star(moved.select(F.when(alone, F.col("high")).otherwise(F.col("low")).alias("high"), F.col("least").alias("low"), (F.col("changed") | ~alone).alias("changed")))
+        changed = edges.agg(F.max("changed")).first()[0]
+        edges = edges.select("high", "low")
+    return edges.select(F.col("high").alias("node"), F.col("low").alias("root")).unionByName(edges.select(F.col("low").alias("node"), F.col("low").alias("root")).distinct())
+
+
+def _star(edges: DataFrame) -> DataFrame:
+    return durable(edges.groupBy("high", "low").agg(F.max("changed").alias("changed")))

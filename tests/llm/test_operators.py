@@ -137,6 +137,19 @@ def test_ngram_join_group_of_near_copies(spark, monkeypatch):
     assert {d: (r.n_shingles, r.component_id) for d, r in got.items()} == jaccard_components(texts)
 
 
+def test_components_of_long_chains(spark):
+    """Randomly numbered paths, on which labels that only travel to neighbours need over 60 rounds."""
+    from sealane.llm.common import components
+
+    rng = random.Random(6)
+    number = rng.sample(range(10**9), 700)
+    paths = [number[:500], number[500:699]]
+    edges = [(a, b) for path in paths for a, b in zip(path, path[1:], strict=False)] + [(number[699], number[699])]
+    got = components(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert sorted((r.node, r.root) for r in got) == sorted((v, min(path)) for path in paths for v in path)
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_substring_dedup(docs, texts, odd, empty):
     first = {}
     want = {}
