@@ -1,4 +1,4 @@
-"""Similarity join of documents by the Jaccard index of their 3-word shingles."""
+"""Similarity join of documents by the Jaccard index of their word shingles."""
 
 from __future__ import annotations
 
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from sealane.llm.common import components, documents, durable, lookup
 from sealane.llm.words import U, chunks, lowered, mix, ngrams, words
 
+#: Words of a shingle.
 SHINGLE = 3
 #: Two sets link when 100 * intersection >= PERCENT * union.
 PERCENT = 90
@@ -29,18 +30,21 @@ LEAST_BACK = 16
 COUNTED_AT_ONCE = 2_000_000
 
 
-def shingle_sets(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
+def shingle_sets(batch: pa.RecordBatch, size: int = SHINGLE) -> Iterator[tuple[int, np.ndarray]]:
     """(row, sorted distinct 64-bit shingle hashes) of each text, A-Z lower-cased."""
     for chunk in chunks(batch.column(1)):
         w = words(chunk, lowered(chunk.data))
-        at, key = ngrams(w, SHINGLE)
+        at, keys = ngrams(w, size)
         first = np.searchsorted(w.doc[at], np.arange(len(chunk.bounds)))
         for k, (a, b) in enumerate(zip(first, first[1:], strict=False)):
             if b > a:
-                yield chunk.first + k, np.unique(key[a:b])
+                yield chunk.first + k, np.unique(keys[a:b])
             elif w.of[k + 1] > w.of[k]:  # fewer words: the whole sequence is the one shingle
                 few = w.hash[w.of[k] : w.of[k + 1]]
-                yield chunk.first + k, mix(few + U(1) if len(few) == 1 else mix(few[:1]) + few[1:])
+                key = mix(few[:1] + U(1))
+                for i in range(1, len(few)):
+                    key = mix(key + few[i : i + 1])
+                yield chunk.first + k, key
             else:
                 yield chunk.first + k, np.empty(0, U)
 
@@ -54,19 +58,19 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-def nodes(docs: DataFrame) -> DataFrame:
+def nodes(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """(doc_id, node, n): the set of each document."""
 
     def run(batches):
         for batch in batches:
-            found = [(set_id(s), len(s)) for _, s in shingle_sets(batch)]
+            found = [(set_id(s), len(s)) for _, s in shingle_sets(batch, size)]
             node, n = zip(*found, strict=True) if found else ((), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(node, pa.int64()), pa.array(n, pa.int32())], names=["doc_id", "node", "n"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, node long, n int")
 
 
-def widespread(docs: DataFrame, n_shingles: int) -> np.ndarray:
+def widespread(docs: DataFrame, n_shingles: int, size: int = SHINGLE) -> np.ndarray:
     """Sorted hashes of the most widespread shingles, MOST_BACK at most.
 
     Every task counts all shingles of its texts, some texts at a time, and reports those that several
@@ -83,7 +87,7 @@ def widespread(docs: DataFrame, n_shingles: int) -> np.ndarray:
     def run(batches):
         for batch in batches:
             sets, held = [], 0
-            for _, s in shingle_sets(batch):
+            for _, s in shingle_sets(batch, size):
                 if len(s):
                     sets.append(s)
                     held += len(s)
@@ -109,14 +113,14 @@ def prefix_length(n: int, percent: int = PERCENT) -> int:
     return min(n, e + e // 2 + 2)
 
 
-def prefixes(docs: DataFrame, back, percent: int = PERCENT) -> DataFrame:
+def prefixes(docs: DataFrame, back, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
     """(node, n, prefix): first elements of each distinct set; widespread shingles come last."""
 
     def run(batches):
         last = back.value
         for batch in batches:
             out, held = [], 0
-            for _, s in shingle_sets(batch):
+            for _, s in shingle_sets(batch, size):
                 if len(s) * (100 - percent) < percent or len(s) < 2:
                     continue  # a set this small links only with its equals, which are the same node
                 late = last[np.minimum(np.searchsorted(last, s), len(last) - 1)] == s if len(last) else np.zeros(len(s), bool)
@@ -151,12 +155,12 @@ def linkable(prefix: DataFrame, percent: int = PERCENT) -> DataFrame:
     return durable(prefix.join(found, ["node", "n"]).where(F.col("shared") >= F.size("prefix") - may).select("node", "n", "prefix"))
 
 
-def sets_of(docs: DataFrame) -> DataFrame:
+def sets_of(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """(node, n, shingles) of each document."""
 
     def run(batches):
         for batch in batches:
-            for row, s in shingle_sets(batch):
+            for row, s in shingle_sets(batch, size):
                 value = pa.array([_signed(s)], pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([pa.array([set_id(s)], pa.int64()), pa.array([len(s)], pa.int32()), value], names=["node", "n", "shingles"])
 
@@ -225,20 +229,20 @@ def promising(pairs: DataFrame, prefix: DataFrame, percent: int = PERCENT) -> Da
     return both.where(may("a") | may("b")).select("a", "b")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, members: DataFrame, percent: int = PERCENT) -> DataFrame:
+def verified(pairs: DataFrame, docs: DataFrame, members: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
     """(a, b) of those pairs whose whole sets link; sets are built for the nodes of pairs only."""
     wanted = pairs.select(F.col("a").alias("v")).union(pairs.select("b")).distinct()
     owners = members.where("doc_id IS NOT NULL").groupBy("node", "n").agg(F.min("doc_id").alias("doc_id"))
     ids = durable(owners.join(wanted.select("v.node", "v.n"), ["node", "n"], "left_semi").select("doc_id").distinct())
     if ids.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
-    sets = durable(sets_of(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi")).dropDuplicates(["node", "n"]))
+    sets = durable(sets_of(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi"), size).dropDuplicates(["node", "n"]))
     both = _attach(pairs, sets, "shingles")
     shared = F.size(F.array_intersect("shingles_a", "shingles_b"))
     return both.where(shared * (100 + percent) >= percent * (F.col("a.n") + F.col("b.n"))).select("a", "b")
 
 
-def links(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+def links(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
     """(node of every document, root of every linked node).
 
     Candidate pairs are taken in two steps.  First every set is checked against one set of each of
@@ -246,10 +250,10 @@ def links(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame
     their square.  Then, for keys whose sets are still in different components, the remaining pairs
     across components are checked.  Links inside a component are not needed for components.
     """
-    members = durable(nodes(docs))
+    members = durable(nodes(docs, size))
     n_shingles = members.agg(F.sum("n")).first()[0] or 0
-    back = docs.sparkSession.sparkContext.broadcast(widespread(docs, n_shingles))
-    prefix = linkable(durable(prefixes(docs, back, percent)), percent)
+    back = docs.sparkSession.sparkContext.broadcast(widespread(docs, n_shingles, size))
+    prefix = linkable(durable(prefixes(docs, back, percent, size)), percent)
     keys = durable(index_keys(prefix, percent).select("key", F.struct("node", "n").alias("v"), "pos"))
     lone = durable(keys.groupBy("key").agg(F.min(F.struct("v", "pos")).alias("first"), F.count("*").alias("size")).where("size > 1"))
     keys = durable(lookup(keys, lone, ["key"], "size", keys.count(), how="inner"))
@@ -257,7 +261,7 @@ def links(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame
     stars = keys.select(F.col("first.v").alias("a"), F.col("first.pos").alias("pa"), F.col("v").alias("b"), "pos")
     stars = stars.where((F.col("a") != F.col("b")) & _early("a", "pa", "b", "pos", percent)).select("a", "b").distinct()
     stars = durable(promising(stars, prefix, percent))
-    found = durable(verified(stars, docs, members, percent))
+    found = durable(verified(stars, docs, members, percent, size))
     roots = components(found)
     placed = durable(keys.select("key", "v", "pos").join(roots.select(F.col("node").alias("v"), "root"), "v", "left").select("key", "v", "pos", F.coalesce("root", "v").alias("root")))
     split = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("key")
@@ -272,17 +276,17 @@ def links(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame
     rest = durable(promising(rest, prefix, percent).join(stars, ["a", "b"], "left_anti"))
     if not rest.count():
         return members, roots
-    return members, components(found.unionByName(durable(verified(rest, docs, members, percent))))
+    return members, components(found.unionByName(durable(verified(rest, docs, members, percent, size))))
 
 
-def similar_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+def similar_components(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
     """(doc_id, n_shingles, component_id), one row for each row of ``docs``.
 
     Documents with the same set are one node, so copies cost nothing.  A text without words (null,
     empty, blank) has an empty set and is linked with nothing, not even its like.  Repeated rows
     get a row each.  Only doc_id and text are read.  An empty table gives an empty result.
     """
-    members, roots = links(docs, percent)
+    members, roots = links(docs, percent, size)
     roots = roots.select(F.col("node.node").alias("node"), F.col("node.n").alias("n"), F.col("root.node").alias("r_node"), F.col("root.n").alias("r_n"))
     sizes = members.where("n > 0").groupBy("node", "n").agg(F.count("*").alias("size"), F.min("doc_id").alias("least"))
     classes = durable(sizes.join(roots, ["node", "n"], "left").select("node", "n", "size", "least", F.coalesce("r_node", "node").alias("r_node"), F.coalesce("r_n", "n").alias("r_n")))
@@ -292,9 +296,9 @@ def similar_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     return named.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+def one_of_each(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
     """``docs`` with one document of each component, the one with the smallest id."""
-    found = similar_components(docs, percent)
+    found = similar_components(docs, percent, size)
     lost = found.where("component_id IS NOT NULL AND doc_id != component_id").select("doc_id").distinct()
     return docs.join(lost, "doc_id", "left_anti").select(*docs.columns)
 
