@@ -23,7 +23,7 @@ FREQUENT = 32
 MOST_PAIRED = 12
 #: At most so many shingles are set back to the end of the order, as the most widespread ones.
 MOST_BACK = 1 << 20
-#: Ids of the documents whose sets are verified are broadcast up to this number, else joined by shuffle.
+#: Ids (or, without ids, nodes) whose sets are verified are broadcast up to this number, else joined by shuffle.
 BROADCAST_IDS = 500_000
 LEAST_BACK = 16
 #: Shingles that a task counts together when it looks for widespread ones.
@@ -230,13 +230,22 @@ def promising(pairs: DataFrame, prefix: DataFrame, percent: int = PERCENT) -> Da
 
 
 def verified(pairs: DataFrame, docs: DataFrame, members: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
-    """(a, b) of those pairs whose whole sets link; sets are built for the nodes of pairs only."""
+    """(a, b) of those pairs whose whole sets link; sets are built for the nodes of pairs only.
+
+    Sets come from the rows of one id of each node and, for nodes that only null-id rows hold, from
+    a pass over these rows.
+    """
     wanted = pairs.select(F.col("a").alias("v")).union(pairs.select("b")).distinct()
-    owners = members.where("doc_id IS NOT NULL").groupBy("node", "n").agg(F.min("doc_id").alias("doc_id"))
-    ids = durable(owners.join(wanted.select("v.node", "v.n"), ["node", "n"], "left_semi").select("doc_id").distinct())
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    sets = durable(sets_of(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi"), size).dropDuplicates(["node", "n"]))
+    owners = members.groupBy("node", "n").agg(F.min("doc_id").alias("doc_id"))
+    owners = durable(owners.join(wanted.select("v.node", "v.n"), ["node", "n"], "left_semi"))
+    n_ids, n_nameless = owners.agg(F.count("doc_id"), F.count_if(F.col("doc_id").isNull())).first()
+    ids = owners.where("doc_id IS NOT NULL").select("doc_id").distinct()
+    found = sets_of(docs.select("doc_id", "text").join(F.broadcast(ids) if n_ids <= BROADCAST_IDS else ids, "doc_id", "left_semi"), size)
+    if n_nameless:
+        nameless = owners.where("doc_id IS NULL").select("node", "n")
+        rows = sets_of(docs.where("doc_id IS NULL"), size)
+        found = found.unionByName(rows.join(F.broadcast(nameless) if n_nameless <= BROADCAST_IDS else nameless, ["node", "n"], "left_semi"))
+    sets = durable(found.dropDuplicates(["node", "n"]))
     both = _attach(pairs, sets, "shingles")
     shared = F.size(F.array_intersect("shingles_a", "shingles_b"))
     return both.where(shared * (100 + percent) >= percent * (F.col("a.n") + F.col("b.n"))).select("a", "b")

@@ -165,6 +165,21 @@ def test_pipeline_near_copies(spark):
     assert {d: (r.n_shingles, r.component_id) for d, r in got.items()} == jaccard_components({d: " ".join(w) for d, w in texts.items()})
 
 
+def test_ngram_join_null_ids_link(spark, monkeypatch):
+    """Near copies of which one or both have no id, and a chain that only a null-id text holds together."""
+    words = lambda name, *edits: " ".join(f"e{i}" if i in edits else f"{name}{i}" for i in range(100))
+    rows = [(1, words("a", 50)), (None, words("a", 50, 20)), (2, words("a", 20)), (3, words("b")), (None, words("b", 0)), (None, words("c")), (None, words("c", 0)), (None, words("d"))]
+    assert jaccard_components({k: t for k, (_, t) in enumerate(rows[:3])}) == {k: (98, 0) for k in range(3)}
+    assert jaccard_components({1: rows[0][1], 2: rows[2][1]})[2] == (98, 2)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted([(1, "a", 1), (0, "a", 1), (2, "a", 1), (3, "b", 3), (0, "b", 3), (0, "c", 0), (0, "c", 0), (0, "d", 0)])
+    for most in (ngram_join.BROADCAST_IDS, 0):
+        monkeypatch.setattr(ngram_join, "BROADCAST_IDS", most)
+        got = ngram_join.similar_components(df).collect()
+        assert sorted((r.doc_id or 0, r.component_id or 0) for r in got) == sorted((d, c) for d, _, c in want)
+        assert ngram_join.links(df)[1].count() == 7
+
+
 def test_substring_dedup(docs, texts, odd, empty):
     first = {}
     want = {}
