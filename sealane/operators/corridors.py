@@ -17,6 +17,8 @@ CORRIDOR_M = 3_000.0
 SURVEY_M = 15_000.0
 #: A route table with so many rows of cells at most is broadcast; a larger one is joined by shuffle.
 BROADCAST_CELLS = 200_000
+#: The nearest route is looked for in rings up to this reach, then among all vertices, so many at a time.
+WIDEST_M, VERTEX_BLOCK = 3_200_000.0, 200_000
 _LAT_M = EARTH_M * 3.141592653589793 / 180
 
 
@@ -98,13 +100,32 @@ def nearest_route(points: DataFrame, routes: DataFrame, key: list[str], first_re
 
     Rings of growing reach: points with a vertex inside a ring are done, as anything outside it is
     farther; the others go on to a ring four times as wide.  What is left after the widest ring
-    (points over 6,500 km from any route) looks at every route's vertices.
+    (points over 3,200 km from any route) looks at every route's vertices.
     """
     found, left, reach = None, points.select(*key, "lat", "lon"), first_reach_m
-    while reach < 8_000_000.0 and not left.isEmpty():
+    while reach <= WIDEST_M and not left.isEmpty():
         hit = vertices_within(left, routes, reach, key).groupBy(*key).agg(F.min_by("route_idx", F.struct("vertex_m", "route_idx")).alias("route_idx"), F.min("vertex_m").alias("nearest_m"))
         found = hit if found is None else found.unionByName(hit)
         left, reach = left.join(hit.select(*key), key, "left_anti"), reach * 4
+    if not left.isEmpty():
+        far = nearest_of_all(left, routes, key)
+        found = far if found is None else found.unionByName(far)
     if found is None:
         return left.select(*key, F.lit(None).cast("long").alias("route_idx"), F.lit(None).cast("double").alias("nearest_m"))
     return found
+
+
+def nearest_of_all(points: DataFrame, routes: DataFrame, key: list[str]) -> DataFrame:
+    """(key, route_idx, nearest_m) over all vertices, whose blocks are broadcast one by one.
+
+    Each task keeps the least distance of its points so far; points without a position get no row.
+    """
+    known = lambda lat, lon: F.col(lat).isNotNull() & F.col(lon).isNotNull() & ~F.isnan(lat) & ~F.isnan(lon)
+    points, v, best = points.where(known("lat", "lon")), vertices(routes).where(known("vlat", "vlon")).distinct(), None
+    n_blocks = -(-v.count() // VERTEX_BLOCK)
+    for k in range(max(1, n_blocks)):
+        block = v.where(F.pmod(F.xxhash64("route_idx", "vlon", "vlat"), F.lit(max(1, n_blocks))) == k)
+        pairs = points.crossJoin(F.broadcast(block)).withColumn("vertex_m", haversine_m(F.col("lat"), F.col("lon"), F.col("vlat"), F.col("vlon")))
+        least = pairs.groupBy(*key).agg(F.min(F.struct("vertex_m", "route_idx")).alias("best"))
+        best = least if best is None else best.unionByName(least).groupBy(*key).agg(F.min("best").alias("best"))
+    return best.select(*key, F.col("best.route_idx").alias("route_idx"), F.col("best.vertex_m").alias("nearest_m"))

@@ -7,7 +7,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from sealane.operators import grading, places
+from sealane.operators import corridors, grading, places
 from sealane.operators.quality import track_quality
 from sealane.operators.tracks import clean_segments, slow_runs, time_segments, track_stats
 from sealane.plans import adapter, engine
@@ -89,3 +89,22 @@ def test_corroboration(spark, kind, positional, fault, want):
     got = {r.detection_id: r for r in grading.corroborate(d, f).collect()}
     assert got["x"].confidence == want and [c.fault_id for c in got["x"].corroboration] == ["f"]
     assert got["y"].confidence == "LOW" and got["y"].corroboration is None
+
+
+@pytest.mark.parametrize("block", [corridors.VERTEX_BLOCK, 3])
+def test_nearest_route_beyond_the_widest_ring(spark, monkeypatch, block):
+    monkeypatch.setattr(corridors, "VERTEX_BLOCK", block)
+    lines = {7: [(20.0, 60.0), (25.0, 60.0), (30.0, 59.0)], 3: [(-4.0, 50.0), (-40.0, 45.0), (-70.0, 41.0)], 9: [(-40.0, 45.0)]}
+    routes = spark.createDataFrame([(k, [{"lon": x, "lat": y} for x, y in line]) for k, line in lines.items()], "route_idx long, line array<struct<lon double, lat double>>")
+    places_ = {1: (60.1, 21.0), 2: (-50.0, 150.0), 3: (-45.0, 140.0), 4: (-20.0, -30.0), 5: (5.0, -179.0), 6: (-75.0, -120.0), 7: (None, 10.0), 8: (4.0, -40.0)}
+
+    def away(a, b, c, d):
+        a, b, c, d = map(math.radians, (a, b, c, d))
+        return 2 * 6371008.8 * math.asin(math.sqrt(math.sin((c - a) / 2) ** 2 + math.cos(a) * math.cos(c) * math.sin((d - b) / 2) ** 2))
+
+    want = {m: min((away(lat, lon, y, x), k) for k, line in lines.items() for x, y in line) for m, (lat, lon) in places_.items() if lat is not None}
+    assert sum(d > 3_200_000 for d, _ in want.values()) == 6
+    points = spark.createDataFrame([(m, *p) for m, p in places_.items()], "mmsi long, lat double, lon double")
+    rows = corridors.nearest_route(points, routes, ["mmsi"]).collect()
+    assert len(rows) == len(want) and {r.mmsi: r.route_idx for r in rows} == {m: k for m, (_, k) in want.items()}
+    assert all(abs(r.nearest_m - want[r.mmsi][0]) < 0.01 for r in rows)
