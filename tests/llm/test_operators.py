@@ -278,6 +278,22 @@ def test_secret_network(docs, odd, empty):
     assert secrets_scan.secret_scan(odd, network).where("spans = ''").count() == 7 and secrets_scan.secret_scan(empty).count() == 0
 
 
+def test_secret_recall_where_secrets_are_rare():
+    """The threshold keeps the held-out recall also where calibrated scores of secrets are low."""
+    x, y = secrets_scan.made_findings(3000, seed=5)
+    harmless, secret = np.flatnonzero(~y), np.flatnonzero(y)[:60]
+    x, y = x[np.concatenate([harmless, secret])], np.concatenate([y[harmless], y[secret]])
+    y[:40] = True  # secrets that look like harmless runs
+    network = secrets_scan.train(x, y)
+    held = np.random.default_rng(secrets_scan.SEED)
+    for shape in ((secrets_scan.WIDTH, secrets_scan.N_INPUTS, secrets_scan.FILTERS), secrets_scan.FILTERS):
+        held.normal(0, 0.1, shape)
+    held = held.permutation(len(y))[: len(y) // 5]
+    p = network.probability(x[held])
+    assert y[held].sum() >= 10 and (p[y[held]] >= network.threshold).mean() >= secrets_scan.LEAST_RECALL
+    assert network.threshold < 0.5
+
+
 def test_pii_base_spans(texts):
     number = lambda s: re.sub("[^0-9]", "", s)
     for t in texts.values():
