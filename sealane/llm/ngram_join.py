@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from sealane.llm.common import components, documents, durable, lookup
 from sealane.llm.words import U, chunks, lowered, mix, ngrams, words
@@ -306,10 +307,39 @@ def similar_components(docs: DataFrame, percent: int = PERCENT, size: int = SHIN
 
 
 def one_of_each(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
-    """``docs`` with one document of each component, the one with the smallest id."""
-    found = similar_components(docs, percent, size)
-    lost = found.where("component_id IS NOT NULL AND doc_id != component_id").select("doc_id").distinct()
-    return docs.join(lost, "doc_id", "left_anti").select(*docs.columns)
+    """``docs`` with one row of each component, the one with the smallest id (nulls last).
+
+    Rows are told apart by id and set together, so rows that share an id, or have none, are each
+    judged by their own text.  Of several rows with the smallest id and the same set, the one with
+    the least text stays.  A row without words is in no component and stays.
+    """
+    members, roots = links(docs, percent, size)
+    roots = roots.select(F.col("node.node").alias("node"), F.col("node.n").alias("n"), F.col("root.node").alias("r_node"), F.col("root.n").alias("r_n"))
+    rows = members.where("n > 0").groupBy("node", "n", "doc_id").agg(F.count("*").alias("copies"))
+    sets = rows.groupBy("node", "n").agg(F.sum("copies").alias("size"), F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "copies")).alias("first"))
+    sets = durable(sets.join(roots, ["node", "n"], "left").select("node", "n", "size", "first", F.coalesce("r_node", "node").alias("r_node"), F.coalesce("r_n", "n").alias("r_n")))
+    stays = sets.groupBy("r_node", "r_n").agg(F.sum("size").alias("total"), F.min(F.struct("first.nameless", "first.doc_id", "node", "n")).alias("stays")).where("total > 1")
+    judged = sets.join(stays, ["r_node", "r_n"]).select("node", "n", "size", (F.col("stays.node").eqNullSafe(F.col("node")) & F.col("stays.n").eqNullSafe(F.col("n"))).alias("stays"), F.col("first.doc_id").alias("keep_id"), F.col("first.copies").alias("copies"))
+    judged = durable(judged.select(F.col("node").alias("_node"), F.col("n").alias("_n"), "size", F.struct("stays", "keep_id", "copies").alias("_judged")))
+    n_judged, n_repeated = judged.agg(F.count("*"), F.count_if(F.col("_judged.stays") & (F.col("_judged.copies") > 1))).first()
+
+    def run(batches):
+        for batch in batches:
+            found = [(set_id(s), len(s)) for _, s in shingle_sets(batch.select(["doc_id", "text"]), size)]
+            node, n = zip(*found, strict=True) if found else ((), ())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(node, pa.int64()), pa.array(n, pa.int32())], names=[*batch.schema.names, "_node", "_n"])
+
+    placed = docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("_node", LongType()), StructField("_n", IntegerType())]))
+    if n_judged <= BROADCAST_IDS:
+        placed = placed.join(F.broadcast(judged.drop("size")), ["_node", "_n"], "left")
+    else:
+        placed = lookup(placed, judged.withColumnRenamed("size", "_size"), ["_node", "_n"], "_size", members.count())
+    first = F.col("_judged.stays") & F.col("doc_id").eqNullSafe(F.col("_judged.keep_id"))
+    kept = placed.where(F.col("_judged").isNull() | first & (F.col("_judged.copies") == 1)).select(*docs.columns)
+    if not n_repeated:
+        return kept
+    one = placed.where(first & (F.col("_judged.copies") > 1)).groupBy("_node", "_n").agg(F.min_by(F.struct(*docs.columns), "text").alias("_row"))
+    return kept.unionByName(one.select(*[F.col("_row")[c].alias(c) for c in docs.columns]))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

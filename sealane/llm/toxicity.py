@@ -20,6 +20,8 @@ MOST_TOXIC, MOST_CLEAN, LONGEST_LABELLED = 1_500, 2_500, 100_000
 #: Evidence of a word counts from so many toxic texts on; weight of the prior in texts.
 LEAST_SUPPORT, PRIOR = 5, 2.0
 MOST_REMEMBERED = 500_000
+#: A text with this score is predicted to be toxic.
+LEAST_TOXIC = 0.5
 
 # ---- Character language model: trigrams over a-z, one class for all other letters, and a break.
 BREAK, OTHER, N_SYMBOLS = 0, 27, 28
@@ -313,24 +315,39 @@ def toxicity(docs: DataFrame, marks: DataFrame) -> DataFrame:
     text are read.  Without usable labels all scores are the observed rate; an empty table gives an
     empty result.
     """
+    scores = scorer(docs, marks)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, found in scores(batches, 2):
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found), pa.array((found >= LEAST_TOXIC).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
+
+    return docs.select("doc_id", held_out().alias("held_out"), "text").mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+
+
+def scorer(docs: DataFrame, marks: DataFrame):
+    """What gives each batch with the scores of its texts, by a model fitted on ``docs``."""
     context = docs.sparkSession.sparkContext
     lm_var = context.broadcast(language_model(docs))
     model_var = context.broadcast(train(docs, marks, lm_var))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def scores(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
         model, reader = model_var.value, Reader(lm_var.value)
         seen = Evidence(model.evidence)
         for batch in batches:
-            scores = np.asarray([score(model, [e for e in map(seen.__getitem__, found) if e]) for found in reader.texts(batch.column(2))], float)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores), pa.array((scores >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
+            yield batch, np.asarray([score(model, [e for e in map(seen.__getitem__, found) if e]) for found in reader.texts(batch.column(text))], float)
 
-    return docs.select("doc_id", held_out().alias("held_out"), "text").mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return scores
 
 
 def without_toxic(docs: DataFrame, marks: DataFrame) -> DataFrame:
-    """``docs`` without the rows that :func:`toxicity` predicts to be toxic."""
-    lost = toxicity(docs, marks).where("predicted = 1 AND doc_id IS NOT NULL").select("doc_id").distinct()
-    return docs.join(lost, "doc_id", "left_anti").select(*docs.columns)
+    """``docs`` without the rows that :func:`toxicity` predicts to be toxic, each judged by its own text."""
+    scores, text = scorer(docs, marks), docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, found in scores(batches, text):
+            yield batch.filter(pa.array(found < LEAST_TOXIC))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -180,6 +180,24 @@ def test_ngram_join_null_ids_link(spark, monkeypatch):
         assert ngram_join.links(df)[1].count() == 7
 
 
+def test_one_of_each_null_and_repeated_ids(spark, odd, empty, monkeypatch):
+    copy = " ".join(f"w{i}" for i in range(100))
+    near, other = copy.replace("w50", "e50"), " ".join(f"v{i}" for i in range(100))
+    rows = [(None, copy), (None, copy.upper()), (None, near), (None, None), (None, ""), (None, "alone"), (4, other), (4, other), (4, copy), (9, near + " "), (9, "unlike the rest"), (9, other), (6, "b c"), (6, "b  c"), (7, "d e"), (7, "D e")]
+    df = spark.createDataFrame([(t, i, {"k": "v"}) for i, t in rows], "text string, doc_id long, extra map<string,string>")
+    want = sorted([(0, ""), (0, "-"), (0, "alone"), (4, other), (4, copy), (9, "unlike the rest"), (6, "b  c"), (7, "D e")])
+    for most in (ngram_join.BROADCAST_IDS, 0):
+        monkeypatch.setattr(ngram_join, "BROADCAST_IDS", most)
+        kept = ngram_join.one_of_each(df)
+        assert kept.columns == df.columns
+        assert sorted((r.doc_id or 0, "-" if r.text is None else r.text) for r in kept.collect()) == want
+    alone = spark.createDataFrame([(None, copy), (None, near), (None, near)], "doc_id long, text string")
+    assert ngram_join.one_of_each(alone).count() == 1
+    kept = ngram_join.one_of_each(odd)
+    assert kept.columns == odd.columns and sorted((r.doc_id or 0, r.text or "") for r in kept.collect()) == [(0, ""), (2, "a  b"), (5, "c d"), (7, "")]
+    assert ngram_join.one_of_each(empty).count() == 0
+
+
 def test_substring_dedup(docs, texts, odd, empty):
     first = {}
     want = {}
@@ -407,6 +425,17 @@ def test_toxicity(spark, empty, odd):
     assert toxicity.without_toxic(df, labels).where("doc_id IN (900, 901, 902)").count() == 0
 
 
+def test_without_toxic_null_and_repeated_ids(spark, odd, empty):
+    """Each row is judged by its own text, whatever its id."""
+    known = [(d, f"it is a calm line number n{d} " + ("of a moron" if d % 2 else "of a friend")) for d in range(100)]
+    labels = spark.createDataFrame([(d, 1, d % 2) for d, _ in known], "doc_id long, quality int, toxic int")
+    rows = known + [(None, "you moron of an"), (None, None), (None, "a calm line"), (950, "you moron of an"), (950, "a calm line"), (950, "a calm line")]
+    kept = toxicity.without_toxic(spark.createDataFrame([(t, d) for d, t in rows], "text string, doc_id long"), labels)
+    assert kept.columns == ["text", "doc_id"] and kept.where("doc_id < 100").count() == 50
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept.where("doc_id IS NULL OR doc_id = 950").collect()) == [(0, ""), (0, "a calm line"), (950, "a calm line"), (950, "a calm line")]
+    assert toxicity.without_toxic(odd, labels.where("doc_id > 50")).count() == 7 and toxicity.without_toxic(empty, labels.limit(0)).count() == 0
+
+
 def test_restore():
     counts = np.zeros(toxicity.N_SYMBOLS**3)
     import pyarrow as pa
