@@ -92,7 +92,8 @@ def restore(span: str, lm: np.ndarray) -> str:
     nothing or for a word break; anything may stay a break at a cost.
     """
     span = span.lower()
-    states: dict[tuple[int, int], tuple[float, str]] = {(BREAK, BREAK): (0.0, "")}
+    # A path is a linked list from its end: branches that lose are freed, and long spans stay linear.
+    states: dict[tuple[int, int], tuple[float, tuple | None]] = {(BREAK, BREAK): (0.0, None)}
     i, n = 0, len(span)
     while i < n:
         char, j = span[i], i + 1
@@ -105,8 +106,8 @@ def restore(span: str, lm: np.ndarray) -> str:
             arcs = [(like, COST_LOOK) for like in LOOKS.get(char, "")]
             arcs += [("", COST_FILLER)] * (char in FILLERS)
             arcs.append((" ", COST_BREAK if char in FILLERS else COST_STAY))
-        after: dict[tuple[int, int], tuple[float, str]] = {}
-        for (a, b), (cost, text) in states.items():
+        after: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+        for (a, b), (cost, path) in states.items():
             for out, extra in arcs:
                 x, y, total = a, b, cost + extra
                 for c in out:
@@ -114,9 +115,18 @@ def restore(span: str, lm: np.ndarray) -> str:
                     total += lm[x, y, s]
                     x, y = y, s
                 if (x, y) not in after or total < after[x, y][0]:
-                    after[x, y] = (total, text + out)
+                    after[x, y] = (total, (path, out) if out else path)
         states, i = after, j
-    return min((cost + lm[a, b, BREAK], text) for (a, b), (cost, text) in states.items())[1]
+    least = min(cost + lm[a, b, BREAK] for (a, b), (cost, _) in states.items())
+    return min(_written(path) for (a, b), (cost, path) in states.items() if cost + lm[a, b, BREAK] == least)
+
+
+def _written(path: tuple | None) -> str:
+    parts = []
+    while path:
+        path, out = path
+        parts.append(out)
+    return "".join(reversed(parts))
 
 
 _LETTER = np.zeros(256, bool)
@@ -124,27 +134,45 @@ _LETTER[97:123] = _LETTER[65:91] = True
 _LETTER[0x80:] = True
 _DISGUISE = np.zeros(256, bool)
 _DISGUISE[[ord(c) for c in {*LOOKS, *FILLERS} if ord(c) < 128 and c not in " ,'"]] = True
-LEAST_SPACED, LONGEST_SPAN = 4, 200
+#: Signs and digits that look like letters; the first byte of the one outside ASCII is found with the next two.
+_LOOK = np.zeros(256, bool)
+_LOOK[[ord(c) for c in LOOKS if ord(c) < 128]] = True
+_EURO = np.frombuffer("€".encode(), np.uint8)
+#: Restored spans of up to so many characters are remembered.
+LEAST_SPACED, LEAST_LOOKS, LONGEST_REMEMBERED = 4, 3, 200
 
 
 def disguised(chunk: Chunk, w: Words) -> np.ndarray:
-    """Words to decode: 1 for one with a sign or digit next to a letter inside it or with a letter
-    three times in a row, 2 for one in a run of LEAST_SPACED or more one-letter words."""
+    """Words to decode: 1 for one with a sign or digit before a letter, with a sign that looks like
+    a letter after a letter, with LEAST_LOOKS or more such signs and no letter at all, or with a
+    letter three times in a row; 2 for one in a run of LEAST_SPACED or more one-letter words."""
     data, n = chunk.data, len(chunk.data)
     flags = np.zeros(len(w.start), np.int8)
     if n < 3 or not len(w.start):
         return flags
     low = data | 0x20
-    letter = _LETTER[data]
-    sign = _DISGUISE[data]
+    letter, sign, look = _LETTER[data], _DISGUISE[data], _LOOK[data]
+    at = np.flatnonzero((data[:-2] == _EURO[0]) & (data[1:-1] == _EURO[1]) & (data[2:] == _EURO[2]))
+    euro = (at[:, None] + np.arange(3)).ravel()
+    letter[euro], sign[euro], look[euro] = False, True, True
     hit = np.zeros(n, bool)
     hit[:-2] = letter[:-2] & (low[:-2] == low[1:-1]) & (low[1:-1] == low[2:]) & (data[:-2] < 0x80)
     hit[:-1] |= sign[:-1] & letter[1:]
-    # A trailing sign (end of a sentence, an exclamation) is no disguise: a letter must follow.
-    at = np.flatnonzero(hit)
-    word = np.searchsorted(w.start, at, "right") - 1
-    ok = (word >= 0) & (at < w.end[np.maximum(word, 0)] - 1)
-    flags[word[ok]] = 1
+    # Before a letter any sign counts, after one (end of a sentence) only what looks like a letter.
+    after = np.zeros(n, bool)
+    after[1:] = look[1:] & letter[:-1]
+    for found, first, last in ((hit, 0, 1), (after, 1, 0)):
+        at = np.flatnonzero(found)
+        word = np.searchsorted(w.start, at, "right") - 1
+        ok = (word >= 0) & (at >= w.start[np.maximum(word, 0)] + first) & (at < w.end[np.maximum(word, 0)] - last)
+        flags[word[ok]] = 1
+    sums = np.zeros((2, n + 1), np.int64)
+    whole = look.copy()
+    whole[euro.reshape(-1, 3)[:, 1:].ravel()] = False
+    np.cumsum(whole, out=sums[0, 1:])
+    np.cumsum(letter, out=sums[1, 1:])
+    looks, letters = sums[:, w.end] - sums[:, w.start]
+    flags[(looks >= LEAST_LOOKS) & (letters == 0)] = 1
     points = np.zeros(n + 1, np.int64)
     np.cumsum((data & 0xC0) != 0x80, out=points[1:])
     long = points[w.end] - points[w.start]
@@ -171,10 +199,12 @@ class Reader:
         self.lm, self.restored = lm, {}
 
     def _restore(self, span: str) -> list[str]:
+        if len(span) > LONGEST_REMEMBERED:
+            return restore(span, self.lm).split()
         if span not in self.restored:
             if len(self.restored) > MOST_REMEMBERED:
                 self.restored.clear()
-            self.restored[span] = [x for part in (span[i : i + LONGEST_SPAN] for i in range(0, len(span), LONGEST_SPAN)) for x in restore(part, self.lm).split()]
+            self.restored[span] = restore(span, self.lm).split()
         return self.restored[span]
 
     def texts(self, column: pa.Array) -> Iterator[set[str]]:

@@ -447,6 +447,25 @@ def test_restore():
         assert toxicity.restore(written, lm) == meant
 
 
+def test_disguises_reach_the_decoder():
+    """Signs at the end of a word, words of signs only, and long letter-spaced passages."""
+    import pyarrow as pa
+
+    counts = np.zeros(toxicity.N_SYMBOLS**3)
+    for chunk in toxicity.chunks(pa.array(["the hate of an ass and hell then stupid moron there and one other"] * 50)):
+        counts += toxicity.trigram_counts(chunk)
+    lm = toxicity.costs(counts)
+    reader = toxicity.Reader(lm)
+    column = pa.array(["the hat3", "an @$$ of", "one he1l.", "h€ll", "€", "3", "to", "$$ - 12", "the end.", "ab", "3cd"])
+    found = list(reader.texts(column))
+    assert "hate" in found[0] and "ass" in found[1] and {"hell", "hell."} & found[2] and "hell" in found[3]
+    flagged = [toxicity.disguised(c, toxicity.words(c)).tolist() for c in toxicity.chunks(column)][0]
+    assert flagged == [0, 1, 0, 1, 0, 0, 1, 1, 0, 0, 0, 0, 0, 0, 0, 0, 0, 1]
+    for before in range(85, 105):
+        spaced = " ".join("a" * 2 * before + "stupid" + "then" * 50).replace("a a", "o f")
+        assert "stupid" in toxicity.restore(spaced, lm) and any("stupid" in x for x in next(toxicity.Reader(lm).texts(pa.array([spaced]))))
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
