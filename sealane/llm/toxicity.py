@@ -16,9 +16,9 @@ from sealane.llm.common import documents, labels
 from sealane.llm.words import Chunk, Words, chunks, words
 
 #: The model is fitted on so many labelled texts at most, of up to so many characters each.
-MOST_TOXIC, MOST_CLEAN, LONGEST_LABELLED = 1_500, 2_500, 100_000
+MOST_TOXIC, MOST_CLEAN, LONGEST_LABELLED = 1_500, 2_500, 400_000
 #: Evidence of a word counts from so many toxic texts on; weight of the prior in texts.
-LEAST_SUPPORT, PRIOR = 5, 2.0
+LEAST_SUPPORT, PRIOR = 3, 2.0
 MOST_REMEMBERED = 500_000
 #: A text with this score is predicted to be toxic.
 LEAST_TOXIC = 0.5

@@ -447,6 +447,22 @@ def test_restore():
         assert toxicity.restore(written, lm) == meant
 
 
+def test_rare_toxic_words_are_evidence(spark):
+    """A word of three toxic texts counts, also where these texts are long."""
+    import types
+
+    rare, filler = toxicity.features("zorbag"), toxicity.features("plain")
+    texts = [np.asarray([*filler, *(rare if d < 3 else ())], np.int64) for d in range(60)]
+    model = toxicity.fit(texts, np.arange(60) < 30, np.arange(60) % 2)
+    assert all(f in model.evidence for f in rare)
+    free = [d for d in range(200) if zlib.crc32(str(d).encode()) % 5]
+    long = [(d, "calm line " * 15_000 + ("zorbag" if k % 2 else "") + f" name{d}") for k, d in enumerate(free[:8])]
+    marks = spark.createDataFrame([(d, 1, k % 2) for k, d in enumerate(free[:8])], "doc_id long, quality int, toxic int")
+    docs = spark.createDataFrame(long, "doc_id long, text string")
+    model = toxicity.train(docs, marks, types.SimpleNamespace(value=toxicity.costs(np.ones(toxicity.N_SYMBOLS**3))))
+    assert toxicity.features("zorbag")[0] in model.evidence
+
+
 def test_disguises_reach_the_decoder():
     """Signs at the end of a word, words of signs only, and long letter-spaced passages."""
     import pyarrow as pa
