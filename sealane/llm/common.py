@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,24 +24,53 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read it from there.
-
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset (tests in local
-    mode) a temporary one is taken.  The files outlive lost executors, and Spark's cleaner removes
-    them once nothing refers to them.
-    """
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``; only where that is unset (tests in local mode) a temporary folder."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+        folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
         if folder is None:
             if not context.master.startswith("local["):
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             folder = tempfile.mkdtemp(prefix="sealane-")
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared checkpoint folder and read it from there.
+
+    The files outlive lost executors.  Spark keeps how they are partitioned and sorted; its cleaner
+    removes them once nothing refers to them if spark.cleaner.referenceTracking.cleanCheckpoints is
+    set.  Tables that a job itself can delete go to a :class:`Shelf`.
+    """
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+class Shelf:
+    """Tables written as Parquet to the shared folder, which the job deletes as soon as it is done with them."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.folder, self.paths = spark, f"{shared_folder(spark)}/shelf-{uuid.uuid4().hex}", {}
+
+    def put(self, name: str, df: DataFrame) -> DataFrame:
+        path = f"{self.folder}/{name}-{len(self.paths)}"
+        df.write.parquet(path)
+        self.paths.setdefault(name, []).append(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            for path in self.paths.get(name, []):
+                delete(self.spark, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
@@ -63,7 +94,7 @@ def lookup(left: DataFrame, right: DataFrame, on: list[str], size: str, total: i
     return found.unionByName(other.select(*left.columns, *rest))
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, shelf: Shelf) -> DataFrame:
     """(node, root): for every node of ``links(a, b)`` the smallest node that it reaches.
 
     Alternating large-star and small-star steps on edges (high, low).  The large star puts the
@@ -71,21 +102,28 @@ def components(links: DataFrame) -> DataFrame:
     lower neighbours of a node to the smallest of them.  Each edge gives one edge, so the table never
     grows, and long chains are halved and not walked: the rounds grow with the logarithm of the
     nodes (at most its square).  It ends after the first round in which no edge changes, whatever
-    the number of rounds; then every edge leads to its component's smallest node.
+    the number of rounds; then every edge leads to its component's smallest node.  Each round's
+    table goes to the shelf and the one before is deleted.
     """
-    edges = durable(links.where("a != b").select(F.greatest("a", "b").alias("high"), F.least("a", "b").alias("low")).distinct())
+    names = iter(f"edges {k}" for k in itertools.count())
+    last = next(names)
+    edges = shelf.put(last, links.where("a != b").select(F.greatest("a", "b").alias("high"), F.least("a", "b").alias("low")).distinct())
     changed = True
+
+    def star(moved: DataFrame) -> DataFrame:
+        nonlocal last
+        before, last = last, next(names)
+        out = shelf.put(last, moved.groupBy("high", "low").agg(F.max("changed").alias("changed")))
+        shelf.drop(before)
+        return out
+
     while changed:
         least = lambda: edges.groupBy(F.col("high").alias("node")).agg(F.min("low").alias("least"))  # noqa: B023, E731
         moved = edges.join(least().withColumnRenamed("node", "low"), "low", "left")
-        edges = _star(moved.select("high", F.coalesce("least", "low").alias("low"), F.col("least").isNotNull().alias("changed")))
+        edges = star(moved.select("high", F.coalesce("least", "low").alias("low"), F.col("least").isNotNull().alias("changed")))
         moved = edges.join(least().withColumnRenamed("node", "high"), "high")
         alone = F.col("low") == F.col("least")
-        edges = _star(moved.select(F.when(alone, F.col("high")).otherwise(F.col("low")).alias("high"), F.col("least").alias("low"), (F.col("changed") | ~alone).alias("changed")))
+        edges = star(moved.select(F.when(alone, F.col("high")).otherwise(F.col("low")).alias("high"), F.col("least").alias("low"), (F.col("changed") | ~alone).alias("changed")))
         changed = edges.agg(F.max("changed")).first()[0]
         edges = edges.select("high", "low")
     return edges.select(F.col("high").alias("node"), F.col("low").alias("root")).unionByName(edges.select(F.col("low").alias("node"), F.col("low").alias("root")).distinct())
-
-
-def _star(edges: DataFrame) -> DataFrame:
-    return durable(edges.groupBy("high", "low").agg(F.max("changed").alias("changed")))

@@ -7,28 +7,36 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-from sealane.llm.common import components, documents, durable, lookup
+from sealane.llm.common import Shelf, components, documents, lookup
 from sealane.llm.words import U, chunks, lowered, mix, ngrams, words
 
 #: Words of a shingle.
 SHINGLE = 3
 #: Two sets link when 100 * intersection >= PERCENT * union.
 PERCENT = 90
+#: Similarities below this would need prefixes longer than the sets (see :func:`extended`).
+LEAST_PERCENT = 75
 #: Shingles found in more of a prefix index's sets than this are indexed in pairs.
 FREQUENT = 32
-#: Largest number of frequent shingles in one prefix that are paired; beyond it they stay single.
-MOST_PAIRED = 12
 #: At most so many shingles are set back to the end of the order, as the most widespread ones.
 MOST_BACK = 1 << 20
-#: Ids (or, without ids, nodes) whose sets are verified are broadcast up to this number, else joined by shuffle.
-BROADCAST_IDS = 500_000
 LEAST_BACK = 16
+#: Places over which the rows of one widespread shingle are dealt.
+SALTS = 4096
+#: Ids (or, without ids, nodes) whose sets are needed are broadcast up to this number, else joined by shuffle.
+BROADCAST_IDS = 500_000
 #: Shingles that a task counts together when it looks for widespread ones.
 COUNTED_AT_ONCE = 2_000_000
+#: Sets whose prefix a task has given already, to give copies' prefixes once; forgotten when so many.
+MOST_SEEN = 200_000
+#: 64-bit words of a set's parity signature.
+PARITY = 8
+#: Sets of one key that one task compares with each other.
+BLOCK = 1_000
 
 
 def shingle_sets(batch: pa.RecordBatch, size: int = SHINGLE) -> Iterator[tuple[int, np.ndarray]]:
@@ -59,48 +67,52 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-def nodes(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """(doc_id, node, n): the set of each document."""
+def members_and_counts(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
+    """One pass over the texts: (doc_id, node, n) of each row, and (shingle, times) of shingles that texts share.
 
-    def run(batches):
-        for batch in batches:
-            found = [(set_id(s), len(s)) for _, s in shingle_sets(batch, size)]
-            node, n = zip(*found, strict=True) if found else ((), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(node, pa.int64()), pa.array(n, pa.int32())], names=["doc_id", "node", "n"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, node long, n int")
-
-
-def widespread(docs: DataFrame, n_shingles: int, size: int = SHINGLE) -> np.ndarray:
-    """Sorted hashes of the most widespread shingles, MOST_BACK at most.
-
-    Every task counts all shingles of its texts, some texts at a time, and reports those that several
-    of these share; their sums over the whole table decide.  A reported sum of at least
-    ``n_shingles / MOST_BACK`` can be reached by MOST_BACK shingles at most.  The choice only
-    sets an order of shingles, so it bears on speed alone.
+    Rows with ``n`` are documents, all others counts.  A task counts the shingles of its texts, some
+    texts at a time, and reports those that several of these hold.
     """
 
-    def counted_sets(sets):
+    def counts(sets: list[np.ndarray]) -> pa.RecordBatch:
         key, count = np.unique(np.concatenate(sets), return_counts=True)
         often = count > 1
-        return pa.RecordBatch.from_arrays([pa.array(_signed(key[often])), pa.array(count[often].astype(np.int64))], names=["shingle", "n"])
+        none, k = pa.nulls, int(often.sum())
+        return _rows(none(k, pa.int64()), none(k, pa.int64()), none(k, pa.int32()), pa.array(_signed(key[often])), pa.array(count[often].astype(np.int64)))
 
-    def run(batches):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets, held = [], 0
         for batch in batches:
-            sets, held = [], 0
+            node, n = [], []
             for _, s in shingle_sets(batch, size):
+                node.append(set_id(s))
+                n.append(len(s))
                 if len(s):
                     sets.append(s)
                     held += len(s)
                 if held >= COUNTED_AT_ONCE:
-                    yield counted_sets(sets)
+                    yield counts(sets)
                     sets, held = [], 0
-            if sets:
-                yield counted_sets(sets)
+            none = pa.nulls(len(node), pa.int64())
+            yield _rows(batch.column(0), pa.array(node, pa.int64()), pa.array(n, pa.int32()), none, none)
+        if sets:
+            yield counts(sets)
+
+    def _rows(*columns: pa.Array) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(list(columns), names=["doc_id", "node", "n", "shingle", "times"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, node long, n int, shingle long, times long")
 
+
+def widespread(counts: DataFrame, n_shingles: int) -> np.ndarray:
+    """Sorted hashes of the most widespread shingles, MOST_BACK at most.
+
+    A sum of at least ``n_shingles / MOST_BACK`` can be reached by MOST_BACK shingles at most.  The
+    choice only sets an order of shingles, so it bears on speed alone.
+    """
     least = max(LEAST_BACK, -(-n_shingles // MOST_BACK))
-    counted = docs.select("doc_id", "text").mapInArrow(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    return np.sort(np.asarray([r[0] for r in counted.select("shingle").collect()], np.int64).view(U))
+    often = counts.groupBy("shingle").agg(F.sum("times").alias("times")).where(F.col("times") >= least).select("shingle")
+    return np.sort(often.toArrow().column(0).to_numpy().view(U))
 
 
 def lacking(n: int, percent: int = PERCENT) -> int:
@@ -109,104 +121,175 @@ def lacking(n: int, percent: int = PERCENT) -> int:
 
 
 def prefix_length(n: int, percent: int = PERCENT) -> int:
-    """Elements that are looked at: half as many again as can be missing, and two more."""
-    e = lacking(n, percent)
-    return min(n, e + e // 2 + 2)
+    """Of so many first elements two linked sets share at least two."""
+    return min(n, lacking(n, percent) + 2)
+
+
+def extended(n: int, percent: int = PERCENT) -> int:
+    """Of so many first elements two linked sets share two that stand side by side in both.
+
+    Sets of ``n`` and ``m <= 100 n / percent`` that link differ in at most
+    (n + m)(100 - percent) / (100 + percent) elements, d.  Of the first lacking(n) + d + 2 elements
+    they share d + 2, in whose d + 1 gaps the d elements that only one of them has can stand.
+    """
+    return min(n, lacking(n, percent) + (n + 100 * n // percent) * (100 - percent) // (100 + percent) + 2)
+
+
+def in_order(s: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """A set in the common order: by hash, widespread shingles after all others."""
+    if not len(last):
+        return s
+    late = last[np.minimum(np.searchsorted(last, s), len(last) - 1)] == s
+    return np.concatenate([s[~late], s[late]])
 
 
 def prefixes(docs: DataFrame, back, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
-    """(node, n, prefix): first elements of each distinct set; widespread shingles come last."""
+    """(shingle, salt, node, n, pos): the first elements of each set that can link with another.
 
-    def run(batches):
-        last = back.value
+    A task gives the prefix of equal sets once.  Rows of widespread shingles get a salt above 0 and
+    are dealt over many places: what they are is known already.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, seen = back.value, set()
         for batch in batches:
             out, held = [], 0
             for _, s in shingle_sets(batch, size):
                 if len(s) * (100 - percent) < percent or len(s) < 2:
                     continue  # a set this small links only with its equals, which are the same node
-                late = last[np.minimum(np.searchsorted(last, s), len(last) - 1)] == s if len(last) else np.zeros(len(s), bool)
-                out.append((np.concatenate([s[~late], s[late]])[: prefix_length(len(s), percent)], set_id(s), len(s)))
+                node = set_id(s)
+                if node in seen:
+                    continue
+                if len(seen) >= MOST_SEEN:
+                    seen.clear()
+                seen.add(node)
+                out.append((in_order(s, last)[: prefix_length(len(s), percent)], node, len(s)))
                 held += len(out[-1][0])
                 if held >= COUNTED_AT_ONCE // 4:
-                    yield prefix_rows(out)
+                    yield rows(out, last)
                     out, held = [], 0
             if out:
-                yield prefix_rows(out)
+                yield rows(out, last)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "node long, n int, prefix array<long>").dropDuplicates(["node", "n"])
+    def rows(out: list, last: np.ndarray) -> pa.RecordBatch:
+        lengths = [len(p) for p, _, _ in out]
+        shingle = np.concatenate([p for p, _, _ in out])
+        node, n = np.repeat(np.asarray([x for _, x, _ in out], np.int64), lengths), np.repeat(np.asarray([x for _, _, x in out], np.int32), lengths)
+        pos = np.concatenate([np.arange(k, dtype=np.int32) for k in lengths])
+        late = last[np.minimum(np.searchsorted(last, shingle), len(last) - 1)] == shingle if len(last) else np.zeros(len(shingle), bool)
+        salt = np.where(late, 1 + node % SALTS, 0).astype(np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (_signed(shingle), salt, node, n, pos)], names=["shingle", "salt", "node", "n", "pos"])
 
+    return docs.select("doc_id", "text").mapInArrow(run, "shingle long, salt int, node long, n int, pos int")
 
-def prefix_rows(out: list) -> pa.RecordBatch:
-    offsets = np.concatenate([[0], np.cumsum([len(p) for p, _, _ in out])]).astype(np.int32)
-    lists = pa.ListArray.from_arrays(offsets, pa.array(_signed(np.concatenate([p for p, _, _ in out]))))
-    return pa.RecordBatch.from_arrays([pa.array([i for _, i, _ in out], pa.int64()), pa.array([n for _, _, n in out], pa.int32()), lists], names=["node", "n", "prefix"])
+
+def _lacking(n: Column, percent: int) -> Column:
+    return n - F.ceil(F.lit(percent) * n / 100)
 
 
 def linkable(prefix: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Rows (node, n, prefix) of sets that share enough of their prefix with other sets at all.
+    """(node, n, tokens) of the sets that share enough of their prefix with other sets at all.
 
-    Of a linked set's prefix all but ``lacking(n)`` elements are in the partner.  Texts that only
-    share a passage go here, before any pair is made.
+    Of a linked set's prefix all but ``lacking(n)`` elements are in another one's prefix.  ``tokens`` has the
+    shared ones as (pos, shingle, often) in order: more than FREQUENT prefixes hold those with ``often``.
+    One exchange by shingle tells how many hold each; those known to be widespread need no count.
     """
-    rows = prefix.select("node", "n", F.explode("prefix").alias("shingle"))
-    counts = durable(rows.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1"))
-    total = prefix.agg(F.sum(F.size("prefix"))).first()[0] or 0
-    found = lookup(rows, counts, ["shingle"], "df", total, how="inner").groupBy("node", "n").agg(F.count("*").alias("shared"))
-    may = F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100)
-    return durable(prefix.join(found, ["node", "n"]).where(F.col("shared") >= F.size("prefix") - may).select("node", "n", "prefix"))
+    from pyspark.sql import Window as W
 
+    one = W.partitionBy("shingle", "salt")
+    held = prefix.withColumns({"_n": F.count("*").over(one), "_low": F.min("node").over(one), "_high": F.max("node").over(one)})
+    held = held.where("salt > 0 OR _low < _high").select("node", "n", "pos", "shingle", ((F.col("salt") > 0) | (F.col("_n") > FREQUENT)).alias("often"))
+    sets = held.groupBy("node", "n").agg(F.collect_set(F.struct("pos", "shingle", "often")).alias("tokens"))
+    lack = _lacking(F.col("n"), percent)
+    return sets.where(F.size("tokens") >= F.least(F.col("n"), lack + 2) - lack).select("node", "n", F.array_sort("tokens").alias("tokens"))
 
-def sets_of(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """(node, n, shingles) of each document."""
 
-    def run(batches):
+def sets_of(docs: DataFrame, back, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
+    """(node, n, shingles, parity) of each row: its set in the common order and a signature.
+
+    Bit k of the signature is the parity of the number of elements whose hash falls on k: two sets
+    differ in at least as many elements as their signatures in bits.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = back.value
         for batch in batches:
-            for row, s in shingle_sets(batch, size):
-                value = pa.array([_signed(s)], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array([set_id(s)], pa.int64()), pa.array([len(s)], pa.int32()), value], names=["node", "n", "shingles"])
+            node, n, values, parity, held = [], [], [], [], 0
+            for _, s in shingle_sets(batch, size):
+                bits = np.bincount((mix(s) >> U(32)).astype(np.int64) % (64 * PARITY), minlength=64 * PARITY) & 1
+                parity.append(np.packbits(bits.astype(np.uint8), bitorder="little").view(np.int64))
+                node.append(set_id(s))
+                n.append(len(s))
+                values.append(_signed(in_order(s, last)))
+                held += len(s)
+                if held >= COUNTED_AT_ONCE:
+                    yield rows(node, n, values, parity)
+                    node, n, values, parity, held = [], [], [], [], 0
+            if node:
+                yield rows(node, n, values, parity)
+
+    def rows(node: list, n: list, values: list, parity: list) -> pa.RecordBatch:
+        offsets = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
+        lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(values)))
+        words_of = pa.ListArray.from_arrays(np.arange(0, PARITY * len(n) + 1, PARITY, dtype=np.int32), pa.array(np.concatenate(parity)))
+        return pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(n, pa.int32()), lists, words_of], names=["node", "n", "shingles", "parity"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "node long, n int, shingles array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "node long, n int, shingles array<long>, parity array<long>")
 
 
-def index_keys(prefix: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(key, node, n, pos): single rare shingles, and pairs of frequent ones, of extended prefixes.
+def sets_for(docs: DataFrame, members: DataFrame, wanted: DataFrame, back, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
+    """(node, n, shingles, parity) of the wanted nodes, once each.
 
-    Two linked sets share at least two of their first ``lacking(n) + 2`` elements.  Either one of
-    these is indexed alone, or all are paired, and then both sets have the pair.  A shingle is
-    paired if more than FREQUENT prefixes hold it and none of them has over MOST_PAIRED such
-    shingles: so pairs stay few in long documents, whose shingles are indexed alone.  ``pos`` is
-    the place in the prefix, of a pair's later shingle.
+    Sets come from the rows of one id of each node and, for nodes that only null-id rows hold, from
+    a pass over these rows.
     """
-    e = F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100)
-    held = durable(prefix.select("node", "n", F.posexplode(F.slice("prefix", F.lit(1), (e + 2).cast("int"))).alias("pos", "shingle")))
-    counts = durable(held.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1"))
-    shared = durable(lookup(held, counts, ["shingle"], "df", held.count(), how="inner"))
-    often = shared.where(F.col("df") > FREQUENT)
-    many = often.groupBy("node", "n").agg(F.count("*").alias("m"))
-    crowded = often.join(many.where(F.col("m") > MOST_PAIRED), ["node", "n"], "left_semi").select("shingle").distinct()
-    single = shared.where(F.col("df") <= FREQUENT).unionByName(often.join(crowded, "shingle", "left_semi"))
-    paired = often.join(crowded, "shingle", "left_anti").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("pos", "shingle"))).alias("s"))
-    # At most MOST_PAIRED elements: every two of them are one key, in the order of the hashes.
-    one = paired.select("node", "n", F.posexplode("s").alias("i", "x"), "s")
-    pairs = one.select("node", "n", "x", F.explode(F.slice("s", F.col("i") + 2, F.lit(MOST_PAIRED))).alias("y"))
-    ends = F.least("x.shingle", "y.shingle"), F.greatest("x.shingle", "y.shingle")
-    keys = single.select(F.xxhash64(F.lit(1), "shingle").alias("key"), "node", "n", "pos").unionByName(pairs.select(F.xxhash64(F.lit(2), *ends).alias("key"), "node", "n", F.col("y.pos").alias("pos")))
-    return keys
-
-
-def _alike(a: str, b: str, percent: int):
-    """Whether two set sizes allow a link."""
-    return F.least(a, b) * 100 >= F.greatest(a, b) * percent
-
-
-def _early(a: str, a_pos: str, b: str, b_pos: str, percent: int):
-    """Whether a shared key stands early enough in both prefixes for the sets to link.
-
-    Linked sets share at least ``least`` elements, so the first two shared ones are among the first
-    n - least + 2 of each.
+    owners = members.join(wanted.select("node", "n"), ["node", "n"], "left_semi").groupBy("node", "n").agg(F.min("doc_id").alias("doc_id"))
+    ids = owners.where("doc_id IS NOT NULL").select("doc_id").distinct()
+    n_ids, n_nameless = owners.agg(F.count("doc_id"), F.count_if(F.col("doc_id").isNull())).first()
+    few = n_ids <= BROADCAST_IDS
+    ids = F.broadcast(ids) if few else ids
+    found = sets_of(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi"), back, percent, size)
+    repeated = members.join(ids, "doc_id", "left_semi").count() > n_ids
+    if n_nameless:
+        nameless = owners.where("doc_id IS NULL").select("node", "n")
+        rows = sets_of(docs.where("doc_id IS NULL"), back, percent, size)
+        found = found.unionByName(rows.join(F.broadcast(nameless) if n_nameless <= BROADCAST_IDS else nameless, ["node", "n"], "left_semi"))
+    return found.dropDuplicates(["node", "n"]) if repeated or n_nameless else found
+
+
+def index_keys(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(key, v, first): single rare shingles of prefixes, and pairs of neighbours of extended prefixes.
+
+    ``sets`` has ``tokens`` of :func:`linkable`.  If two linked sets share a shingle of their prefixes that is
+    not frequent, they have it as a key.  Else both prefixes hold frequent ones, and both sets are
+    indexed by the pairs of neighbours in the extended prefix, of which they share one.  Keys grow
+    with the length of a set, not with its square.
     """
-    least = F.ceil(F.lit(percent) * (F.col(f"{a}.n") + F.col(f"{b}.n")) / F.lit(100 + percent))
-    return _alike(f"{a}.n", f"{b}.n", percent) & (F.col(a_pos) <= F.col(f"{a}.n") - least + 1) & (F.col(b_pos) <= F.col(f"{b}.n") - least + 1)
+    v, first = F.struct("node", "n").alias("v"), F.get("tokens", F.lit(0))["pos"].alias("first")
+    rare = sets.select(v, first, F.explode(F.filter("tokens", lambda t: ~t["often"])).alias("t")).select(F.xxhash64(F.lit(1), "t.shingle").alias("key"), "v", "first")
+    crowded = sets.where(F.exists("tokens", lambda t: t["often"]))
+    lack, other = _lacking(F.col("n"), percent), F.floor(F.lit(100) * F.col("n") / percent)
+    length = F.least(F.col("n"), (lack + F.floor((F.col("n") + other) * (100 - percent) / (100 + percent)) + 2).cast("int"))
+    pairs = F.transform(F.slice("shingles", 1, length - 1), lambda x, k: F.xxhash64(F.lit(2), x, F.get("shingles", k + 1)))
+    return rare.unionByName(crowded.select(F.explode(pairs).alias("key"), v, first))
+
+
+def _least(a: str, b: str, percent: int) -> Column:
+    """Elements that sets of these sizes must share."""
+    return F.ceil(F.lit(percent) * (F.col(f"{a}.n") + F.col(f"{b}.n")) / F.lit(100 + percent))
+
+
+def _may_link(percent: int) -> Column:
+    """Whether sizes and first shared places of ``a`` and ``b`` allow a link: what stands before a set's
+    first element that any other prefix has is missing in every partner."""
+    least = _least("a", "b", percent)
+    alike = F.least("a.n", "b.n") * 100 >= F.greatest("a.n", "b.n") * percent
+    return alike & (F.col("first_a") <= F.col("a.n") - least) & (F.col("first_b") <= F.col("b.n") - least)
+
+
+def _parity_allows(percent: int) -> Column:
+    apart = sum((F.bit_count(F.col("parity_a")[k].bitwiseXOR(F.col("parity_b")[k])) for k in range(PARITY)), F.lit(0))
+    return apart <= F.col("a.n") + F.col("b.n") - 2 * _least("a", "b", percent)
 
 
 def _attach(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
@@ -216,77 +299,61 @@ def _attach(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
     return pairs.join(one, "b").join(two, "a")
 
 
-def promising(pairs: DataFrame, prefix: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Pairs that can still link after a look at their prefixes.
-
-    Of the two prefixes, take the one that ends first in the common order: what it does not share
-    with the other prefix is not in the other set at all.  A linked set lacks at most its size less
-    the least overlap.  A pair goes if that is exceeded whichever prefix ends first.
-    """
-    both = _attach(pairs, prefix, "prefix")
-    shared = F.size(F.array_intersect("prefix_a", "prefix_b"))
-    least = F.ceil(F.lit(percent) * (F.col("a.n") + F.col("b.n")) / F.lit(100 + percent))
-    may = lambda x: F.size(f"prefix_{x}") - shared <= F.col(f"{x}.n") - least
-    return both.where(may("a") | may("b")).select("a", "b")
-
-
-def verified(pairs: DataFrame, docs: DataFrame, members: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
-    """(a, b) of those pairs whose whole sets link; sets are built for the nodes of pairs only.
-
-    Sets come from the rows of one id of each node and, for nodes that only null-id rows hold, from
-    a pass over these rows.
-    """
-    wanted = pairs.select(F.col("a").alias("v")).union(pairs.select("b")).distinct()
-    owners = members.groupBy("node", "n").agg(F.min("doc_id").alias("doc_id"))
-    owners = durable(owners.join(wanted.select("v.node", "v.n"), ["node", "n"], "left_semi"))
-    n_ids, n_nameless = owners.agg(F.count("doc_id"), F.count_if(F.col("doc_id").isNull())).first()
-    ids = owners.where("doc_id IS NOT NULL").select("doc_id").distinct()
-    found = sets_of(docs.select("doc_id", "text").join(F.broadcast(ids) if n_ids <= BROADCAST_IDS else ids, "doc_id", "left_semi"), size)
-    if n_nameless:
-        nameless = owners.where("doc_id IS NULL").select("node", "n")
-        rows = sets_of(docs.where("doc_id IS NULL"), size)
-        found = found.unionByName(rows.join(F.broadcast(nameless) if n_nameless <= BROADCAST_IDS else nameless, ["node", "n"], "left_semi"))
-    sets = durable(found.dropDuplicates(["node", "n"]))
-    both = _attach(pairs, sets, "shingles")
+def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(a, b) of those pairs whose whole sets link."""
     shared = F.size(F.array_intersect("shingles_a", "shingles_b"))
-    return both.where(shared * (100 + percent) >= percent * (F.col("a.n") + F.col("b.n"))).select("a", "b")
+    return _attach(pairs, sets, "shingles").where(shared * (100 + percent) >= percent * (F.col("a.n") + F.col("b.n"))).select("a", "b")
 
 
-def links(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
-    """(node of every document, root of every linked node).
+def links(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> tuple[DataFrame, DataFrame, Shelf]:
+    """(node of every document, root of every linked node, the shelf that holds both).
 
     Candidate pairs are taken in two steps.  First every set is checked against one set of each of
-    its keys only, so a key that thousands of near copies share costs thousands of pairs and not
-    their square.  Then, for keys whose sets are still in different components, the remaining pairs
-    across components are checked.  Links inside a component are not needed for components.
+    its keys only, the one with the fewest shingles of its own: what thousands of near copies share
+    costs thousands of pairs and not their square.  Then, for keys whose sets are still in different
+    components, pairs across components are compared by size, place and signature, block by block,
+    and those that these leave open are checked.  Links inside a component are not needed.
+    """
+    if not LEAST_PERCENT <= percent <= 100:
+        raise ValueError(f"percent must be from {LEAST_PERCENT} to 100")
+    shelf = Shelf(docs.sparkSession)
+    both = shelf.put("members", members_and_counts(docs, size))
+    members = both.where("n IS NOT NULL").select("doc_id", "node", "n")
+    back = docs.sparkSession.sparkContext.broadcast(widespread(both.where("n IS NULL"), members.agg(F.sum("n")).first()[0] or 0))
+    tokens = shelf.put("tokens", linkable(prefixes(docs, back, percent, size), percent))
+    sets = shelf.put("sets", sets_for(docs, members, tokens, back, percent, size))
+    keys = shelf.put("all keys", index_keys(tokens.join(sets.select("node", "n", "shingles"), ["node", "n"]), percent))
+    lone = shelf.put("lone", keys.groupBy("key").agg(F.min(F.struct("first", "v")).alias("centre"), F.count("*").alias("size")).where("size > 1"))
+    keys = shelf.put("keys", lookup(keys, lone, ["key"], "size", keys.count(), how="inner"))
+    shelf.drop("tokens", "all keys")
+
+    stars = keys.select(F.col("centre.v").alias("a"), F.col("centre.first").alias("first_a"), F.col("v").alias("b"), F.col("first").alias("first_b"))
+    stars = stars.where((F.col("a") != F.col("b")) & _may_link(percent)).select("a", "b").distinct()
+    stars = shelf.put("stars", _attach(stars, sets, "parity").where(_parity_allows(percent)).select("a", "b"))
+    found = shelf.put("links", verified(stars, sets, percent))
+    roots = components(found, shelf)
+    rest = shelf.put("rest", across(keys.select("key", "v", "first", "size"), roots, sets, percent).join(stars, ["a", "b"], "left_anti"))
+    if not rest.isEmpty():
+        roots = components(found.unionByName(shelf.put("links", verified(rest, sets, percent))), shelf)
+    shelf.drop("sets", "keys", "lone", "stars", "links", "rest")
+    return members, roots, shelf
+
+
+def across(keys: DataFrame, roots: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(a, b) of sets that share a key, are in different components and may link.
+
+    The sets of a key with many are dealt into blocks of about BLOCK, each of which meets all, so no
+    task compares more than BLOCK sets of a key with the others.
     """
-    members = durable(nodes(docs, size))
-    n_shingles = members.agg(F.sum("n")).first()[0] or 0
-    back = docs.sparkSession.sparkContext.broadcast(widespread(docs, n_shingles, size))
-    prefix = linkable(durable(prefixes(docs, back, percent, size)), percent)
-    keys = durable(index_keys(prefix, percent).select("key", F.struct("node", "n").alias("v"), "pos"))
-    lone = durable(keys.groupBy("key").agg(F.min(F.struct("v", "pos")).alias("first"), F.count("*").alias("size")).where("size > 1"))
-    keys = durable(lookup(keys, lone, ["key"], "size", keys.count(), how="inner"))
-
-    stars = keys.select(F.col("first.v").alias("a"), F.col("first.pos").alias("pa"), F.col("v").alias("b"), "pos")
-    stars = stars.where((F.col("a") != F.col("b")) & _early("a", "pa", "b", "pos", percent)).select("a", "b").distinct()
-    stars = durable(promising(stars, prefix, percent))
-    found = durable(verified(stars, docs, members, percent, size))
-    roots = components(found)
-    placed = durable(keys.select("key", "v", "pos").join(roots.select(F.col("node").alias("v"), "root"), "v", "left").select("key", "v", "pos", F.coalesce("root", "v").alias("root")))
+    placed = keys.join(roots.select(F.col("node").alias("v"), "root"), "v", "left").withColumn("root", F.coalesce("root", "v"))
     split = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("key")
-    open_keys = placed.join(split, "key", "left_semi")
-    # A pair that shares several keys is made only at the first of them, in the common order.
-    every = open_keys.groupBy("v").agg(F.transform(F.sort_array(F.collect_set(F.struct("pos", "key"))), lambda x: x["key"]).alias("keys"))
-    open_keys = open_keys.join(every, "v")
-    a = open_keys.select("key", F.col("v").alias("a"), F.col("pos").alias("pa"), F.col("root").alias("ra"), F.col("keys").alias("ka"))
-    b = open_keys.select("key", F.col("v").alias("b"), F.col("pos").alias("pb"), F.col("root").alias("rb"), F.col("keys").alias("kb"))
-    across = (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & _early("a", "pa", "b", "pb", percent)
-    rest = a.join(b, "key").where(across & (F.col("key") == F.get(F.array_intersect("ka", "kb"), F.lit(0)))).select("a", "b")
-    rest = durable(promising(rest, prefix, percent).join(stars, ["a", "b"], "left_anti"))
-    if not rest.count():
-        return members, roots
-    return members, components(found.unionByName(durable(verified(rest, docs, members, percent, size))))
+    parity = sets.select(F.struct("node", "n").alias("v"), "parity")
+    rows = placed.join(split, "key", "left_semi").join(parity, "v").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+    side = lambda x: [F.col("v").alias(x), F.col("first").alias(f"first_{x}"), F.col("root").alias(f"root_{x}"), F.col("parity").alias(f"parity_{x}")]
+    a = rows.select("key", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int").alias("block"), *side("a"))
+    b = rows.select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), *side("b"))
+    open_pair = (F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & _may_link(percent) & _parity_allows(percent)
+    return a.join(b, ["key", "block"]).where(open_pair).select("a", "b").distinct()
 
 
 def similar_components(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
@@ -296,12 +363,12 @@ def similar_components(docs: DataFrame, percent: int = PERCENT, size: int = SHIN
     empty, blank) has an empty set and is linked with nothing, not even its like.  Repeated rows
     get a row each.  Only doc_id and text are read.  An empty table gives an empty result.
     """
-    members, roots = links(docs, percent, size)
+    members, roots, shelf = links(docs, percent, size)
     roots = roots.select(F.col("node.node").alias("node"), F.col("node.n").alias("n"), F.col("root.node").alias("r_node"), F.col("root.n").alias("r_n"))
     sizes = members.where("n > 0").groupBy("node", "n").agg(F.count("*").alias("size"), F.min("doc_id").alias("least"))
-    classes = durable(sizes.join(roots, ["node", "n"], "left").select("node", "n", "size", "least", F.coalesce("r_node", "node").alias("r_node"), F.coalesce("r_n", "n").alias("r_n")))
+    classes = shelf.put("classes", sizes.join(roots, ["node", "n"], "left").select("node", "n", "size", "least", F.coalesce("r_node", "node").alias("r_node"), F.coalesce("r_n", "n").alias("r_n")))
     smallest = classes.groupBy("r_node", "r_n").agg(F.min("least").alias("component_id"))
-    classes = durable(classes.join(smallest, ["r_node", "r_n"]).select("node", "n", "size", "component_id"))
+    classes = shelf.put("classes", classes.join(smallest, ["r_node", "r_n"]).select("node", "n", "size", "component_id"))
     named = lookup(members, classes, ["node", "n"], "size", members.count())
     return named.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
@@ -313,14 +380,14 @@ def one_of_each(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) ->
     judged by their own text.  Of several rows with the smallest id and the same set, the one with
     the least text stays.  A row without words is in no component and stays.
     """
-    members, roots = links(docs, percent, size)
+    members, roots, shelf = links(docs, percent, size)
     roots = roots.select(F.col("node.node").alias("node"), F.col("node.n").alias("n"), F.col("root.node").alias("r_node"), F.col("root.n").alias("r_n"))
     rows = members.where("n > 0").groupBy("node", "n", "doc_id").agg(F.count("*").alias("copies"))
     sets = rows.groupBy("node", "n").agg(F.sum("copies").alias("size"), F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "copies")).alias("first"))
-    sets = durable(sets.join(roots, ["node", "n"], "left").select("node", "n", "size", "first", F.coalesce("r_node", "node").alias("r_node"), F.coalesce("r_n", "n").alias("r_n")))
+    sets = shelf.put("sets", sets.join(roots, ["node", "n"], "left").select("node", "n", "size", "first", F.coalesce("r_node", "node").alias("r_node"), F.coalesce("r_n", "n").alias("r_n")))
     stays = sets.groupBy("r_node", "r_n").agg(F.sum("size").alias("total"), F.min(F.struct("first.nameless", "first.doc_id", "node", "n")).alias("stays")).where("total > 1")
     judged = sets.join(stays, ["r_node", "r_n"]).select("node", "n", "size", (F.col("stays.node").eqNullSafe(F.col("node")) & F.col("stays.n").eqNullSafe(F.col("n"))).alias("stays"), F.col("first.doc_id").alias("keep_id"), F.col("first.copies").alias("copies"))
-    judged = durable(judged.select(F.col("node").alias("_node"), F.col("n").alias("_n"), "size", F.struct("stays", "keep_id", "copies").alias("_judged")))
+    judged = shelf.put("judged", judged.select(F.col("node").alias("_node"), F.col("n").alias("_n"), "size", F.struct("stays", "keep_id", "copies").alias("_judged")))
     n_judged, n_repeated = judged.agg(F.count("*"), F.count_if(F.col("_judged.stays") & (F.col("_judged.copies") > 1))).first()
 
     def run(batches):

@@ -133,21 +133,46 @@ def test_ngram_join_group_of_near_copies(spark, monkeypatch):
             words[rng.randrange(120)] = f"e{rng.randint(0, 10**6)}"
         texts[d] = " ".join(words)
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    got = by_id(ngram_join.similar_components(df))
-    assert {d: (r.n_shingles, r.component_id) for d, r in got.items()} == jaccard_components(texts)
+    for block in (ngram_join.BLOCK, 3):
+        monkeypatch.setattr(ngram_join, "BLOCK", block)
+        got = by_id(ngram_join.similar_components(df))
+        assert {d: (r.n_shingles, r.component_id) for d, r in got.items()} == jaccard_components(texts)
+
+
+def test_neighbours_in_extended_prefixes():
+    """Linked sets share two neighbours of their extended prefixes, whatever their sizes."""
+    rng = np.random.default_rng(3)
+    for percent in (75, 80, 90, 97):
+        for _ in range(400):
+            n = int(rng.integers(100 // (100 - percent) + 1, 400))
+            common = rng.permutation(10**6)[:n]
+            a, b = (np.sort(np.concatenate([common, 10**6 + 10**5 * side + rng.permutation(10**5)[: int(rng.integers(0, 1 + n * (100 - percent) // 150))]])) for side in (1, 2))
+            a, b = np.sort(a * 7919 % 1_200_007), np.sort(b * 7919 % 1_200_007)
+            if 100 * n < percent * (len(a) + len(b) - n):
+                continue
+            for length, least in ((ngram_join.prefix_length, 2), (ngram_join.extended, 2)):
+                p, q = a[: length(len(a), percent)].tolist(), b[: length(len(b), percent)].tolist()
+                assert len({*p} & {*q}) >= least
+            assert {*zip(p, p[1:], strict=False)} & {*zip(q, q[1:], strict=False)}
+
+
+def test_ngram_join_refuses_low_similarities(spark):
+    with pytest.raises(ValueError, match="percent"):
+        ngram_join.similar_components(spark.createDataFrame([], SCHEMA), 60)
 
 
 def test_components_of_long_chains(spark):
     """Randomly numbered paths, on which labels that only travel to neighbours need over 60 rounds."""
-    from sealane.llm.common import components
+    from sealane.llm.common import Shelf, components
 
+    shelf = Shelf(spark)
     rng = random.Random(6)
     number = rng.sample(range(10**9), 700)
     paths = [number[:500], number[500:699]]
     edges = [(a, b) for path in paths for a, b in zip(path, path[1:], strict=False)] + [(number[699], number[699])]
-    got = components(spark.createDataFrame(edges, "a long, b long")).collect()
+    got = components(spark.createDataFrame(edges, "a long, b long"), shelf).collect()
     assert sorted((r.node, r.root) for r in got) == sorted((v, min(path)) for path in paths for v in path)
-    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+    assert components(spark.createDataFrame([], "a long, b long"), shelf).count() == 0
 
 
 def test_pipeline_near_copies(spark):
