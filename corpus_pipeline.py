@@ -7,14 +7,12 @@ sequences.  All stages but the last return the columns of ``documents``.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 from sealane.llm import exact_dedup, mixing, ngram_join, packing, toxicity
-from sealane.llm.common import documents, labels
-
+from sealane.llm.common import delete, documents, labels, shared_folder
 
 #: Near copies have a Jaccard index of 80 % on shingles of five words; op7's 90 % on three bind that query only.
 NEAR_PERCENT, NEAR_SHINGLE = 80, 5
@@ -48,22 +46,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The packed pieces of what all stages keep of ``documents``."""
-    folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="sealane-")
-    root, docs, before = f"{folder}/pipeline-{uuid.uuid4().hex}", documents(spark, sf_dir), None
+    root, docs, before = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}", documents(spark, sf_dir), None
     for name, stage in STAGES:
         path = f"{root}/{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
         if before is not None:
-            _delete(spark, before)
+            delete(spark, before)
         before = path
     return docs
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
