@@ -52,18 +52,22 @@ class Shelf:
     """Tables written as Parquet to the shared folder, which the job deletes as soon as it is done with them."""
 
     def __init__(self, spark: SparkSession) -> None:
-        self.spark, self.folder, self.paths = spark, f"{shared_folder(spark)}/shelf-{uuid.uuid4().hex}", {}
+        self.spark, self.folder = spark, f"{shared_folder(spark)}/shelf-{uuid.uuid4().hex}"
+        self.paths, self.puts = {}, 0
 
     def put(self, name: str, df: DataFrame) -> DataFrame:
-        path = f"{self.folder}/{name}-{len(self.paths)}"
+        self.puts += 1
+        path = f"{self.folder}/{name.replace(' ', '-')}-{self.puts}"
         df.write.parquet(path)
         self.paths.setdefault(name, []).append(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
+        """Delete tables; Spark's cleaner then removes finished jobs' shuffle files, which it does after a collection of the driver's memory only."""
         for name in names:
-            for path in self.paths.get(name, []):
+            for path in self.paths.pop(name, []):
                 delete(self.spark, path)
+        self.spark._jvm.System.gc()
 
 
 def delete(spark: SparkSession, path: str) -> None:

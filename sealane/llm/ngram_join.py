@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
@@ -35,27 +37,50 @@ COUNTED_AT_ONCE = 2_000_000
 MOST_SEEN = 200_000
 #: 64-bit words of a set's parity signature.
 PARITY = 8
+#: Counters of words, by hash; they only tell which shingles look rare.
+WORD_PLACES = 1 << 14
 #: Sets of one key that one task compares with each other.
 BLOCK = 1_000
 
 
-def shingle_sets(batch: pa.RecordBatch, size: int = SHINGLE) -> Iterator[tuple[int, np.ndarray]]:
-    """(row, sorted distinct 64-bit shingle hashes) of each text, A-Z lower-cased."""
+def shingle_sets(batch: pa.RecordBatch, size: int = SHINGLE, rarity: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray | None]]:
+    """(row, sorted distinct 64-bit shingle hashes, how common each looks) of each text, A-Z lower-cased.
+
+    A shingle looks as common as its words are (``rarity``, see :func:`commonness`), in 255 steps.
+    """
     for chunk in chunks(batch.column(1)):
         w = words(chunk, lowered(chunk.data))
         at, keys = ngrams(w, size)
         first = np.searchsorted(w.doc[at], np.arange(len(chunk.bounds)))
+        looks = None
+        if rarity is not None:
+            common = rarity[_place(w.hash)]
+            looks = np.minimum(255, sum(common[at + k] for k in range(size)) * (8 / size)).astype(np.uint8) if len(at) else np.empty(0, np.uint8)
         for k, (a, b) in enumerate(zip(first, first[1:], strict=False)):
             if b > a:
-                yield chunk.first + k, np.unique(keys[a:b])
+                found, place = np.unique(keys[a:b], return_index=True)
+                yield chunk.first + k, found, looks[a:b][place] if looks is not None else None
             elif w.of[k + 1] > w.of[k]:  # fewer words: the whole sequence is the one shingle
                 few = w.hash[w.of[k] : w.of[k + 1]]
                 key = mix(few[:1] + U(1))
                 for i in range(1, len(few)):
                     key = mix(key + few[i : i + 1])
-                yield chunk.first + k, key
+                yield chunk.first + k, key, np.zeros(1, np.uint8)
             else:
-                yield chunk.first + k, np.empty(0, U)
+                yield chunk.first + k, np.empty(0, U), np.empty(0, np.uint8)
+
+
+def _place(word: np.ndarray) -> np.ndarray:
+    """Where a word is counted: words share WORD_PLACES counters."""
+    return (word >> U(48)).astype(np.int64) % WORD_PLACES
+
+
+def commonness(counts: DataFrame) -> np.ndarray:
+    """Logarithm of the number of words at each counter, over all texts."""
+    out = np.zeros(WORD_PLACES, np.float32)
+    for place, times in counts.groupBy("place").agg(F.sum("times")).collect():
+        out[place] = np.log2(1 + times)
+    return out
 
 
 def set_id(shingles: np.ndarray) -> int:
@@ -68,40 +93,44 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 
 def members_and_counts(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """One pass over the texts: (doc_id, node, n) of each row, and (shingle, times) of shingles that texts share.
+    """One pass over the texts: (doc_id, node, n) of each row, (shingle, times) of shingles that texts
+    share, and (place, times) of words.
 
-    Rows with ``n`` are documents, all others counts.  A task counts the shingles of its texts, some
-    texts at a time, and reports those that several of these hold.
+    Rows with ``n`` are documents, those with ``place`` words, all others shingles.  A task counts the
+    shingles of its texts, some texts at a time, and reports those that several of these hold.
     """
 
-    def counts(sets: list[np.ndarray]) -> pa.RecordBatch:
+    def rows(k: int, doc_id=None, node=None, n=None, shingle=None, place=None, times=None) -> pa.RecordBatch:
+        kinds = {"doc_id": (doc_id, pa.int64()), "node": (node, pa.int64()), "n": (n, pa.int32()), "shingle": (shingle, pa.int64()), "place": (place, pa.int32()), "times": (times, pa.int64())}
+        return pa.RecordBatch.from_arrays([pa.nulls(k, t) if x is None else pa.array(x, t) for x, t in kinds.values()], names=list(kinds))
+
+    def shared(sets: list[np.ndarray]) -> pa.RecordBatch:
         key, count = np.unique(np.concatenate(sets), return_counts=True)
         often = count > 1
-        none, k = pa.nulls, int(often.sum())
-        return _rows(none(k, pa.int64()), none(k, pa.int64()), none(k, pa.int32()), pa.array(_signed(key[often])), pa.array(count[often].astype(np.int64)))
+        return rows(int(often.sum()), shingle=_signed(key[often]), times=count[often])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets, held = [], 0
+        sets, held, total = [], 0, np.zeros(WORD_PLACES, np.int64)
         for batch in batches:
+            for chunk in chunks(batch.column(1)):
+                total += np.bincount(_place(words(chunk, lowered(chunk.data)).hash), minlength=WORD_PLACES)
             node, n = [], []
-            for _, s in shingle_sets(batch, size):
+            for _, s, _ in shingle_sets(batch, size):
                 node.append(set_id(s))
                 n.append(len(s))
                 if len(s):
                     sets.append(s)
                     held += len(s)
                 if held >= COUNTED_AT_ONCE:
-                    yield counts(sets)
+                    yield shared(sets)
                     sets, held = [], 0
-            none = pa.nulls(len(node), pa.int64())
-            yield _rows(batch.column(0), pa.array(node, pa.int64()), pa.array(n, pa.int32()), none, none)
+            yield rows(len(node), doc_id=batch.column(0), node=node, n=n)
         if sets:
-            yield counts(sets)
-
-    def _rows(*columns: pa.Array) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(list(columns), names=["doc_id", "node", "n", "shingle", "times"])
+            yield shared(sets)
+        some = np.flatnonzero(total)
+        yield rows(len(some), place=some, times=total[some])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, node long, n int, shingle long, times long")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, node long, n int, shingle long, place int, times long")
 
 
 def widespread(counts: DataFrame, n_shingles: int) -> np.ndarray:
@@ -121,8 +150,9 @@ def lacking(n: int, percent: int = PERCENT) -> int:
 
 
 def prefix_length(n: int, percent: int = PERCENT) -> int:
-    """Of so many first elements two linked sets share at least two."""
-    return min(n, lacking(n, percent) + 2)
+    """First elements that are looked at: a quarter more than can be missing, and two."""
+    e = lacking(n, percent)
+    return min(n, e + e // 4 + 2)
 
 
 def extended(n: int, percent: int = PERCENT) -> int:
@@ -135,15 +165,23 @@ def extended(n: int, percent: int = PERCENT) -> int:
     return min(n, lacking(n, percent) + (n + 100 * n // percent) * (100 - percent) // (100 + percent) + 2)
 
 
-def in_order(s: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """A set in the common order: by hash, widespread shingles after all others."""
-    if not len(last):
-        return s
-    late = last[np.minimum(np.searchsorted(last, s), len(last) - 1)] == s
-    return np.concatenate([s[~late], s[late]])
+class Order(NamedTuple):
+    """The common order of shingles: rare-looking ones first, the most widespread ones last."""
+
+    last: np.ndarray  # sorted hashes of the widespread ones
+    rarity: np.ndarray
+
+    def widespread(self, s: np.ndarray) -> np.ndarray:
+        if not len(self.last):
+            return np.zeros(len(s), bool)
+        return self.last[np.minimum(np.searchsorted(self.last, s), len(self.last) - 1)] == s
 
+    def sorted(self, s: np.ndarray, looks: np.ndarray) -> np.ndarray:
+        """``s``, sorted by hash, in this order; equal looks stay in the order of hashes."""
+        return s[np.argsort(looks.astype(np.int16) + 256 * self.widespread(s), kind="stable")]
 
-def prefixes(docs: DataFrame, back, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
+
+def prefixes(docs: DataFrame, order, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
     """(shingle, salt, node, n, pos): the first elements of each set that can link with another.
 
     A task gives the prefix of equal sets once.  Rows of widespread shingles get a salt above 0 and
@@ -151,10 +189,10 @@ def prefixes(docs: DataFrame, back, percent: int = PERCENT, size: int = SHINGLE)
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, seen = back.value, set()
+        common, seen = order.value, set()
         for batch in batches:
             out, held = [], 0
-            for _, s in shingle_sets(batch, size):
+            for _, s, looks in shingle_sets(batch, size, common.rarity):
                 if len(s) * (100 - percent) < percent or len(s) < 2:
                     continue  # a set this small links only with its equals, which are the same node
                 node = set_id(s)
@@ -163,21 +201,20 @@ def prefixes(docs: DataFrame, back, percent: int = PERCENT, size: int = SHINGLE)
                 if len(seen) >= MOST_SEEN:
                     seen.clear()
                 seen.add(node)
-                out.append((in_order(s, last)[: prefix_length(len(s), percent)], node, len(s)))
+                out.append((common.sorted(s, looks)[: prefix_length(len(s), percent)], node, len(s)))
                 held += len(out[-1][0])
                 if held >= COUNTED_AT_ONCE // 4:
-                    yield rows(out, last)
+                    yield rows(out, common)
                     out, held = [], 0
             if out:
-                yield rows(out, last)
+                yield rows(out, common)
 
-    def rows(out: list, last: np.ndarray) -> pa.RecordBatch:
+    def rows(out: list, common: Order) -> pa.RecordBatch:
         lengths = [len(p) for p, _, _ in out]
         shingle = np.concatenate([p for p, _, _ in out])
         node, n = np.repeat(np.asarray([x for _, x, _ in out], np.int64), lengths), np.repeat(np.asarray([x for _, _, x in out], np.int32), lengths)
         pos = np.concatenate([np.arange(k, dtype=np.int32) for k in lengths])
-        late = last[np.minimum(np.searchsorted(last, shingle), len(last) - 1)] == shingle if len(last) else np.zeros(len(shingle), bool)
-        salt = np.where(late, 1 + node % SALTS, 0).astype(np.int32)
+        salt = np.where(common.widespread(shingle), 1 + node % SALTS, 0).astype(np.int32)
         return pa.RecordBatch.from_arrays([pa.array(x) for x in (_signed(shingle), salt, node, n, pos)], names=["shingle", "salt", "node", "n", "pos"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "shingle long, salt int, node long, n int, pos int")
@@ -190,88 +227,86 @@ def _lacking(n: Column, percent: int) -> Column:
 def linkable(prefix: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(node, n, tokens) of the sets that share enough of their prefix with other sets at all.
 
-    Of a linked set's prefix all but ``lacking(n)`` elements are in another one's prefix.  ``tokens`` has the
+    Of a linked set's prefix all but ``lacking(n)`` elements are in the partner's.  ``tokens`` has the
     shared ones as (pos, shingle, often) in order: more than FREQUENT prefixes hold those with ``often``.
     One exchange by shingle tells how many hold each; those known to be widespread need no count.
     """
-    from pyspark.sql import Window as W
-
     one = W.partitionBy("shingle", "salt")
     held = prefix.withColumns({"_n": F.count("*").over(one), "_low": F.min("node").over(one), "_high": F.max("node").over(one)})
     held = held.where("salt > 0 OR _low < _high").select("node", "n", "pos", "shingle", ((F.col("salt") > 0) | (F.col("_n") > FREQUENT)).alias("often"))
     sets = held.groupBy("node", "n").agg(F.collect_set(F.struct("pos", "shingle", "often")).alias("tokens"))
-    lack = _lacking(F.col("n"), percent)
-    return sets.where(F.size("tokens") >= F.least(F.col("n"), lack + 2) - lack).select("node", "n", F.array_sort("tokens").alias("tokens"))
+    return sets.where(F.size("tokens") >= _least_shared(percent)).select("node", "n", F.array_sort("tokens").alias("tokens"))
+
 
+def _least_shared(percent: int) -> Column:
+    """Elements of its prefix that a linked set shares with the partner's, which may be as small as percent allows."""
+    least = F.ceil(F.lit(percent) * F.col("n") / 100)
+    lack = _lacking(least, percent)
+    return F.least(least - lack, F.floor(lack / 4) + 2)
 
-def sets_of(docs: DataFrame, back, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
-    """(node, n, shingles, parity) of each row: its set in the common order and a signature.
+
+def sets_of(docs: DataFrame, order, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
+    """(node, n, shingles, pairs, parity) of each row: its set, the keys of neighbours in its extended
+    prefix, and a signature.
 
     Bit k of the signature is the parity of the number of elements whose hash falls on k: two sets
     differ in at least as many elements as their signatures in bits.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = back.value
+        common = order.value
         for batch in batches:
-            node, n, values, parity, held = [], [], [], [], 0
-            for _, s in shingle_sets(batch, size):
+            out, held = [], 0
+            for _, s, looks in shingle_sets(batch, size, common.rarity):
                 bits = np.bincount((mix(s) >> U(32)).astype(np.int64) % (64 * PARITY), minlength=64 * PARITY) & 1
-                parity.append(np.packbits(bits.astype(np.uint8), bitorder="little").view(np.int64))
-                node.append(set_id(s))
-                n.append(len(s))
-                values.append(_signed(in_order(s, last)))
+                ahead = common.sorted(s, looks)[: extended(len(s), percent)]
+                out.append((set_id(s), len(s), s, mix(mix(ahead[:-1]) + ahead[1:]), np.packbits(bits.astype(np.uint8), bitorder="little").view(U)))
                 held += len(s)
                 if held >= COUNTED_AT_ONCE:
-                    yield rows(node, n, values, parity)
-                    node, n, values, parity, held = [], [], [], [], 0
-            if node:
-                yield rows(node, n, values, parity)
+                    yield rows(out)
+                    out, held = [], 0
+            if out:
+                yield rows(out)
 
-    def rows(node: list, n: list, values: list, parity: list) -> pa.RecordBatch:
-        offsets = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
-        lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(values)))
-        words_of = pa.ListArray.from_arrays(np.arange(0, PARITY * len(n) + 1, PARITY, dtype=np.int32), pa.array(np.concatenate(parity)))
-        return pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(n, pa.int32()), lists, words_of], names=["node", "n", "shingles", "parity"])
+    def rows(out: list) -> pa.RecordBatch:
+        node, n, *lists = zip(*out, strict=True)
+        many = lambda x: pa.ListArray.from_arrays(np.cumsum([0, *map(len, x)]).astype(np.int32), pa.array(_signed(np.concatenate(x))))
+        return pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(n, pa.int32()), *map(many, lists)], names=["node", "n", "shingles", "pairs", "parity"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "node long, n int, shingles array<long>, parity array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "node long, n int, shingles array<long>, pairs array<long>, parity array<long>")
 
 
-def sets_for(docs: DataFrame, members: DataFrame, wanted: DataFrame, back, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
-    """(node, n, shingles, parity) of the wanted nodes, once each.
+def sets_for(docs: DataFrame, owners: DataFrame, members: DataFrame, order, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
+    """What :func:`sets_of` gives for the nodes of ``owners`` (node, n, doc_id), once each.
 
     Sets come from the rows of one id of each node and, for nodes that only null-id rows hold, from
     a pass over these rows.
     """
-    owners = members.join(wanted.select("node", "n"), ["node", "n"], "left_semi").groupBy("node", "n").agg(F.min("doc_id").alias("doc_id"))
     ids = owners.where("doc_id IS NOT NULL").select("doc_id").distinct()
-    n_ids, n_nameless = owners.agg(F.count("doc_id"), F.count_if(F.col("doc_id").isNull())).first()
-    few = n_ids <= BROADCAST_IDS
-    ids = F.broadcast(ids) if few else ids
-    found = sets_of(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi"), back, percent, size)
+    n_ids, n_nameless = owners.agg(F.count_distinct("doc_id"), F.count_if(F.col("doc_id").isNull())).first()
+    ids = F.broadcast(ids) if n_ids <= BROADCAST_IDS else ids
+    found = sets_of(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi"), order, percent, size)
     repeated = members.join(ids, "doc_id", "left_semi").count() > n_ids
     if n_nameless:
         nameless = owners.where("doc_id IS NULL").select("node", "n")
-        rows = sets_of(docs.where("doc_id IS NULL"), back, percent, size)
+        rows = sets_of(docs.where("doc_id IS NULL"), order, percent, size)
         found = found.unionByName(rows.join(F.broadcast(nameless) if n_nameless <= BROADCAST_IDS else nameless, ["node", "n"], "left_semi"))
     return found.dropDuplicates(["node", "n"]) if repeated or n_nameless else found
 
 
-def index_keys(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(key, v, first): single rare shingles of prefixes, and pairs of neighbours of extended prefixes.
+def indexed(tokens: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(node, n, first, keys, parity): single rare shingles of prefixes, and pairs of neighbours of extended ones.
 
-    ``sets`` has ``tokens`` of :func:`linkable`.  If two linked sets share a shingle of their prefixes that is
-    not frequent, they have it as a key.  Else both prefixes hold frequent ones, and both sets are
-    indexed by the pairs of neighbours in the extended prefix, of which they share one.  Keys grow
-    with the length of a set, not with its square.
+    If two linked sets share a shingle of their prefixes that is not frequent, they have it as a
+    key.  Else all that their prefixes share are frequent, and both sets are indexed by the pairs of
+    neighbours in the extended prefix, of which they share one.  Keys grow with the length of a set,
+    not with its square.  ``first`` is the place of the first shingle that another prefix has too.
     """
-    v, first = F.struct("node", "n").alias("v"), F.get("tokens", F.lit(0))["pos"].alias("first")
-    rare = sets.select(v, first, F.explode(F.filter("tokens", lambda t: ~t["often"])).alias("t")).select(F.xxhash64(F.lit(1), "t.shingle").alias("key"), "v", "first")
-    crowded = sets.where(F.exists("tokens", lambda t: t["often"]))
-    lack, other = _lacking(F.col("n"), percent), F.floor(F.lit(100) * F.col("n") / percent)
-    length = F.least(F.col("n"), (lack + F.floor((F.col("n") + other) * (100 - percent) / (100 + percent)) + 2).cast("int"))
-    pairs = F.transform(F.slice("shingles", 1, length - 1), lambda x, k: F.xxhash64(F.lit(2), x, F.get("shingles", k + 1)))
-    return rare.unionByName(crowded.select(F.explode(pairs).alias("key"), v, first))
+    rare = F.transform(F.filter("tokens", lambda t: ~t["often"]), lambda t: F.xxhash64(F.lit(1), t["shingle"]))
+    crowded = F.size(F.filter("tokens", lambda t: t["often"])) >= _least_shared(percent)
+    keyed = tokens.select("node", "n", F.get("tokens", F.lit(0))["pos"].alias("first"), rare.alias("rare"), crowded.alias("crowded"))
+    found = keyed.join(sets.select("node", "n", "pairs", "parity"), ["node", "n"])
+    return found.select("node", "n", "first", F.when(F.col("crowded"), F.array_distinct(F.concat("rare", "pairs"))).otherwise(F.col("rare")).alias("keys"), "parity")
 
 
 def _least(a: str, b: str, percent: int) -> Column:
@@ -319,36 +354,42 @@ def links(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> tuple
     shelf = Shelf(docs.sparkSession)
     both = shelf.put("members", members_and_counts(docs, size))
     members = both.where("n IS NOT NULL").select("doc_id", "node", "n")
-    back = docs.sparkSession.sparkContext.broadcast(widespread(both.where("n IS NULL"), members.agg(F.sum("n")).first()[0] or 0))
-    tokens = shelf.put("tokens", linkable(prefixes(docs, back, percent, size), percent))
-    sets = shelf.put("sets", sets_for(docs, members, tokens, back, percent, size))
-    keys = shelf.put("all keys", index_keys(tokens.join(sets.select("node", "n", "shingles"), ["node", "n"]), percent))
-    lone = shelf.put("lone", keys.groupBy("key").agg(F.min(F.struct("first", "v")).alias("centre"), F.count("*").alias("size")).where("size > 1"))
-    keys = shelf.put("keys", lookup(keys, lone, ["key"], "size", keys.count(), how="inner"))
-    shelf.drop("tokens", "all keys")
-
-    stars = keys.select(F.col("centre.v").alias("a"), F.col("centre.first").alias("first_a"), F.col("v").alias("b"), F.col("first").alias("first_b"))
+    last = widespread(both.where("shingle IS NOT NULL"), members.agg(F.sum("n")).first()[0] or 0)
+    order = docs.sparkSession.sparkContext.broadcast(Order(last, commonness(both.where("place IS NOT NULL"))))
+    tokens = shelf.put("tokens", linkable(prefixes(docs, order, percent, size), percent))
+    owners = shelf.put("owners", members.join(tokens.select("node", "n"), ["node", "n"], "left_semi").groupBy("node", "n").agg(F.min("doc_id").alias("doc_id")))
+    sets = shelf.put("sets", sets_for(docs, owners, members, order, percent, size))
+    index = shelf.put("index", indexed(tokens, sets, percent))
+    shelf.drop("tokens", "owners")
+
+    keys = index.select(F.explode("keys").alias("key"), F.struct("node", "n").alias("b"), F.col("first").alias("first_b"))
+    centres = keys.groupBy("key").agg(F.min(F.struct("first_b", "b")).alias("centre"), F.count("*").alias("size")).where("size > 1")
+    centres = shelf.put("centres", centres.select("key", "size", F.col("centre.b").alias("a"), F.col("centre.first_b").alias("first_a")))
+    stars = lookup(keys, centres, ["key"], "size", centres.agg(F.sum("size")).first()[0] or 0, how="inner")
     stars = stars.where((F.col("a") != F.col("b")) & _may_link(percent)).select("a", "b").distinct()
-    stars = shelf.put("stars", _attach(stars, sets, "parity").where(_parity_allows(percent)).select("a", "b"))
+    stars = shelf.put("stars", _attach(stars, index, "parity").where(_parity_allows(percent)).select("a", "b"))
+    shelf.drop("centres")
     found = shelf.put("links", verified(stars, sets, percent))
     roots = components(found, shelf)
-    rest = shelf.put("rest", across(keys.select("key", "v", "first", "size"), roots, sets, percent).join(stars, ["a", "b"], "left_anti"))
+    rest = shelf.put("rest", across(index, roots, shelf, percent).join(stars, ["a", "b"], "left_anti"))
     if not rest.isEmpty():
         roots = components(found.unionByName(shelf.put("links", verified(rest, sets, percent))), shelf)
-    shelf.drop("sets", "keys", "lone", "stars", "links", "rest")
+    shelf.drop("sets", "index", "stars", "links", "rest", "split")
     return members, roots, shelf
 
 
-def across(keys: DataFrame, roots: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+def across(index: DataFrame, roots: DataFrame, shelf: Shelf, percent: int = PERCENT) -> DataFrame:
     """(a, b) of sets that share a key, are in different components and may link.
 
     The sets of a key with many are dealt into blocks of about BLOCK, each of which meets all, so no
     task compares more than BLOCK sets of a key with the others.
     """
-    placed = keys.join(roots.select(F.col("node").alias("v"), "root"), "v", "left").withColumn("root", F.coalesce("root", "v"))
-    split = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("key")
-    parity = sets.select(F.struct("node", "n").alias("v"), "parity")
-    rows = placed.join(split, "key", "left_semi").join(parity, "v").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+    v = F.struct("node", "n")
+    placed = index.select(v.alias("v"), "first", "keys", "parity").join(roots.select(F.col("node").alias("v"), "root"), "v", "left")
+    placed = placed.select("v", "first", F.explode("keys").alias("key"), F.coalesce("root", "v").alias("root"), "parity")
+    split = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size")).where("low != high")
+    split = shelf.put("split", split.select("key", "size"))
+    rows = lookup(placed, split, ["key"], "size", split.agg(F.sum("size")).first()[0] or 0, how="inner").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
     side = lambda x: [F.col("v").alias(x), F.col("first").alias(f"first_{x}"), F.col("root").alias(f"root_{x}"), F.col("parity").alias(f"parity_{x}")]
     a = rows.select("key", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int").alias("block"), *side("a"))
     b = rows.select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), *side("b"))
@@ -392,7 +433,7 @@ def one_of_each(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) ->
 
     def run(batches):
         for batch in batches:
-            found = [(set_id(s), len(s)) for _, s in shingle_sets(batch.select(["doc_id", "text"]), size)]
+            found = [(set_id(s), len(s)) for _, s, _ in shingle_sets(batch.select(["doc_id", "text"]), size)]
             node, n = zip(*found, strict=True) if found else ((), ())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(node, pa.int64()), pa.array(n, pa.int32())], names=[*batch.schema.names, "_node", "_n"])
 
