@@ -37,6 +37,8 @@ COUNTED_AT_ONCE = 2_000_000
 MOST_SEEN = 200_000
 #: 64-bit words of a set's parity signature.
 PARITY = 8
+#: Keys by which a set first meets others, and how many at each.
+STAR_KEYS, CENTRES = 12, 4
 #: Counters of words, by hash; they only tell which shingles look rare.
 WORD_PLACES = 1 << 14
 #: Sets of one key that one task compares with each other.
@@ -343,9 +345,9 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataF
 def links(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> tuple[DataFrame, DataFrame, Shelf]:
     """(node of every document, root of every linked node, the shelf that holds both).
 
-    Candidate pairs are taken in two steps.  First every set is checked against one set of each of
-    its keys only, the one with the fewest shingles of its own: what thousands of near copies share
-    costs thousands of pairs and not their square.  Then, for keys whose sets are still in different
+    Candidate pairs are taken in two steps.  First every set is checked against a few sets of each of
+    some of its keys only: what thousands of near copies share costs thousands of pairs and not
+    their square.  Then, for keys whose sets are still in different
     components, pairs across components are compared by size, place and signature, block by block,
     and those that these leave open are checked.  Links inside a component are not needed.
     """
@@ -357,27 +359,36 @@ def links(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> tuple
     last = widespread(both.where("shingle IS NOT NULL"), members.agg(F.sum("n")).first()[0] or 0)
     order = docs.sparkSession.sparkContext.broadcast(Order(last, commonness(both.where("place IS NOT NULL"))))
     tokens = shelf.put("tokens", linkable(prefixes(docs, order, percent, size), percent))
-    owners = shelf.put("owners", members.join(tokens.select("node", "n"), ["node", "n"], "left_semi").groupBy("node", "n").agg(F.min("doc_id").alias("doc_id")))
+    owners = shelf.put("owners", members.groupBy("node", "n").agg(F.min("doc_id").alias("doc_id")).join(tokens.select("node", "n"), ["node", "n"], "left_semi"))
     sets = shelf.put("sets", sets_for(docs, owners, members, order, percent, size))
     index = shelf.put("index", indexed(tokens, sets, percent))
     shelf.drop("tokens", "owners")
 
-    keys = index.select(F.explode("keys").alias("key"), F.struct("node", "n").alias("b"), F.col("first").alias("first_b"))
-    centres = keys.groupBy("key").agg(F.min(F.struct("first_b", "b")).alias("centre"), F.count("*").alias("size")).where("size > 1")
-    centres = shelf.put("centres", centres.select("key", "size", F.col("centre.b").alias("a"), F.col("centre.first_b").alias("first_a")))
-    stars = lookup(keys, centres, ["key"], "size", centres.agg(F.sum("size")).first()[0] or 0, how="inner")
-    stars = stars.where((F.col("a") != F.col("b")) & _may_link(percent)).select("a", "b").distinct()
-    stars = shelf.put("stars", _attach(stars, index, "parity").where(_parity_allows(percent)).select("a", "b"))
-    shelf.drop("centres")
+    stars = shelf.put("stars", to_centres(index, shelf, percent))
     found = shelf.put("links", verified(stars, sets, percent))
     roots = components(found, shelf)
     rest = shelf.put("rest", across(index, roots, shelf, percent).join(stars, ["a", "b"], "left_anti"))
     if not rest.isEmpty():
         roots = components(found.unionByName(shelf.put("links", verified(rest, sets, percent))), shelf)
-    shelf.drop("sets", "index", "stars", "links", "rest", "split")
+    shelf.drop("sets", "index", "centres", "stars", "links", "rest", "split")
     return members, roots, shelf
 
 
+def to_centres(index: DataFrame, shelf: Shelf, percent: int = PERCENT) -> DataFrame:
+    """(a, b): each set with CENTRES sets of each of its STAR_KEYS smallest keys, if size, place and signature allow a link.
+
+    Which sets of a key are its centres depends on a hash of both, so a group that shares many keys has many centres.
+    """
+    v = F.struct("node", "n")
+    keys = index.select(F.explode(F.slice(F.array_sort("keys"), 1, STAR_KEYS)).alias("key"), v.alias("b"), F.col("first").alias("first_b"))
+    some = [F.min(F.struct(F.xxhash64(F.lit(k), "key", "b").alias("at"), "b", "first_b")) for k in range(CENTRES)]
+    centres = keys.groupBy("key").agg(F.array_distinct(F.array(*some)).alias("centres"), F.count("*").alias("size")).where("size > 1")
+    centres = shelf.put("centres", centres.select("key", "size", F.transform("centres", lambda c: F.struct(c["b"].alias("a"), c["first_b"].alias("first_a"))).alias("centres")))
+    pairs = lookup(keys, centres, ["key"], "size", centres.agg(F.sum("size")).first()[0] or 0, how="inner")
+    pairs = pairs.select("b", "first_b", F.inline("centres")).where((F.col("a") != F.col("b")) & _may_link(percent)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return _attach(pairs, index, "parity").where(_parity_allows(percent)).select("a", "b")
+
+
 def across(index: DataFrame, roots: DataFrame, shelf: Shelf, percent: int = PERCENT) -> DataFrame:
     """(a, b) of sets that share a key, are in different components and may link.
 
@@ -428,26 +439,29 @@ def one_of_each(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) ->
     sets = shelf.put("sets", sets.join(roots, ["node", "n"], "left").select("node", "n", "size", "first", F.coalesce("r_node", "node").alias("r_node"), F.coalesce("r_n", "n").alias("r_n")))
     stays = sets.groupBy("r_node", "r_n").agg(F.sum("size").alias("total"), F.min(F.struct("first.nameless", "first.doc_id", "node", "n")).alias("stays")).where("total > 1")
     judged = sets.join(stays, ["r_node", "r_n"]).select("node", "n", "size", (F.col("stays.node").eqNullSafe(F.col("node")) & F.col("stays.n").eqNullSafe(F.col("n"))).alias("stays"), F.col("first.doc_id").alias("keep_id"), F.col("first.copies").alias("copies"))
-    judged = shelf.put("judged", judged.select(F.col("node").alias("_node"), F.col("n").alias("_n"), "size", F.struct("stays", "keep_id", "copies").alias("_judged")))
-    n_judged, n_repeated = judged.agg(F.count("*"), F.count_if(F.col("_judged.stays") & (F.col("_judged.copies") > 1))).first()
+    judged = shelf.put("judged", judged.select("node", "n", "size", F.struct("stays", "keep_id", "copies").alias("judged")))
+    n_judged, n_repeated = judged.agg(F.count("*"), F.count_if(F.col("judged.stays") & (F.col("judged.copies") > 1))).first()
 
-    def run(batches):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [(set_id(s), len(s)) for _, s, _ in shingle_sets(batch.select(["doc_id", "text"]), size)]
+            row = batch.column(0)
+            texts = pa.RecordBatch.from_arrays([row.field("doc_id"), row.field("text")], names=["doc_id", "text"])
+            found = [(set_id(s), len(s)) for _, s, _ in shingle_sets(texts, size)]
             node, n = zip(*found, strict=True) if found else ((), ())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(node, pa.int64()), pa.array(n, pa.int32())], names=[*batch.schema.names, "_node", "_n"])
+            yield pa.RecordBatch.from_arrays([row, pa.array(node, pa.int64()), pa.array(n, pa.int32())], names=["d", "node", "n"])
 
-    placed = docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("_node", LongType()), StructField("_n", IntegerType())]))
+    placed = docs.select(F.struct(*docs.columns).alias("d"))  # apart from whatever the columns are called
+    placed = placed.mapInArrow(run, StructType([*placed.schema.fields, StructField("node", LongType()), StructField("n", IntegerType())]))
     if n_judged <= BROADCAST_IDS:
-        placed = placed.join(F.broadcast(judged.drop("size")), ["_node", "_n"], "left")
+        placed = placed.join(F.broadcast(judged.drop("size")), ["node", "n"], "left")
     else:
-        placed = lookup(placed, judged.withColumnRenamed("size", "_size"), ["_node", "_n"], "_size", members.count())
-    first = F.col("_judged.stays") & F.col("doc_id").eqNullSafe(F.col("_judged.keep_id"))
-    kept = placed.where(F.col("_judged").isNull() | first & (F.col("_judged.copies") == 1)).select(*docs.columns)
+        placed = lookup(placed, judged, ["node", "n"], "size", members.count())
+    first = F.col("judged.stays") & F.col("d.doc_id").eqNullSafe(F.col("judged.keep_id"))
+    kept = placed.where(F.col("judged").isNull() | first & (F.col("judged.copies") == 1)).select("d.*")
     if not n_repeated:
         return kept
-    one = placed.where(first & (F.col("_judged.copies") > 1)).groupBy("_node", "_n").agg(F.min_by(F.struct(*docs.columns), "text").alias("_row"))
-    return kept.unionByName(one.select(*[F.col("_row")[c].alias(c) for c in docs.columns]))
+    one = placed.where(first & (F.col("judged.copies") > 1)).groupBy("node", "n").agg(F.min_by("d", F.col("d.text")).alias("d"))
+    return kept.unionByName(one.select("d.*"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
