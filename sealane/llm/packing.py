@@ -6,21 +6,22 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sealane.llm.common import documents, durable
+from sealane.llm.common import Shelf, documents
 
 CAPACITY = 1024
 END_ID = 2
-#: Pieces that one task packs, on average.
-SHARD = 60_000
-#: Chunks of text whose ids a Python worker remembers; when full, it starts anew.
-MOST_REMEMBERED = 1_000_000
+#: Pieces that one task packs, on average; of these the emptiest sequences with one in TAIL are packed again with others'.
+SHARD, TAIL = 60_000, 8
+#: Bytes of text chunks and their ids that a Python worker remembers, about; when full, it starts anew.
+MOST_REMEMBERED = 24 << 20
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _PLACED = _PIECES + ", sequence_id long, offset long"
@@ -73,16 +74,20 @@ class ChunkEncoder:
 
 
 class _Remembered(dict):
-    """Results of a function by its argument, up to MOST_REMEMBERED."""
+    """Results of a function by its argument, up to about MOST_REMEMBERED bytes."""
 
     def __init__(self, function) -> None:
         super().__init__()
-        self.function = function
+        self.function, self.room = function, MOST_REMEMBERED
 
     def __missing__(self, key: str) -> bytes:
-        if len(self) >= MOST_REMEMBERED:
+        found = self.function(key)
+        self.room -= 4 * len(key) + len(found) + 160  # 160: what Python adds for the two and their place
+        if self.room < 0:
             self.clear()
-        self[key] = found = self.function(key)
+            self.room = MOST_REMEMBERED
+        if len(key) < 200:
+            self[key] = found
         return found
 
 
@@ -120,18 +125,18 @@ def pieces(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, _PIECES)
 
 
-def sum_of_squares(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray]:
+def sum_of_squares(lengths: np.ndarray, capacity: int = CAPACITY, sparing: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """(bin, offset) of each item, taken in the order given.
 
     Each item goes where the sum over all residual gaps of the squared number of open bins with
-    that gap becomes smallest.  A bin is opened only where no open one has room: items come
-    longest first, so an opened bin would not be filled better later on.  Among equal choices the
-    tightest bin wins.  Empty and full bins count nothing.
+    that gap becomes smallest, be it an open bin or a new one; among equal choices the tightest bin
+    wins.  Empty and full bins count nothing.  With ``sparing`` a bin is opened only where no open
+    one has room, whatever the squares.
     """
     count = np.zeros(capacity + 1, dtype=np.int64)  # open bins by gap; [0] and [capacity] stay 0
     open_bins: list[list[int]] = [[] for _ in range(capacity + 1)]
     leave = np.full(capacity + 1, 1 << 40, dtype=np.int64)  # change of the sum when a bin leaves this gap
-    leave[capacity] = 1 << 39  # a new bin: only where nothing else has room
+    leave[capacity] = 1 << 39 if sparing else 0  # a new bin
     enter = np.ones(capacity + 1, dtype=np.int64)  # and when one comes to it
     enter[0] = 0
     bins, offsets, n_bins = np.empty(len(lengths), np.int64), np.empty(len(lengths), np.int64), 0
@@ -155,27 +160,57 @@ def sum_of_squares(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.nd
     return bins, offsets
 
 
+def emptiest(bins: np.ndarray, lengths: np.ndarray, most: int, capacity: int = CAPACITY) -> np.ndarray:
+    """Which items lie in the emptiest bins that are not full and have ``most`` items together."""
+    fill, held = np.bincount(bins, lengths), np.bincount(bins)
+    order = np.argsort(fill, kind="stable")
+    again = np.zeros(len(fill), bool)
+    again[order[(np.cumsum(held[order]) <= most) & (fill[order] < capacity)]] = True
+    return again[bins]
+
+
 def pack(docs: DataFrame, tokenizer_path: str, shard: int = SHARD) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) of every piece.
 
     Documents are encoded once and their pieces, without text, are written to the shared folder.
-    Pieces are dealt to tasks by a hash of (doc_id, piece), so neither long documents nor hot
-    sources gather anywhere; each task packs about ``shard`` of them, longest first, and leaves
-    but a few sequences unfilled.  A null or empty text is one piece with the end id alone.
-    Repeated rows are packed once each.  Only doc_id and text are read.  An empty table gives an
-    empty result.
+    Pieces are dealt to tasks by a hash of their row, so neither long documents nor hot sources nor
+    repeated rows gather anywhere; each task packs about ``shard`` of them, longest first.  The
+    emptiest sequences of all tasks are opened again and their pieces packed together, level by
+    level, until one task holds the last of them, which opens a sequence only where it must.
+    A null or empty text is one piece with the end id alone.  Repeated rows are packed once each.
+    Only doc_id and text are read.  An empty table gives an empty result.
     """
-    parts = durable(pieces(docs, tokenizer_path))
-    n_shards = max(1, -(-parts.count() // shard))
-
-    def place(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["length", "doc_id", "piece"], ascending=[False, True, True], kind="stable")
-        bins, offsets = sum_of_squares(group["length"].to_numpy())
-        group = group.assign(sequence_id=(group["_shard"].to_numpy().astype(np.int64) << 32) | bins, offset=offsets)
-        return group.drop(columns="_shard")
-
-    dealt = parts.withColumn("_shard", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(n_shards)).cast("int"))
-    return dealt.groupBy("_shard").applyInPandas(place, _PLACED)
+    shelf = Shelf(docs.sparkSession)
+    todo = shelf.put("pieces", pieces(docs, tokenizer_path).withColumn("_row", F.monotonically_increasing_id()))
+    level, done = 0, []
+    while True:
+        n_shards = max(1, -(-todo.count() // shard))
+        dealt = todo.withColumn("_shard", F.pmod(F.xxhash64("_row", F.lit(level)), F.lit(n_shards)).cast("int"))
+        placed = shelf.put(f"level {level}", dealt.groupBy("_shard").applyInArrow(_place(level, n_shards == 1, shard), f"{_PLACED}, _row long, _again boolean"))
+        done.append(placed.where("NOT _again").drop("_row", "_again"))
+        if n_shards == 1:
+            return reduce(DataFrame.unionByName, done)
+        todo, level = placed.where("_again").select(*_PIECE_NAMES, "_row"), level + 1
+
+
+_PIECE_NAMES = [part.split()[0] for part in _PIECES.split(", ")]
+
+
+def _place(level: int, last: bool, shard: int):
+    """What packs the pieces of one shard."""
+
+    def place(group: pa.Table) -> pa.Table:
+        group = group.take(pc.sort_indices(group, [("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("_row", "ascending")]))
+        lengths = group["length"].to_numpy()
+        bins, offsets = sum_of_squares(lengths, sparing=last)
+        again = np.zeros(len(lengths), bool) if last else emptiest(bins, lengths, shard // TAIL)
+        names = (level << 56) | (group["_shard"][0].as_py() << 32) | bins
+        found = group.select(_PIECE_NAMES)
+        for name, values in (("sequence_id", names), ("offset", offsets)):
+            found = found.append_column(name, pa.array(values, pa.int64()))
+        return found.append_column("_row", group["_row"]).append_column("_again", pa.array(again))
+
+    return place
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
