@@ -12,14 +12,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sealane.llm.common import documents, labels
+from sealane.llm.common import documents, durable, labels
 from sealane.llm.words import Chunk, Words, chunks, words
 
-#: The model is fitted on so many labelled texts at most, of up to so many characters each.
-MOST_TOXIC, MOST_CLEAN, LONGEST_LABELLED = 1_500, 2_500, 400_000
+#: The model is fitted on so many labelled texts at most, each read whole.
+MOST_TOXIC, MOST_CLEAN = 3_000, 6_000
 #: Evidence of a word counts from so many toxic texts on; weight of the prior in texts.
 LEAST_SUPPORT, PRIOR = 3, 2.0
-MOST_REMEMBERED = 500_000
+MOST_REMEMBERED = 100_000
 #: A text with this score is predicted to be toxic.
 LEAST_TOXIC = 0.5
 
@@ -259,15 +259,12 @@ def score(model: Model, evidence: list[float]) -> float:
     return 1 / (1 + math.exp(-max(-30.0, min(30.0, float(np.dot(model.weights, summary(evidence)))))))
 
 
-def _evidence(keys: np.ndarray, toxic: np.ndarray, n_toxic: int, n_clean: int) -> dict[int, float]:
-    """Smoothed log odds of a feature in toxic texts, where it is positive and has support."""
-    some, total = np.unique(keys, return_counts=True)
-    at = np.searchsorted(some, keys[toxic])
-    a = np.bincount(at, minlength=len(some))
+def evidence_of(keys: np.ndarray, toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int) -> dict[int, float]:
+    """Smoothed log odds of features by how many toxic and clean texts have them, where positive and with support."""
     ratio = n_toxic / max(n_clean, 1)
-    value = np.log((a + PRIOR * ratio) / (total - a + PRIOR) / max(ratio, 1e-9))
-    keep = (a >= LEAST_SUPPORT) & (value > 0.5)
-    return dict(zip(some[keep].tolist(), value[keep].tolist(), strict=True))
+    value = np.log((toxic + PRIOR * ratio) / (clean + PRIOR) / max(ratio, 1e-9))
+    keep = (toxic >= LEAST_SUPPORT) & (value > 0.5)
+    return dict(zip(keys[keep].tolist(), value[keep].tolist(), strict=True))
 
 
 def _by_word(keys: np.ndarray, table: dict[int, float]) -> list[float]:
@@ -276,29 +273,16 @@ def _by_word(keys: np.ndarray, table: dict[int, float]) -> list[float]:
     return found[found > 0].tolist()
 
 
-def fit(texts: list[np.ndarray], toxic: np.ndarray, half: np.ndarray) -> Model:
-    """``texts`` has the features of each text's distinct words, three for each word.
+def plain_weights(n_toxic: int, n: int) -> np.ndarray:
+    """Weights by which every score is the share of toxic texts."""
+    rate, plain = (n_toxic + 0.5) / (n + 1) if n else 0.0, np.zeros(len(summary([])))
+    plain[0] = math.log(max(rate, 1e-6) / max(1 - rate, 1e-6))
+    return plain
 
-    Evidence comes from all of them, with a logistic regression on top of it.
 
-    The regression sees each half of the texts with the other half's evidence, so that it learns
-    how far evidence holds on new texts.  Without both labels the score is the share of toxic ones.
-    """
-    rate = (toxic.sum() + 0.5) / (len(toxic) + 1) if len(toxic) else 0.0
-    plain = np.zeros(len(summary([])))
-    plain[0] = math.log(max(rate, 1e-6) / max(1 - rate, 1e-6))
-    if not len(toxic) or toxic.all() or not toxic.any():
-        return Model({}, plain)
-    once = [np.unique(t) for t in texts]
-    keys, doc = np.concatenate(once), np.repeat(np.arange(len(texts)), [len(t) for t in once])
-
-    def learn(rows: np.ndarray) -> dict[int, float]:
-        inside = rows[doc]
-        return _evidence(keys[inside], toxic[doc[inside]], int(toxic[rows].sum()), int((~toxic[rows]).sum()))
-
-    whole, halves = learn(np.ones(len(toxic), bool)), [learn(half != h) for h in (0, 1)]
-    x = np.asarray([summary(_by_word(texts[i], halves[half[i]])) for i in range(len(texts))])
-    y, w = toxic.astype(float), plain.copy()
+def regression(x: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """Weights of a logistic regression of the label on what summary() gives."""
+    y, w = toxic.astype(float), plain_weights(int(toxic.sum()), len(toxic))
     penalty = np.diag([1e-3] + [0.05] * (len(w) - 1))
     for _ in range(50):  # Newton steps
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
@@ -306,33 +290,70 @@ def fit(texts: list[np.ndarray], toxic: np.ndarray, half: np.ndarray) -> Model:
         w = w - step
         if np.abs(step).max() < 1e-6:
             break
-    return Model(whole, w)
+    return w
 
 
 def held_out(column="doc_id"):
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def train(docs: DataFrame, marks: DataFrame, lm_var) -> Model:
-    """Fit on labelled rows that are not held out: those of each label with the smallest hashes."""
+def sample(docs: DataFrame, marks: DataFrame) -> DataFrame:
+    """(doc_id, toxic, half, text) of at most MOST_TOXIC and MOST_CLEAN labelled rows that are not held out, those with
+    the smallest hashes; of equal texts one, toxic if any of them is."""
     known = marks.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = F.xxhash64("doc_id", F.lit(5))
     some = known.where("toxic = 1").orderBy(order).limit(MOST_TOXIC).unionByName(known.where("toxic = 0").orderBy(order).limit(MOST_CLEAN))
-    sample = docs.select("doc_id", "text").where(F.length("text") <= LONGEST_LABELLED).join(F.broadcast(some), "doc_id")
+    texts = docs.select("doc_id", "text").where("text IS NOT NULL").withColumn("print", F.xxhash64("text"))
+    once = texts.join(F.broadcast(some), "doc_id").groupBy("print").agg(F.min("doc_id").alias("doc_id"), F.max("toxic").alias("toxic"))
+    half = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(2)).cast("int")
+    return texts.join(F.broadcast(durable(once.withColumn("half", half))), ["doc_id", "print"]).select("doc_id", "toxic", "half", "text")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _features(reader: Reader, column: pa.Array) -> Iterator[np.ndarray]:
+    """The features of each text's distinct words, three for each word."""
+    for found in reader.texts(column):
+        bare = sorted({x for word in found if len(x := word.strip(EDGES)) >= 3})
+        yield np.asarray([features(word) for word in bare], np.int64).ravel()
+
+
+def train(docs: DataFrame, marks: DataFrame, lm_var) -> Model:
+    """Evidence of words from labelled texts that are not held out, and a logistic regression on top of it.
+
+    Spark counts in how many texts of each label and half a feature is; features with the support
+    come to the driver.  The regression sees each half of the texts with the other half's evidence, so
+    that it learns how far evidence holds on new texts; of each text only the summary comes to the
+    driver.  Without both labels the score is the share of toxic ones.
+    """
+    some = sample(docs, marks)
+    sizes = {(r.toxic, r.half): r.n for r in some.groupBy("toxic", "half").agg(F.count("*").alias("n")).collect()}
+    n = lambda toxic, halves=(0, 1): sum(sizes.get((toxic, h), 0) for h in halves)
+    if not n(1) or not n(0):
+        return Model({}, plain_weights(n(1), n(0) + n(1)))
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(lm_var.value)
         for batch in batches:
-            out = []
-            for found in reader.texts(batch.column(0)):
-                bare = sorted({x for word in found if len(x := word.strip(EDGES)) >= 3})
-                out.append(np.asarray([features(word) for word in bare], np.int64).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(out, pa.binary())], names=["toxic", "half", "keys"])
-
-    half = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(2)).cast("int").alias("half")
-    rows = sample.select("text", "toxic", half).mapInArrow(run, "toxic int, half int, keys binary").dropDuplicates(["keys"]).collect()
-    rows.sort(key=lambda r: r[2])
-    return fit([np.frombuffer(r[2], np.int64) for r in rows], np.asarray([r[0] == 1 for r in rows], bool), np.asarray([r[1] for r in rows], np.int64))
+            keys = [np.unique(f) for f in _features(reader, batch.column(2))]
+            group = np.repeat(2 * batch.column(0).to_numpy() + batch.column(1).to_numpy(), [len(k) for k in keys])
+            both, times = np.unique(np.stack([np.concatenate([*keys, np.empty(0, np.int64)]), group], 1), axis=0, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(times)], names=["key", "kind", "n"])
+
+    rows = some.select("toxic", "half", "text").mapInArrow(counted, "key long, kind long, n long")
+    kinds = [F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in range(4)]
+    table = rows.groupBy("key").agg(*kinds).where(F.col("n2") + F.col("n3") >= LEAST_SUPPORT).toArrow()
+    keys, *c = (table.column(k).to_numpy() for k in range(5))
+    whole = evidence_of(keys, c[2] + c[3], c[0] + c[1], n(1), n(0))
+    halves = docs.sparkSession.sparkContext.broadcast([evidence_of(keys, c[3 - h], c[1 - h], n(1, (1 - h,)), n(0, (1 - h,))) for h in (0, 1)])
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = Reader(lm_var.value)
+        for batch in batches:
+            out = [summary(_by_word(f, halves.value[h])) for f, h in zip(_features(reader, batch.column(2)), batch.column(1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.float64()))], names=["toxic", "x"])
+
+    seen = some.select("toxic", "half", "text").mapInArrow(summed, "toxic int, x array<double>").toArrow()
+    order = np.lexsort(np.asarray(seen.column(1).to_pylist()).T[::-1])  # sums are the same in every run
+    return Model(whole, regression(np.asarray(seen.column(1).to_pylist())[order], seen.column(0).to_numpy()[order] == 1))
 
 
 def toxicity(docs: DataFrame, marks: DataFrame) -> DataFrame:
