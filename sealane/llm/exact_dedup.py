@@ -27,9 +27,10 @@ def digests(docs: DataFrame) -> DataFrame:
 def merge_runs(rows: DataFrame, n_runs: int) -> DataFrame:
     """(digest, sha, n_bytes, keep, group_size): one global run, in segments by digest.
 
-    Each input partition is a run.  In every round, FAN_IN neighbouring runs are merged: the
-    exchange sends a digest's entries of those runs to one place, after each task has reduced its
-    own.  ``keep`` is a struct, so Spark plans sort-based aggregation: both sides of the exchange
+    Each input partition is a run.  FAN_IN is a power of two and a round of the tree is as many
+    binomial rounds at once: runs whose numbers differ in the next three bits only exchange their
+    entries and are merged together (a merge of eight ways).  The exchange sends a digest's entries
+    of those runs to one place, after each task has reduced its own.  ``keep`` is a struct, so Spark plans sort-based aggregation: both sides of the exchange
     are sorted runs that are merged in order.  The 64-bit digest orders the runs; two entries are
     one group only if the SHA-256 and the length agree too, which is verified at every level.
     The keeper is the smallest (doc_id, row), null ids last.
@@ -70,20 +71,20 @@ def _decided(rows: DataFrame) -> DataFrame:
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """``docs`` without the rows that :func:`exact_dedup` drops; columns stay as they are.
+    """``docs`` without the rows that :func:`exact_dedup` drops; columns stay as they are, whatever their names.
 
     A row is known by its doc_id and text.  Where a keeper's own row is repeated (the same doc_id
-    and an equal text), one of these rows stays.
+    and an equal text), one of these rows stays.  An empty table gives an empty result.
     """
-    lost = durable(_decided(digests(docs)).where("NOT kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"), F.col("keep_id").eqNullSafe(F.col("doc_id")).alias("_twin")).distinct())
-    sha = F.sha2(F.regexp_replace(text_or_empty(), WS, " "), 256)
-    same = docs["doc_id"].eqNullSafe(F.col("_id")) & (sha == F.col("_sha"))
-    left = docs.join(lost, same, "left_anti")
-    twins = lost.where("_twin")
+    lost = durable(_decided(digests(docs)).where("NOT kept").select(F.col("doc_id").alias("id"), "text_sha256", F.col("keep_id").eqNullSafe(F.col("doc_id")).alias("twin")).distinct())
+    rows = docs.select(F.struct(*docs.columns).alias("d"), F.sha2(F.regexp_replace(text_or_empty(), WS, " "), 256).alias("sha"))
+    same = F.col("d.doc_id").eqNullSafe(F.col("id")) & (F.col("sha") == F.col("text_sha256"))
+    left = rows.join(lost, same, "left_anti").select("d.*")
+    twins = lost.where("twin")
     if twins.isEmpty():
         return left
-    once = docs.join(twins, same, "left_semi").withColumn("_norm", sha).dropDuplicates(["doc_id", "_norm"]).drop("_norm")
-    return left.unionByName(once)
+    once = rows.join(twins, same, "left_semi").groupBy("d.doc_id", "sha").agg(F.first("d").alias("d"))
+    return left.unionByName(once.select("d.*"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

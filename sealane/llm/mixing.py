@@ -17,17 +17,23 @@ LEAF = 32
 #: Source tables beyond so many rows are joined by shuffle rather than broadcast.
 BROADCAST_SOURCES = 50_000
 SEED = 20260101
-NEXT = "_nth"
+#: What tells rows apart: the id, a hash of source and text, and a number for rows that agree in these.
+KEY = ["doc_id", "print", "nth"]
 
 
 def sizes(docs: DataFrame) -> DataFrame:
-    """(doc_id, _nth, source, size); _nth tells rows with one doc_id apart, ordered by size."""
+    """(doc_id, print, nth, source, size) of each row."""
     size = F.regexp_count(text_or_empty(), F.lit(WORD)).cast("long")
-    return docs.select("doc_id", "source", size.alias("size"))
+    return numbered(docs.select("doc_id", _print().alias("print"), "source", size.alias("size")))
+
+
+def _print() -> Column:
+    return F.xxhash64(F.col("source").isNull(), "source", F.col("text").isNull(), "text")
 
 
 def numbered(rows: DataFrame) -> DataFrame:
-    return rows.withColumn(NEXT, F.row_number().over(W.partitionBy("doc_id").orderBy("size", "source")))
+    """Rows that agree in id, source and text are alike, so any order among them gives the same mix."""
+    return rows.withColumn("nth", F.row_number().over(W.partitionBy("doc_id", "print").orderBy(F.lit(0))))
 
 
 def targets(rows: DataFrame, share: float = SHARE, most: float = MOST_COPIES, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
@@ -61,7 +67,7 @@ def _with_source(rows: DataFrame, table: DataFrame, on: str) -> DataFrame:
 
 def _coin(level: int, a: Column, b: Column) -> Column:
     """Uniform in [0, 1), the same in every run: a hash of the two documents and the round."""
-    return (F.pmod(F.xxhash64(F.lit(SEED + level), a["doc_id"], a[NEXT], b["doc_id"], b[NEXT]), F.lit(1 << 52)) / F.lit(float(1 << 52))).cast("double")
+    return (F.pmod(F.xxhash64(F.lit(SEED + level), *[a[k] for k in KEY], *[b[k] for k in KEY]), F.lit(1 << 52)) / F.lit(float(1 << 52))).cast("double")
 
 
 def _step(level: int):
@@ -78,8 +84,8 @@ def _step(level: int):
         b_settles = F.when(to_a, b_words <= a_room).otherwise(b_room <= a_words)
         new_a = F.when(to_a, a["x"] + up / a["size"]).otherwise(a["x"] - down / a["size"])
         new_b = F.when(to_a, b["x"] - up / b["size"]).otherwise(b["x"] + down / b["size"])
-        settled = lambda d, gets: F.struct(d["doc_id"].alias("doc_id"), d[NEXT].alias(NEXT), d["size"].alias("size"), (d["base"] + gets.cast("int")).alias("copies"))
-        item = lambda d, x: F.struct(d["mix"].alias("mix"), d["doc_id"].alias("doc_id"), d[NEXT].alias(NEXT), d["size"].alias("size"), d["base"].alias("base"), x.alias("x"))
+        settled = lambda d, gets: F.struct(*[d[k].alias(k) for k in KEY], d["size"].alias("size"), (d["base"] + gets.cast("int")).alias("copies"))
+        item = lambda d, x: F.struct(d["mix"].alias("mix"), *[d[k].alias(k) for k in KEY], d["size"].alias("size"), d["base"].alias("base"), x.alias("x"))
         none = F.lit(None).cast(ITEM)
         out = F.concat(state["done"], F.when(a_settles, F.array(settled(a, to_a))).otherwise(F.array().cast(f"array<{DONE}>")), F.when(b_settles, F.array(settled(b, ~to_a))).otherwise(F.array().cast(f"array<{DONE}>")))
         carry = F.when(a_settles & b_settles, none).when(a_settles, item(b, new_b)).otherwise(item(a, new_a))
@@ -88,12 +94,12 @@ def _step(level: int):
     return fold
 
 
-ITEM = f"struct<mix:bigint,doc_id:bigint,{NEXT}:int,size:bigint,base:int,x:double>"
-DONE = f"struct<doc_id:bigint,{NEXT}:int,size:bigint,copies:int>"
+ITEM = "struct<mix:bigint,doc_id:bigint,print:bigint,nth:int,size:bigint,base:int,x:double>"
+DONE = "struct<doc_id:bigint,print:bigint,nth:int,size:bigint,copies:int>"
 
 
 def pivotal_copies(rows: DataFrame, table: DataFrame) -> DataFrame:
-    """(doc_id, _nth, src, size, copies) with whole copies, whose words sum to each source's target.
+    """(doc_id, print, nth, src, size, copies) with whole copies, whose words sum to each source's target.
 
     Every document starts with target / source_size expected copies.  Two fractional documents
     of a source pass words between them, in a random direction whose odds keep both expectations,
@@ -106,23 +112,23 @@ def pivotal_copies(rows: DataFrame, table: DataFrame) -> DataFrame:
     rows = _with_source(rows, table, "source").withColumn("ratio", ratio)
     rows = rows.withColumn("base", F.floor(F.col("ratio") + 1e-12).cast("int"))
     rows = rows.withColumn("x", F.when((F.col("size") > 0) & (F.col("ratio") - F.col("base") > 1e-9), F.col("ratio") - F.col("base")).otherwise(F.lit(0.0)))
-    mix = F.xxhash64(F.lit(SEED), "doc_id", NEXT)
+    mix = F.xxhash64(F.lit(SEED), *KEY)
     node = F.pmod(F.shiftrightunsigned(mix, 7), F.ceil(F.col("n_docs") / LEAF))
-    rows = durable(rows.select("doc_id", NEXT, "src", "size", "base", "x", mix.alias("mix"), node.alias("node"), "n_docs"))
-    parts = [rows.where("x = 0").select("doc_id", NEXT, "src", "size", F.col("base").alias("copies"))]
-    items = rows.where("x > 0").select("src", "node", F.struct("mix", "doc_id", NEXT, "size", "base", "x").cast(ITEM).alias("item"))
+    rows = durable(rows.select(*KEY, "src", "size", "base", "x", mix.alias("mix"), node.alias("node"), "n_docs"))
+    parts = [rows.where("x = 0").select(*KEY, "src", "size", F.col("base").alias("copies"))]
+    items = rows.where("x > 0").select("src", "node", F.struct("mix", *KEY, "size", "base", "x").cast(ITEM).alias("item"))
     widest = -(-(rows.agg(F.max("n_docs")).first()[0] or 0) // LEAF)
     level = 0
     while True:
         start = F.struct(F.lit(None).cast(ITEM).alias("carry"), F.array().cast(f"array<{DONE}>").alias("done"))
         folded = items.groupBy("src", "node").agg(F.array_sort(F.collect_list("item")).alias("items"))
         folded = durable(folded.select("src", "node", F.aggregate("items", start, _step(level)).alias("state")))
-        parts.append(folded.select("src", F.explode("state.done").alias("d")).select("d.doc_id", f"d.{NEXT}", "src", "d.size", "d.copies"))
+        parts.append(folded.select("src", F.explode("state.done").alias("d")).select(*[f"d.{k}" for k in KEY], "src", "d.size", "d.copies"))
         items = folded.where("state.carry IS NOT NULL").select("src", F.floor(F.col("node") / LEAF).alias("node"), F.col("state.carry").alias("item"))
         if widest <= 1:
             break
         widest, level = -(-widest // LEAF), level + 1
-    parts.append(items.select("item.doc_id", f"item.{NEXT}", "src", "item.size", (F.col("item.base") + F.round("item.x").cast("int")).alias("copies")))
+    parts.append(items.select(*[f"item.{k}" for k in KEY], "src", "item.size", (F.col("item.base") + F.round("item.x").cast("int")).alias("copies")))
     whole = parts[0]
     for part in parts[1:]:
         whole = whole.unionByName(part)
@@ -136,7 +142,7 @@ def mix_sources(docs: DataFrame) -> DataFrame:
     comes last.  Rows with one doc_id are separate documents.  A source without words has target 0.
     Only doc_id, source and text are read.  An empty table gives an empty result.
     """
-    rows = durable(numbered(sizes(docs)))
+    rows = durable(sizes(docs))
     table = durable(targets(rows))
     whole = pivotal_copies(rows, table)
     totals = table.select("src", "source_size", "target")
@@ -144,17 +150,17 @@ def mix_sources(docs: DataFrame) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The mix itself: each row of ``docs`` as often as it is taken, with its columns as they are.
+    """The mix itself: each row of ``docs`` as often as it is taken, with its columns as they are, whatever their names.
 
-    A document without words weighs nothing in the mix and stays as it is.
+    A document without words weighs nothing in the mix and stays as it is.  Rows that repeat one
+    another are taken each by its own share.
     """
-    rows = durable(numbered(sizes(docs)))
+    rows = durable(sizes(docs))
     whole = pivotal_copies(rows, durable(targets(rows)))
-    copies = whole.select(F.col("doc_id").alias("_id"), F.col(NEXT).alias("_n"), F.when(F.col("size") == 0, 1).otherwise(F.col("copies")).alias("_copies")).where("_copies > 0")
-    size = F.regexp_count(text_or_empty(), F.lit(WORD)).cast("long")
-    marked = docs.withColumn("_nth", F.row_number().over(W.partitionBy("doc_id").orderBy(size, "source")))
-    joined = marked.join(copies, marked["doc_id"].eqNullSafe(F.col("_id")) & (F.col("_nth") == F.col("_n")))
-    return joined.withColumn("_again", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    copies = whole.select(F.struct(*KEY).alias("key"), F.when(F.col("size") == 0, 1).otherwise(F.col("copies")).alias("copies")).where("copies > 0")
+    marked = numbered(docs.select(F.struct(*docs.columns).alias("d"), "doc_id", _print().alias("print"))).select("d", F.struct(*KEY).alias("row_key"))
+    joined = marked.join(copies, F.col("row_key").eqNullSafe(F.col("key")))
+    return joined.select("d", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("d.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

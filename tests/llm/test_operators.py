@@ -89,11 +89,11 @@ def test_exact_dedup_levels(spark):
     assert {(r.keep_id, r.group_size) for r in rows} == {(k, 3000 // 7 + (k < 3000 % 7)) for k in range(7)}
 
 
-def jaccard_components(texts):
+def jaccard_components(texts, percent=90, size=3):
     sets = {}
     for d, t in texts.items():
         w = WORD.findall((t or "").translate(LOW))
-        sets[d] = frozenset(zip(w, w[1:], w[2:], strict=False)) if len(w) > 2 else frozenset([tuple(w)] if w else [])
+        sets[d] = frozenset(zip(*[w[k:] for k in range(size)], strict=False)) if len(w) >= size else frozenset([tuple(w)] if w else [])
     root = {d: d for d in sets}
 
     def find(x):
@@ -104,7 +104,7 @@ def jaccard_components(texts):
     ids = sorted(sets)
     for i, a in enumerate(ids):
         for b in ids[i + 1 :]:
-            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 90 * len(sets[a] | sets[b]):
+            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
                 x, y = sorted((find(a), find(b)))
                 root[y] = x
     return {d: (len(sets[d]), find(d)) for d in ids}
@@ -278,9 +278,39 @@ def test_packing(docs, texts, odd, empty):
     assert packing.pack(odd, path).count() == 7 and packing.pack(empty, path).count() == 0
 
 
+def test_packing_keeps_large_and_null_ids(spark):
+    big = (1 << 60) + 1
+    df = spark.createDataFrame([(big, "a b"), (None, ""), (None, ""), (None, None), (3, "c"), (3, "c")], "doc_id long, text string")
+    rows = packing.pack(df, packing.tokenizer_path()).collect()
+    assert Counter(r.doc_id for r in rows) == Counter({big: 1, None: 3, 3: 2}) and len({(r.sequence_id, r.offset) for r in rows}) == 6
+
+
+def test_squares_decide():
+    """Each item goes where the sum of squares over the gaps becomes smallest, a new bin included."""
+    lengths, capacity = np.random.default_rng(1).integers(1, 12, 300), 12
+    bins, offsets = packing.sum_of_squares(lengths, capacity)
+    gaps = {}
+    for size, chosen, offset in zip(lengths.tolist(), bins.tolist(), offsets.tolist(), strict=True):
+        def after(b, size=size):
+            left = gaps | {b: gaps.get(b, capacity) - size}
+            return sum(n * n for g, n in Counter(left.values()).items() if g)
+
+        options = {b: after(b) for b in [*[b for b, g in gaps.items() if g >= size], len(gaps)]}
+        assert offset == capacity - gaps.get(chosen, capacity) and options[chosen] == min(options.values())
+        gaps[chosen] = gaps.get(chosen, capacity) - size
+
+
+def test_packing_levels(spark):
+    """Shards' emptiest sequences are packed together: few are left with much room."""
+    df = spark.range(3000).selectExpr("id AS doc_id", "repeat('a ', cast(1 + id * 7919 % 700 AS int)) AS text")
+    rows = packing.pack(df, packing.tokenizer_path(), shard=200).groupBy("sequence_id").agg({"length": "sum"}).collect()
+    total = sum(r[1] for r in rows)
+    assert max(r[1] for r in rows) <= 1024 and len(rows) <= 1.02 * -(-total // 1024) + 1
+
+
 def test_sum_of_squares_is_tight():
     lengths = np.sort(np.random.default_rng(3).integers(1, 1024, 20_000))[::-1]
-    bins, _ = packing.sum_of_squares(lengths)
+    bins, _ = packing.sum_of_squares(lengths, sparing=True)
     assert bins.max() + 1 <= 1.005 * -(-lengths.sum() // 1024)
     assert np.bincount(bins, lengths).max() <= 1024
 
@@ -419,6 +449,26 @@ def test_mixing(docs, texts, odd, empty, spark):
     assert Counter(r.doc_id for r in mixed.collect()) == Counter({d: r.copies if r.size else 1 for d, r in got.items() if r.copies or not r.size})
 
 
+CLASHING = ["_id", "_sha", "_twin", "_norm", "_n", "_nth", "_copies", "_again", "_node", "_judged", "_row", "id", "sha", "twin", "d", "key", "print", "nth", "copies", "row_key", "text_sha256"]
+
+
+def test_stages_keep_clashing_columns(spark):
+    rows = [(1, "a b", 7), (1, "a b", 7), (2, "a  b", 7), (None, "a b", 7), (3, None, 7), (4, "c d e", 7)]
+    df = spark.createDataFrame([(i, t, "s", *[v] * len(CLASHING)) for i, t, v in rows], "doc_id long, text string, source string, " + ", ".join(f"`{c}` int" for c in CLASHING))
+    for stage in (exact_dedup.drop_copies, mixing.mixed_documents, ngram_join.one_of_each):
+        got = stage(df)
+        assert got.schema == df.schema and all(r[c] == 7 for r in got.collect() for c in CLASHING)
+    assert sorted((r.doc_id, r.text) for r in exact_dedup.drop_copies(df).collect()) == [(1, "a b"), (3, None), (4, "c d e")]
+
+
+def test_mixing_ties(spark):
+    """Rows of one id and size but different texts are told apart in every run."""
+    rows = [(5, f"{w} word", "s") for w in "abcdefgh"] * 2 + [(None, f"{w} word", "t") for w in "xyz"]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    runs = [sorted((r.doc_id or 0, r.text) for r in mixing.mixed_documents(df.repartition(n)).collect()) for n in (1, 4, 7)]
+    assert runs[0] == runs[1] == runs[2]
+
+
 def test_mixing_large_source(spark):
     rows = spark.range(4000).selectExpr("id AS doc_id", "repeat('w ', cast(1 + id % 90 AS int)) AS text", "if(id % 4 < 3, 'a', 'b') AS source")
     got = mixing.mix_sources(rows).groupBy("source_size", "target").sum("taken").collect()
@@ -474,17 +524,11 @@ def test_restore():
 
 def test_rare_toxic_words_are_evidence(spark):
     """A word of three toxic texts counts, also where these texts are long."""
-    import types
-
-    rare, filler = toxicity.features("zorbag"), toxicity.features("plain")
-    texts = [np.asarray([*filler, *(rare if d < 3 else ())], np.int64) for d in range(60)]
-    model = toxicity.fit(texts, np.arange(60) < 30, np.arange(60) % 2)
-    assert all(f in model.evidence for f in rare)
     free = [d for d in range(200) if zlib.crc32(str(d).encode()) % 5]
-    long = [(d, "calm line " * 15_000 + ("zorbag" if k % 2 else "") + f" name{d}") for k, d in enumerate(free[:8])]
+    long = [(d, "calm line " * 60_000 + ("zorbag" if k % 2 else "") + f" name{d}") for k, d in enumerate(free[:8])]
     marks = spark.createDataFrame([(d, 1, k % 2) for k, d in enumerate(free[:8])], "doc_id long, quality int, toxic int")
     docs = spark.createDataFrame(long, "doc_id long, text string")
-    model = toxicity.train(docs, marks, types.SimpleNamespace(value=toxicity.costs(np.ones(toxicity.N_SYMBOLS**3))))
+    model = toxicity.train(docs, marks, spark.sparkContext.broadcast(toxicity.costs(np.ones(toxicity.N_SYMBOLS**3))))
     assert toxicity.features("zorbag")[0] in model.evidence
 
 
@@ -520,9 +564,27 @@ def test_pipeline(spark):
         docs = spark.createDataFrame(stage(spark, docs, sf).toPandas(), docs.schema)
         after = {r.doc_id for r in docs.collect()}
         assert after <= set(before) and docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+        if name == "exact_dedup":
+            assert len(after) == len({re.sub(r"[\x20\x09-\x0D]+", " ", t or "") for t in before.values()})
         if name == "ngram_jaccard_join":
-            assert after == {c for _, c in jaccard_components(before).values()}
+            assert after == {c for _, c in jaccard_components(before, 80, 5).values()}
     assert len(after) > 0.7 * len(rows)
+    mixed = corpus_pipeline.mix(spark, docs, sf)
+    assert mixed.columns == docs.columns and {r.doc_id for r in mixed.collect()} <= after
+    packed = corpus_pipeline.pack(spark, mixed, sf)
+    assert packed.where("piece = 0").count() == mixed.count()
+
+
+def test_pipeline_run(spark, tmp_path):
+    """The whole of run(), on a table with nulls, repeats and an id that two texts have."""
+    import corpus_pipeline
+
+    words = lambda name, *edits: " ".join(f"e{i}" if i in edits else f"{name}{i}" for i in range(100))
+    rows = [(1, words("a"), "s"), (2, words("a"), "s"), (3, words("a", 50), "s"), (None, words("b"), None), (4, None, "t"), (4, "", "t"), (5, words("c"), "t"), (5, words("d"), "t")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    got = {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    assert got <= {1, 4, 5, None} and 1 in got
 
 
 def test_json_schema_of_queries():
