@@ -400,7 +400,8 @@ def across(index: DataFrame, roots: DataFrame, shelf: Shelf, percent: int = PERC
     placed = placed.select("v", "first", F.explode("keys").alias("key"), F.coalesce("root", "v").alias("root"), "parity")
     split = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size")).where("low != high")
     split = shelf.put("split", split.select("key", "size"))
-    rows = lookup(placed, split, ["key"], "size", split.agg(F.sum("size")).first()[0] or 0, how="inner").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+    # One row of ``split`` a key: where a key is hot, AQE splits the rows that meet it.
+    rows = placed.join(split, "key").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
     side = lambda x: [F.col("v").alias(x), F.col("first").alias(f"first_{x}"), F.col("root").alias(f"root_{x}"), F.col("parity").alias(f"parity_{x}")]
     a = rows.select("key", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int").alias("block"), *side("a"))
     b = rows.select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), *side("b"))
