@@ -20,8 +20,8 @@ CAPACITY = 1024
 END_ID = 2
 #: Pieces that one task packs, on average; of these the emptiest sequences with one in TAIL are packed again with others'.
 SHARD, TAIL = 60_000, 8
-#: Bytes of text chunks and their ids that a Python worker remembers, about; when full, it starts anew.
-MOST_REMEMBERED = 24 << 20
+#: Bytes of text chunks, and of their pre-tokens, that a Python worker remembers with their ids, about.
+MOST_CHUNKS, MOST_PARTS = 22 << 20, 8 << 20
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _PLACED = _PIECES + ", sequence_id long, offset long"
@@ -51,7 +51,7 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self._cut, self._merge = self.tokenizer.pre_tokenizer.pre_tokenize_str, self.tokenizer.model.tokenize
-        self.chunks, self.parts = _Remembered(self._chunk), _Remembered(self._part)
+        self.chunks, self.parts = _Remembered(self._chunk, MOST_CHUNKS), _Remembered(self._part, MOST_PARTS)
 
     def _part(self, written: str) -> bytes:
         return array("I", [t.id for t in self._merge(written)]).tobytes()
@@ -74,19 +74,21 @@ class ChunkEncoder:
 
 
 class _Remembered(dict):
-    """Results of a function by its argument, up to about MOST_REMEMBERED bytes."""
+    """Results of a function by its argument, up to about twice ``most`` bytes: when full, those not asked for since it was last full go."""
 
-    def __init__(self, function) -> None:
+    def __init__(self, function, most: int) -> None:
         super().__init__()
-        self.function, self.room = function, MOST_REMEMBERED
+        self.function, self.most, self.room, self.before = function, most, most, {}
 
     def __missing__(self, key: str) -> bytes:
-        found = self.function(key)
-        self.room -= 4 * len(key) + len(found) + 160  # 160: what Python adds for the two and their place
-        if self.room < 0:
-            self.clear()
-            self.room = MOST_REMEMBERED
+        found = self.before.get(key)
+        if found is None:
+            found = self.function(key)
         if len(key) < 200:
+            self.room -= 4 * len(key) + len(found) + 160  # 160: what Python adds for the two and their place
+            if self.room < 0:
+                self.before, self.room = dict(self), self.most
+                self.clear()
             self[key] = found
         return found
 
