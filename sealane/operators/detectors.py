@@ -36,14 +36,14 @@ def drag_candidates(segments: DataFrame, baseline: DataFrame, th: Thresholds) ->
 
     All tests here are of the run alone, so routes are only joined to runs that pass them.
     """
-    fixes = slow_runs(time_segments(segments, ["mmsi", "clean_seg"]), band=(th.drag_min_sog, th.drag_max_sog)).persist()
+    fixes = slow_runs(time_segments(segments, ["mmsi", "clean_seg"], gap_s=th.max_gap_for_continuity_s), band=(th.drag_min_sog, th.drag_max_sog)).persist()
     key = ["mmsi", "clean_seg", "time_seg", "run"]
     s = track_stats(fixes, key).join(baseline, "mmsi", "left")
     s = s.where((F.col("duration_s") >= th.drag_min_duration_s) & (F.col("distance_m") >= th.drag_min_distance_m) & F.col("median_sog").between(th.drag_min_sog, th.drag_max_sog) & (F.col("cog_stability") >= th.drag_min_cog_stability))
     own = F.coalesce(F.col("baseline") >= th.drag_baseline_min_kn, F.lit(False))
     s = s.withColumn("test_basis", F.when(own, "self_referenced").otherwise("geometric_only"))
     s = s.withColumn("speed_ratio", F.when(own, F.col("median_sog") / F.col("baseline")))
-    s = s.where(F.when(own, F.col("speed_ratio") <= th.drag_speed_ratio).otherwise((F.col("cog_stability") >= th.drag_geometric_stability) & (F.col("distance_m") >= th.drag_geometric_distance_m)))
+    s = s.where(F.when(own, F.col("speed_ratio") <= th.drag_speed_ratio).otherwise((F.col("cog_stability") >= th.drag_strict_cog_stability) & (F.col("distance_m") >= th.drag_strict_distance_m)))
     speed = F.coalesce((F.lit(th.drag_speed_ratio) - F.col("speed_ratio")) / th.drag_speed_ratio, F.lit(0.4))
     steady = (F.col("cog_stability") - th.drag_min_cog_stability) / (1 - th.drag_min_cog_stability + 1e-9)
     score = F.lit(0.40) * F.least(F.lit(1.0), steady) + F.lit(0.35) * F.least(F.lit(1.0), F.col("distance_m") / 30000) + F.lit(0.25) * _clip(speed)
@@ -74,10 +74,10 @@ def anchor_drag(segments: DataFrame, baseline: DataFrame, routes: DataFrame, th:
     return out.select(F.lit("anchor_drag").alias("kind"), "mmsi", "clean_seg", "route_idx", "start_ts", "end_ts", "duration_s", "lat", "lon", "score", capped(level, F.col("positional_class")).alias("confidence"), evidence.alias("evidence"), "track")
 
 
-def _in_reach(segments: DataFrame, hits: DataFrame, least: int) -> DataFrame:
+def _in_reach(segments: DataFrame, hits: DataFrame, least: int, th: Thresholds) -> DataFrame:
     """Time segments of those fixes of clean segments that are in reach of a route, route by route."""
     inside = segments.select(*FIX, "clean_seg", "lat", "lon", "sog", "cog", "nav_status").join(hits, FIX)
-    inside = time_segments(inside, ["mmsi", "clean_seg", "route_idx"])
+    inside = time_segments(inside, ["mmsi", "clean_seg", "route_idx"], gap_s=th.max_gap_for_continuity_s)
     n = F.count("*").over(W.partitionBy("mmsi", "clean_seg", "route_idx", "time_seg"))
     return inside.withColumn("_n", n).where(F.col("_n") >= least).drop("_n").persist()
 
@@ -86,7 +86,7 @@ SEGMENT = ["mmsi", "clean_seg", "route_idx", "time_seg"]
 
 
 def loiter_candidates(segments: DataFrame, hits: DataFrame, th: Thresholds) -> tuple[DataFrame, DataFrame]:
-    fixes = _in_reach(segments, hits, 3)
+    fixes = _in_reach(segments, hits, 3, th)
     s = track_stats(fixes, SEGMENT).where((F.col("duration_s") >= th.loiter_min_duration_s) & (F.col("mean_sog") <= th.loiter_max_sog))
     s = s.join(stationarity(fixes, SEGMENT), SEGMENT)
     only = lambda *labels: F.size(F.array_except("nav_statuses", F.array(*[F.lit(x) for x in labels]))) == 0
@@ -111,11 +111,11 @@ def _low(out: DataFrame, kind: str, evidence: Column) -> DataFrame:
     return out.select(F.lit(kind).alias("kind"), "mmsi", "clean_seg", "route_idx", "start_ts", "end_ts", "duration_s", "lat", "lon", "score", F.lit("LOW").alias("confidence"), evidence.alias("evidence"), "track")
 
 
-def survey_legs(fixes: DataFrame, keys: list[str] | None = None) -> DataFrame:
+def survey_legs(fixes: DataFrame, keys: list[str] | None = None, tolerance: float = 35.0) -> DataFrame:
     """(keys, bearings, legs, dominant, share, balance) of each segment's courses between its fixes.
 
     The dominant course is the centre of the fullest 10-degree bin, the first on a tie; lobes are
-    courses within 35 degrees of it or of its opposite, and a leg ends where the lobe changes.
+    courses within ``tolerance`` degrees of it or of its opposite, and a leg ends where the lobe changes.
     """
     keys = keys or SEGMENT
     w = W.partitionBy(*keys).orderBy("ts")
@@ -123,7 +123,7 @@ def survey_legs(fixes: DataFrame, keys: list[str] | None = None) -> DataFrame:
     steps = fixes.withColumn("_m", haversine_m(*before, F.col("lat"), F.col("lon"))).withColumn("_brg", initial_bearing(*before, F.col("lat"), F.col("lon"))).where(F.col("_m") > 50)
     bins = steps.withColumn("_bin", F.least(F.lit(35), F.floor(F.col("_brg") / 10)).cast("int")).groupBy(*keys, "_bin").agg(F.count("*").alias("_k"))
     top = bins.groupBy(*keys).agg(F.max_by("_bin", F.struct("_k", -F.col("_bin"))).alias("_bin")).select(*keys, (F.col("_bin") * 10 + 5.0).alias("dominant"))
-    lobe = F.when(angular_diff(F.col("_brg"), F.col("dominant")) <= 35, 1).when(angular_diff(F.col("_brg"), F.pmod(F.col("dominant") + 180, F.lit(360.0))) <= 35, -1).otherwise(0)
+    lobe = F.when(angular_diff(F.col("_brg"), F.col("dominant")) <= tolerance, 1).when(angular_diff(F.col("_brg"), F.pmod(F.col("dominant") + 180, F.lit(360.0))) <= tolerance, -1).otherwise(0)
     marked = steps.join(top, keys).withColumn("_lobe", lobe)
     counts = marked.groupBy(*keys, "dominant").agg(F.count("*").alias("bearings"), F.count_if(F.col("_lobe") == 1).alias("_a"), F.count_if(F.col("_lobe") == -1).alias("_b"))
     turned = marked.where("_lobe != 0").withColumn("_turn", F.coalesce(F.col("_lobe") != F.lag("_lobe").over(w), F.lit(False)))
@@ -132,15 +132,21 @@ def survey_legs(fixes: DataFrame, keys: list[str] | None = None) -> DataFrame:
     return out.select(*keys, "bearings", "dominant", F.coalesce("legs", F.lit(0)).alias("legs"), ((F.col("_a") + F.col("_b")) / F.col("bearings")).alias("share"), F.coalesce(F.least("_a", "_b") / F.nullif(F.greatest("_a", "_b"), F.lit(0)), F.lit(0.0)).alias("balance"))
 
 
-def survey_pattern(segments: DataFrame, hits: DataFrame, routes: DataFrame, th: Thresholds) -> DataFrame:
-    fixes = _in_reach(segments, hits, 12)
+def survey_candidates(segments: DataFrame, hits: DataFrame, th: Thresholds) -> tuple[DataFrame, DataFrame]:
+    """(fixes in reach, statistics of the segments that look like a survey)."""
+    fixes = _in_reach(segments, hits, 12, th)
     s = track_stats(fixes, SEGMENT).where((F.col("duration_s") >= th.survey_min_duration_s) & (F.col("mean_sog") >= th.survey_min_sog))
     box = fixes.groupBy(*SEGMENT).agg(haversine_m(F.min("lat"), F.min("lon"), F.max("lat"), F.max("lon")).alias("extent_m"))
-    s = s.join(box, SEGMENT).where(F.col("extent_m") >= th.survey_min_extent_m).join(survey_legs(fixes), SEGMENT)
-    s = s.where((F.col("bearings") >= 10) & (F.col("share") >= th.survey_min_share) & (F.col("balance") >= th.survey_min_balance) & (F.col("legs") >= th.survey_min_legs))
+    s = s.join(box, SEGMENT).where(F.col("extent_m") >= th.survey_min_extent_m).join(survey_legs(fixes, tolerance=th.survey_reciprocal_tolerance_deg), SEGMENT)
+    s = s.where((F.col("bearings") >= 10) & (F.col("share") >= th.survey_min_lobe_share) & (F.col("balance") >= th.survey_min_lobe_balance) & (F.col("legs") >= th.survey_min_legs))
     score = F.least(F.lit(1.0), F.col("legs") / 10) * 0.45 + F.col("balance") * 0.30 + F.least(F.lit(1.0), F.col("share")) * 0.25
-    s = s.withColumn("score", F.round(score, 3)).join(track_payload(fixes, SEGMENT), SEGMENT)
-    evidence = F.struct("legs", F.col("dominant").alias("primary_course_deg"), F.pmod(F.col("dominant") + 180, F.lit(360.0)).alias("reciprocal_course_deg"), F.round("share", 3).alias("lobe_share"), F.round("balance", 3).alias("lobe_balance"), F.round(F.col("duration_s") / 3600, 2).alias("hours"), F.round("mean_sog", 2).alias("mean_sog_kn"), F.round(F.col("extent_m") / 1000, 2).alias("pattern_extent_km"), F.lit(th.survey_m).alias("buffer_m"))
+    return fixes, s.withColumn("score", F.round(score, 3))
+
+
+def survey_pattern(segments: DataFrame, hits: DataFrame, routes: DataFrame, th: Thresholds) -> DataFrame:
+    fixes, s = survey_candidates(segments, hits, th)
+    s = s.join(track_payload(fixes, SEGMENT), SEGMENT)
+    evidence = F.struct("legs", F.col("dominant").alias("primary_course_deg"), F.pmod(F.col("dominant") + 180, F.lit(360.0)).alias("reciprocal_course_deg"), F.round("share", 3).alias("lobe_share"), F.round("balance", 3).alias("lobe_balance"), F.round(F.col("duration_s") / 3600, 2).alias("hours"), F.round("mean_sog", 2).alias("mean_sog_kn"), F.round(F.col("extent_m") / 1000, 2).alias("pattern_extent_km"), F.lit(th.survey_buffer_m).alias("buffer_m"))
     return _low(s, "survey_pattern", evidence)
 
 
@@ -148,7 +154,7 @@ def corridor_gap(segments: DataFrame, hits: DataFrame, routes: DataFrame, th: Th
     """One detection for each route near either end of a long silence inside a clean segment.
 
     Only fixes at the ends of a silence meet the routes; silences with no end in a corridor look for
-    routes with a vertex within ``gap_max_entry_m``.
+    routes with a vertex within ``gap_max_entry_dist_m``.
     """
     w = W.partitionBy("mmsi", "clean_seg").orderBy("ts")
     around = F.collect_list(F.struct("ts", F.round("lon", 5).alias("lon"), F.round("lat", 5).alias("lat"), F.round("sog", 1).alias("sog"), F.round("cog", 1).alias("cog"))).over(w.rowsBetween(-6, 5))
@@ -162,7 +168,7 @@ def corridor_gap(segments: DataFrame, hits: DataFrame, routes: DataFrame, th: Th
     gaps = gaps.withColumns({"before": F.coalesce("before", none), "after": F.coalesce("after", none)}).withColumn("near", F.array_union("before", "after"))
     inside, outside = gaps.where(F.size("near") > 0), gaps.where(F.size("near") == 0)
     ends = outside.select(*key, "lat", "lon").unionByName(outside.select(*key, F.col("lat0").alias("lat"), F.col("lon0").alias("lon")))
-    close = vertices_within(ends, routes, th.gap_max_entry_m, key).select(*key, "route_idx").distinct()
+    close = vertices_within(ends, routes, th.gap_max_entry_dist_m, key).select(*key, "route_idx").distinct()
     whole = inside.withColumn("route_idx", F.explode("near")).unionByName(outside.join(close, key), allowMissingColumns=True)
     crossed = ((F.size("before") > 0) != (F.size("after") > 0)) | ((F.size("before") > 0) & (F.size("after") > 0) & (F.col("before") != F.col("after")))
     span = haversine_m(F.col("lat0"), F.col("lon0"), F.col("lat"), F.col("lon"))

@@ -6,21 +6,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sealane.functions.geo import haversine_m
-from sealane.operators.tracks import clean_segments, impossible
+from sealane.operators.tracks import MAX_KN, clean_segments, impossible
 
 LEAST_BAD_LEGS = 4
 LEAST_SEPARATION_M = 200_000.0
 
 
-def track_quality(positions: DataFrame, segmented: DataFrame | None = None) -> DataFrame:
+def track_quality(positions: DataFrame, segmented: DataFrame | None = None, max_kn: float = MAX_KN) -> DataFrame:
     """(mmsi, verdict, n_positions, n_impossible_legs, max_implied_kn, n_segments, usable).
 
     Separations between segments are only computed for tracks with LEAST_BAD_LEGS or more bad legs:
     others cannot be collisions.  Of these, equal centroids are taken once.
     """
-    segmented = clean_segments(positions) if segmented is None else segmented
+    segmented = clean_segments(positions, max_kn) if segmented is None else segmented
     counts = segmented.groupBy("mmsi").agg(
-        F.count("*").alias("n_positions"), F.sum(impossible().cast("long")).alias("n_impossible_legs"), F.max("leg_kn").alias("max_implied_kn"), (F.max("clean_seg") + 1).alias("n_segments")
+        F.count("*").alias("n_positions"), F.sum(impossible(max_kn).cast("long")).alias("n_impossible_legs"), F.max("leg_kn").alias("max_implied_kn"), (F.max("clean_seg") + 1).alias("n_segments")
     )
     bad = counts.where(F.col("n_impossible_legs") >= LEAST_BAD_LEGS).select("mmsi")
     centres = segmented.join(bad, "mmsi", "left_semi").groupBy("mmsi", "clean_seg").agg(F.avg("lat").alias("lat"), F.avg("lon").alias("lon"))

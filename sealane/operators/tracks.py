@@ -28,14 +28,14 @@ def legs(positions: DataFrame, keys: list[str] | None = None) -> DataFrame:
     return out.withColumn("leg_kn", F.when(F.col("dt_s") > 0, F.col("leg_m") / 1852 / (F.col("dt_s") / 3600)))
 
 
-def impossible() -> Column:
-    return F.coalesce(F.col("leg_kn") > MAX_KN, F.lit(False))
+def impossible(max_kn: float = MAX_KN) -> Column:
+    return F.coalesce(F.col("leg_kn") > max_kn, F.lit(False))
 
 
-def clean_segments(positions: DataFrame) -> DataFrame:
+def clean_segments(positions: DataFrame, max_kn: float = MAX_KN) -> DataFrame:
     """Adds clean_seg, which grows at every impossible leg, and the leg columns."""
     so_far = W.partitionBy("mmsi").orderBy("ts").rowsBetween(W.unboundedPreceding, 0)
-    return legs(positions).withColumn("clean_seg", F.sum(impossible().cast("int")).over(so_far).cast("long"))
+    return legs(positions).withColumn("clean_seg", F.sum(impossible(max_kn).cast("int")).over(so_far).cast("long"))
 
 
 def time_segments(fixes: DataFrame, keys: list[str], name: str = "time_seg", gap_s: float = GAP_S) -> DataFrame:

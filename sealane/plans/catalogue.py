@@ -221,12 +221,8 @@ def loiter_detections(spark, d):
 )
 def survey_detections(spark, d):
     _, good = _good(spark, d)
-    routes = adapter.meridian(spark)
-    e = F.col("evidence")
-    out = detectors.survey_pattern(good, corridor_join(good, routes, TH.survey_m, detectors.FIX), routes, TH)
-    fixes = detectors._in_reach(good, corridor_join(good, routes, TH.survey_m, detectors.FIX), 12)
-    shares = detectors.survey_legs(fixes).select("mmsi", "clean_seg", "route_idx", F.round("share", 6).alias("share"), F.round("balance", 6).alias("balance"))
-    return out.join(shares, ["mmsi", "clean_seg", "route_idx"]).select("mmsi", e["legs"].alias("legs"), e["primary_course_deg"].alias("dominant"), "share", "balance", "score")
+    found = detectors.survey_candidates(good, corridor_join(good, adapter.meridian(spark), TH.survey_buffer_m, detectors.FIX), TH)[1]
+    return found.select("mmsi", "legs", "dominant", F.round("share", 6).alias("share"), F.round("balance", 6).alias("balance"), "score")
 
 
 @query(
@@ -243,7 +239,7 @@ def corridor_gaps(spark, d):
 
 @query("corridor_hits", "SELECT mmsi, t, 0::BIGINT AS route_idx, round(dist_m, 3) AS dist_m FROM near WHERE dist_m < 15000")
 def corridor_hits(spark, d):
-    return corridor_join(_good(spark, d)[1], adapter.meridian(spark), TH.survey_m, detectors.FIX).select("mmsi", _t("ts"), "route_idx", F.round("dist_m", 3).alias("dist_m"))
+    return corridor_join(_good(spark, d)[1], adapter.meridian(spark), TH.survey_buffer_m, detectors.FIX).select("mmsi", _t("ts"), "route_idx", F.round("dist_m", 3).alias("dist_m"))
 
 
 @query("nearest_route", "SELECT mmsi, round(min(HAV(lat, lon, vlat, vlon)), 3) AS nearest_m FROM (SELECT mmsi, arg_max(lat, t) AS lat, arg_max(lon, t) AS lon FROM pos GROUP BY mmsi) p, vert GROUP BY mmsi")
@@ -316,7 +312,7 @@ _MMSI = "(201000000 + (o_orderkey * 7919) % 580000000)"
 
 
 def _mid_values() -> str:
-    return ", ".join(f"('{mid}', '{country}')" for country, mids in identity.MIDS.items() for mid in mids)
+    return ", ".join(f"('{mid}', '{country}')" for mid, country in identity.MIDS.items())
 
 
 @query(

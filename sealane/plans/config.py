@@ -9,7 +9,7 @@ from pathlib import Path
 @dataclass(frozen=True)
 class Thresholds:
     corridor_m: float = 3_000.0
-    survey_m: float = 15_000.0
+    survey_buffer_m: float = 15_000.0
     drag_min_sog: float = 0.3
     drag_max_sog: float = 5.0
     drag_min_duration_s: float = 1_800.0
@@ -17,19 +17,22 @@ class Thresholds:
     drag_min_cog_stability: float = 0.94
     drag_speed_ratio: float = 0.55
     drag_baseline_min_kn: float = 6.0
-    drag_geometric_stability: float = 0.985
-    drag_geometric_distance_m: float = 5_000.0
+    drag_strict_cog_stability: float = 0.985
+    drag_strict_distance_m: float = 5_000.0
     loiter_max_sog: float = 2.0
     loiter_min_duration_s: float = 7_200.0
     survey_min_duration_s: float = 10_800.0
     survey_min_sog: float = 2.5
     survey_min_extent_m: float = 5_000.0
-    survey_min_share: float = 0.55
-    survey_min_balance: float = 0.30
+    survey_min_lobe_share: float = 0.55
+    survey_min_lobe_balance: float = 0.30
     survey_min_legs: int = 4
     gap_min_s: float = 3_600.0
     gap_max_s: float = 172_800.0
-    gap_max_entry_m: float = 25_000.0
+    gap_max_entry_dist_m: float = 25_000.0
+    survey_reciprocal_tolerance_deg: float = 35.0
+    impossible_kn: float = 60.0
+    max_gap_for_continuity_s: float = 1_800.0
 
     def with_known(self, values: dict) -> Thresholds:
         """These with the known names of ``values`` replaced; unknown names are ignored."""

@@ -37,13 +37,13 @@ def run(positions: DataFrame, routes: DataFrame, th: Thresholds | None = None, c
     """
     th = th or Thresholds()
     fixes = prepared(positions).persist()
-    segmented = clean_segments(fixes).persist()
-    quality = track_quality(fixes, segmented)
+    segmented = clean_segments(fixes, th.impossible_kn).persist()
+    quality = track_quality(fixes, segmented, th.impossible_kn)
     good = segmented.join(quality.where("usable AND n_positions >= 2").select("mmsi"), "mmsi", "left_semi").persist()
     baseline = transit_baseline(fixes)
     routes = routes.persist()
-    reach = corridor_join(good, routes, max(th.survey_m, th.corridor_m), detectors.FIX).persist()
-    near, wide = reach.where(F.col("dist_m") < th.corridor_m), reach.where(F.col("dist_m") < th.survey_m)
+    reach = corridor_join(good, routes, max(th.survey_buffer_m, th.corridor_m), detectors.FIX).persist()
+    near, wide = reach.where(F.col("dist_m") < th.corridor_m), reach.where(F.col("dist_m") < th.survey_buffer_m)
     parts = [
         detectors.corridor_gap(good, near, routes, th),
         detectors.anchor_drag(good, baseline, routes, th),

@@ -78,3 +78,32 @@ def test_times(spark):
 def test_cleaning(spark):
     r = one(spark, ais.clean_text(F.lit(" NAME@@ ")).alias("a"), ais.clean_text(F.lit("@@@")).alias("b"), ais.below(F.lit(102.3), 102.3).alias("c"), ais.below(F.lit(10.7), 102.3).alias("d"), ais.below(F.lit(float("nan")), 360.0).alias("e"), ais.dimension(F.lit(160), F.lit(33)).alias("f"), ais.dimension(F.lit(0), F.lit(None)).alias("g"), ais.ship_type(F.lit(70)).alias("h"), ais.ship_type(F.lit(11)).alias("i"), ais.nav_status(F.lit(99)).alias("j"), ais.cargo_hazard(F.lit(81)).alias("k"), ais.loose_float(F.lit("1,234.5 km")).alias("l"))
     assert (r.a, r.b, r.c, r.d, r.e, r.f, r.g, r.h, r.i, r.j, r.k, r.l) == ("NAME", None, None, 10.7, None, 193, None, "Cargo", "Type 11", "Unknown (99)", "Category A (hazardous)", 1234.5)
+
+
+def test_setting_names_are_the_published_ones():
+    from sealane.plans.config import Thresholds
+
+    given = {"gap_max_entry_dist_m": 9, "drag_strict_cog_stability": 0.9, "survey_min_lobe_share": 0.6, "survey_buffer_m": 8000, "impossible_kn": 70, "max_gap_for_continuity_s": 600, "jump": 1}
+    th = Thresholds().with_known(given)
+    assert (th.gap_max_entry_dist_m, th.drag_strict_cog_stability, th.survey_min_lobe_share, th.survey_buffer_m, th.impossible_kn, th.max_gap_for_continuity_s) == (9.0, 0.9, 0.6, 8000.0, 70.0, 600.0)
+
+
+def test_flags_from_a_given_table(spark, tmp_path):
+    from sealane.functions import identity
+
+    (tmp_path / "mids.csv").write_text("mid,country\n740,Somewhere\n230, Finland \n12,short\n")
+    mids = identity.read_mids(spark, str(tmp_path / "mids.csv"))
+    ships = spark.createDataFrame([(740123456,), (230123456,), (503000001,)], "mmsi long")
+    flags = lambda table: {r.mmsi: r.flag_from_mid for r in identity.decode_mmsi(ships, table).collect()}
+    assert flags(mids) == {740123456: "Somewhere", 230123456: "Finland", 503000001: None}
+    assert flags(None) == {740123456: None, 230123456: "Finland", 503000001: "Australia"}
+
+
+def test_limits_are_settings(spark):
+    from sealane.operators.quality import track_quality
+    from sealane.operators.tracks import clean_segments
+
+    fixes = spark.createDataFrame([(1, 0, 0.0), (1, 3600, 1.1), (1, 7200, 2.2)], "mmsi long, t long, lat double").selectExpr("mmsi", "timestamp_seconds(t) AS ts", "lat", "0.0D AS lon")
+    assert clean_segments(fixes).agg({"clean_seg": "max"}).first()[0] == 2
+    assert clean_segments(fixes, 80.0).agg({"clean_seg": "max"}).first()[0] == 0
+    assert track_quality(fixes, max_kn=80.0).first().verdict == "CLEAN"
