@@ -20,8 +20,9 @@ CAPACITY = 1024
 END_ID = 2
 #: Pieces that one task packs, on average; of these the emptiest sequences with one in TAIL are packed again with others'.
 SHARD, TAIL = 60_000, 8
-#: Bytes of text chunks, and of their pre-tokens, that a Python worker remembers with their ids, about.
-MOST_CHUNKS, MOST_PARTS = 22 << 20, 8 << 20
+#: Bytes of text chunks, and of their pre-tokens, that a Python worker remembers with their ids, about;
+#: words are remembered without the signs after them.
+MOST_CHUNKS, MOST_PARTS = 48 << 20, 4 << 20
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _PLACED = _PIECES + ", sequence_id long, offset long"
@@ -59,10 +60,11 @@ class ChunkEncoder:
     def _chunk(self, key: str) -> bytes:
         text = key[1:] if key[:1] == " " else " " + key
         if match := self.plain.fullmatch(text):
-            cut = [part.replace(" ", "\u0120") if part.isascii() else part.encode().decode("latin-1").translate(_AS_WRITTEN) for part in match.groups() if part]
-        else:
-            cut = [part for part, _ in self._cut(text)]
-        return b"".join([self.parts[part] for part in cut])
+            word, signs = match.groups()
+            if signs:  # two pre-tokens: the word, which is a chunk of its own, and the signs
+                return self.chunks[key[: -len(signs)]] + self.parts[signs]
+            return self._part(word.replace(" ", "\u0120") if word.isascii() else word.encode().decode("latin-1").translate(_AS_WRITTEN))
+        return b"".join([self.parts[part] for part, _ in self._cut(text)])
 
     def encode(self, text: str) -> bytes:
         if self.uneven.search(text):
@@ -73,6 +75,9 @@ class ChunkEncoder:
         return b"".join(map(self.chunks.__getitem__, keys))
 
 
+_SIGNS = frozenset("!#$%&()*+,-./:;<=>?@[]^_`{|}~\"\\")  # a chunk that ends so is made from its word
+
+
 class _Remembered(dict):
     """Results of a function by its argument, up to about twice ``most`` bytes: when full, those not asked for since it was last full go."""
 
@@ -84,7 +89,7 @@ class _Remembered(dict):
         found = self.before.get(key)
         if found is None:
             found = self.function(key)
-        if len(key) < 200:
+        if len(key) < 200 and key[-1:] not in _SIGNS:
             self.room -= 4 * len(key) + len(found) + 160  # 160: what Python adds for the two and their place
             if self.room < 0:
                 self.before, self.room = dict(self), self.most
