@@ -22,7 +22,7 @@ END_ID = 2
 SHARD, TAIL = 60_000, 8
 #: Bytes of text chunks, and of their pre-tokens, that a Python worker remembers with their ids, about;
 #: words are remembered without the signs after them.
-MOST_CHUNKS, MOST_PARTS = 48 << 20, 4 << 20
+MOST_CHUNKS, MOST_PARTS = 140 << 20, 4 << 20
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _PLACED = _PIECES + ", sequence_id long, offset long"
@@ -46,13 +46,13 @@ class ChunkEncoder:
     uneven = re.compile(r" \s| \Z")
     plain = re.compile(r"( ?[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]+)([!-&(-/:-@\[-`{-~]*)")
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, remember: int = MOST_CHUNKS) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self._cut, self._merge = self.tokenizer.pre_tokenizer.pre_tokenize_str, self.tokenizer.model.tokenize
-        self.chunks, self.parts = _Remembered(self._chunk, MOST_CHUNKS), _Remembered(self._part, MOST_PARTS)
+        self.chunks, self.parts = _Remembered(self._chunk, remember), _Remembered(self._part, MOST_PARTS)
 
     def _part(self, written: str) -> bytes:
         return array("I", [t.id for t in self._merge(written)]).tobytes()
@@ -98,13 +98,14 @@ class _Remembered(dict):
         return found
 
 
-_encoders: dict[str, ChunkEncoder] = {}  # a worker is used for many tasks
+_encoders: dict[tuple[str, int], ChunkEncoder] = {}  # a worker is used for many tasks
 
 
-def _encoder(path: str) -> ChunkEncoder:
-    if path not in _encoders:
-        _encoders[path] = ChunkEncoder(path)
-    return _encoders[path]
+def _encoder(path: str, remember: int) -> ChunkEncoder:
+    if (path, remember) not in _encoders:
+        _encoders.clear()
+        _encoders[path, remember] = ChunkEncoder(path, remember)
+    return _encoders[path, remember]
 
 
 def cut(ids: bytes, capacity: int = CAPACITY) -> list[tuple[int, bytes]]:
@@ -115,11 +116,11 @@ def cut(ids: bytes, capacity: int = CAPACITY) -> list[tuple[int, bytes]]:
     return [(a, ids[4 * a : 4 * b]) for a, b in zip(edges, edges[1:], strict=False)]
 
 
-def pieces(docs: DataFrame, tokenizer_path: str) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer_path: str, remember: int = MOST_CHUNKS) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) of every document; a null text is empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = _encoder(tokenizer_path).encode, np.asarray([END_ID], dtype="<u4").tobytes()
+        encode, end = _encoder(tokenizer_path, remember).encode, np.asarray([END_ID], dtype="<u4").tobytes()
         for batch in batches:
             out: list[tuple] = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -176,7 +177,7 @@ def emptiest(bins: np.ndarray, lengths: np.ndarray, most: int, capacity: int = C
     return again[bins]
 
 
-def pack(docs: DataFrame, tokenizer_path: str, shard: int = SHARD) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, shard: int = SHARD, remember: int = MOST_CHUNKS) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) of every piece.
 
     Documents are encoded once and their pieces, without text, are written to the shared folder.
@@ -185,10 +186,11 @@ def pack(docs: DataFrame, tokenizer_path: str, shard: int = SHARD) -> DataFrame:
     emptiest sequences of all tasks are opened again and their pieces packed together, level by
     level, until one task holds the last of them, which opens a sequence only where it must.
     A null or empty text is one piece with the end id alone.  Repeated rows are packed once each.
-    Only doc_id and text are read.  An empty table gives an empty result.
+    Only doc_id and text are read.  An empty table gives an empty result.  ``remember`` is about the
+    bytes that a Python worker keeps of encoded words (twice that at most), for speed alone.
     """
     shelf = Shelf(docs.sparkSession)
-    todo = shelf.put("pieces", pieces(docs, tokenizer_path).withColumn("_row", F.monotonically_increasing_id()))
+    todo = shelf.put("pieces", pieces(docs, tokenizer_path, remember).withColumn("_row", F.monotonically_increasing_id()))
     level, done = 0, []
     while True:
         n_shards = max(1, -(-todo.count() // shard))
