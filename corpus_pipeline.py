@@ -16,6 +16,8 @@ from sealane.llm.common import delete, documents, labels, shared_folder
 
 #: Near copies have a Jaccard index of 80 % on shingles of five words; op7's 90 % on three bind that query only.
 NEAR_PERCENT, NEAR_SHINGLE = 80, 5
+#: Workers that earlier stages have used keep less of what they encode.
+REMEMBER = 48 << 20
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +37,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, packing.tokenizer_path())
+    return packing.pack(docs, packing.tokenizer_path(), remember=REMEMBER)
 
 
 STAGES = [("toxicity", drop_toxic), ("exact_dedup", drop_copies), ("ngram_jaccard_join", drop_near_copies), ("source_mixing", mix), ("best_fit_packing", pack)]
