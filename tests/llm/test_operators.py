@@ -278,6 +278,23 @@ def test_packing(docs, texts, odd, empty):
     assert packing.pack(odd, path).count() == 7 and packing.pack(empty, path).count() == 0
 
 
+def test_ids_are_those_of_the_tokenizer():
+    """Every code point beside letters, digits, signs and blanks, every word of the vocabulary, long runs."""
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(packing.tokenizer_path())
+    plain.encode_special_tokens = True
+    own = packing.Encoder(packing.tokenizer_path())
+    assert own.quick is not None
+    around = lambda c: f"a{c}{c}b 1{c}1 {c}; {c} .\n{c}"
+    texts = ["".join(around(chr(c)) for c in range(k, k + 1024) if not 0xD800 <= c < 0xE000) for k in range(0, 0x110000, 1024)]
+    texts += ["a" * 50_000, " " * 30_000 + "b" + "\n " * 20_000, "ab" * 30_000, "<|endoftext|> x'll don't I'VE", "", " ", " \n"]
+    vocabulary = plain.get_vocab()
+    assert all([t.id for t in plain.model.tokenize(w)] == [k] for w, k in vocabulary.items() if w != "<|endoftext|>")
+    for text in texts:
+        assert own.encode(text) == np.asarray(plain.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), text[:20]
+
+
 def test_packing_keeps_large_and_null_ids(spark):
     big = (1 << 60) + 1
     df = spark.createDataFrame([(big, "a b"), (None, ""), (None, ""), (None, None), (3, "c"), (3, "c")], "doc_id long, text string")
