@@ -467,3 +467,21 @@ def one_of_each(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) ->
 
 def query(spark, sf_dir: str) -> DataFrame:
     return similar_components(documents(spark, sf_dir))
+
+
+ORACLE = """
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+places AS (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 1, 2))) AS i FROM w WHERE len(ws) > 0),
+shingles AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 2], ' ') AS shingle FROM places),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+sized AS (SELECT doc_id, shingle, n FROM shingles JOIN sizes USING (doc_id)),
+shared AS (
+    SELECT a.doc_id AS one, b.doc_id AS other, a.n + b.n AS both_n, count(*) AS k
+    FROM sized a JOIN sized b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id AND 100 * a.n >= 90 * b.n AND 100 * b.n >= 90 * a.n
+    GROUP BY ALL
+),
+links AS (SELECT one, other FROM shared WHERE 100 * k >= 90 * (both_n - k)),
+reached AS (SELECT doc_id, doc_id AS other FROM w UNION SELECT r.doc_id, l.other FROM reached r JOIN links l ON r.other = l.one)
+SELECT w.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, min(r.other) AS component_id
+FROM w LEFT JOIN sizes USING (doc_id) JOIN reached r ON w.doc_id = r.doc_id GROUP BY w.doc_id, n
+"""

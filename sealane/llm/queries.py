@@ -21,6 +21,9 @@ MODULES = {
     "op10_source_mixing": "mixing",
 }
 
+#: Those whose module states the whole result as SQL, ``ORACLE``.
+WITH_SQL = ["op1_substring_dedup", "op6_exact_dedup", "op7_ngram_jaccard_join"]
+
 
 def _run(module: str) -> Callable[[SparkSession, str], DataFrame]:
     return import_module(f"sealane.llm.{module}").query
@@ -31,4 +34,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_exact_dedup": import_module("sealane.llm.exact_dedup").ORACLE}
+    return {name: import_module(f"sealane.llm.{MODULES[name]}").ORACLE for name in WITH_SQL}

@@ -310,3 +310,16 @@ def _repeated(rows: DataFrame) -> bool:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(documents(spark, sf_dir))
+
+
+ORACLE = """
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+windows AS (SELECT doc_id, i, array_to_string(ws[i:i + 49], ' ') AS win FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS i FROM w)),
+firsts AS (SELECT win, min(doc_id) AS doc_id FROM windows GROUP BY win),
+repeats AS (SELECT w.doc_id, w.i FROM windows w JOIN firsts f ON w.win = f.win AND w.doc_id > f.doc_id),
+covered AS (SELECT DISTINCT doc_id, i + k AS place FROM repeats, range(50) AS t(k)),
+words AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS place FROM w),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY place) AS text, count(*) AS n FROM words ANTI JOIN covered USING (doc_id, place) GROUP BY doc_id)
+SELECT w.doc_id, len(ws)::BIGINT AS n_words, len(ws)::BIGINT - coalesce(n, 0) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id)
+"""

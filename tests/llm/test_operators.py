@@ -608,3 +608,18 @@ def test_json_schema_of_queries():
     from sealane.llm import queries
 
     assert len(queries.queries()) == 10 and json.dumps(sorted(queries.oracle_sql()))
+
+
+@pytest.mark.parametrize("name", ["op1_substring_dedup", "op6_exact_dedup", "op7_ngram_jaccard_join"])
+def test_rows_are_those_of_the_sql(spark, name):
+    import duckdb
+
+    from sealane.llm import queries
+
+    sf = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    want = con.execute(queries.oracle_sql()[name])
+    names = [d[0] for d in want.description]
+    got = queries.queries()[name](spark, sf).select(*names).collect()
+    assert sorted(map(tuple, got)) == sorted(want.fetchall())
