@@ -37,6 +37,9 @@ COUNTED_AT_ONCE = 2_000_000
 MOST_SEEN = 200_000
 #: 64-bit words of a set's parity signature.
 PARITY = 8
+#: Sets of so many shingles also carry the number of their elements in each of COUNTS places: parities
+#: of longer sets are as good as random, and a partner may differ in more elements than random ones show.
+LONG, COUNTS = 1_000, 256
 #: Keys by which a set first meets others, and how many at each.
 STAR_KEYS, CENTRES = 12, 4
 #: Counters of words, by hash; they only tell which shingles look rare.
@@ -248,11 +251,12 @@ def _least_shared(percent: int) -> Column:
 
 
 def sets_of(docs: DataFrame, order, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
-    """(node, n, shingles, pairs, parity) of each row: its set, the keys of neighbours in its extended
-    prefix, and a signature.
+    """(node, n, shingles, pairs, parity, counts) of each row: its set, the keys of neighbours in its
+    extended prefix, and a signature.
 
-    Bit k of the signature is the parity of the number of elements whose hash falls on k: two sets
-    differ in at least as many elements as their signatures in bits.
+    Bit k of ``parity`` is the parity of the number of elements whose hash falls on k: two sets
+    differ in at least as many elements as their signatures in bits.  So they do in the sum of the
+    differences of their ``counts``, which shorter sets have not (null).
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,9 +264,10 @@ def sets_of(docs: DataFrame, order, percent: int = PERCENT, size: int = SHINGLE)
         for batch in batches:
             out, held = [], 0
             for _, s, looks in shingle_sets(batch, size, common.rarity):
-                bits = np.bincount((mix(s) >> U(32)).astype(np.int64) % (64 * PARITY), minlength=64 * PARITY) & 1
+                places = np.bincount((mix(s) >> U(32)).astype(np.int64) % (64 * PARITY), minlength=64 * PARITY)
+                counts = np.minimum(places.reshape(-1, COUNTS).sum(0), 32_767).astype(np.int16) if len(s) >= LONG else None
                 ahead = common.sorted(s, looks)[: extended(len(s), percent)]
-                out.append((set_id(s), len(s), s, mix(mix(ahead[:-1]) + ahead[1:]), np.packbits(bits.astype(np.uint8), bitorder="little").view(U)))
+                out.append((set_id(s), len(s), s, mix(mix(ahead[:-1]) + ahead[1:]), np.packbits((places & 1).astype(np.uint8), bitorder="little").view(U), counts))
                 held += len(s)
                 if held >= COUNTED_AT_ONCE:
                     yield rows(out)
@@ -271,11 +276,11 @@ def sets_of(docs: DataFrame, order, percent: int = PERCENT, size: int = SHINGLE)
                 yield rows(out)
 
     def rows(out: list) -> pa.RecordBatch:
-        node, n, *lists = zip(*out, strict=True)
+        node, n, *lists, counts = zip(*out, strict=True)
         many = lambda x: pa.ListArray.from_arrays(np.cumsum([0, *map(len, x)]).astype(np.int32), pa.array(_signed(np.concatenate(x))))
-        return pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(n, pa.int32()), *map(many, lists)], names=["node", "n", "shingles", "pairs", "parity"])
+        return pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(n, pa.int32()), *map(many, lists), pa.array(counts, pa.list_(pa.int16()))], names=["node", "n", "shingles", "pairs", "parity", "counts"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "node long, n int, shingles array<long>, pairs array<long>, parity array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "node long, n int, shingles array<long>, pairs array<long>, parity array<long>, counts array<short>")
 
 
 def sets_for(docs: DataFrame, owners: DataFrame, members: DataFrame, order, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
@@ -297,7 +302,7 @@ def sets_for(docs: DataFrame, owners: DataFrame, members: DataFrame, order, perc
 
 
 def indexed(tokens: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(node, n, first, keys, parity): single rare shingles of prefixes, and pairs of neighbours of extended ones.
+    """(node, n, first, keys, signature): single rare shingles of prefixes, and pairs of neighbours of extended ones.
 
     If two linked sets share a shingle of their prefixes that is not frequent, they have it as a
     key.  Else all that their prefixes share are frequent, and both sets are indexed by the pairs of
@@ -307,8 +312,8 @@ def indexed(tokens: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataF
     rare = F.transform(F.filter("tokens", lambda t: ~t["often"]), lambda t: F.xxhash64(F.lit(1), t["shingle"]))
     crowded = F.size(F.filter("tokens", lambda t: t["often"])) >= _least_shared(percent)
     keyed = tokens.select("node", "n", F.get("tokens", F.lit(0))["pos"].alias("first"), rare.alias("rare"), crowded.alias("crowded"))
-    found = keyed.join(sets.select("node", "n", "pairs", "parity"), ["node", "n"])
-    return found.select("node", "n", "first", F.when(F.col("crowded"), F.array_distinct(F.concat("rare", "pairs"))).otherwise(F.col("rare")).alias("keys"), "parity")
+    found = keyed.join(sets.select("node", "n", "pairs", F.struct("parity", "counts").alias("signature")), ["node", "n"])
+    return found.select("node", "n", "first", F.when(F.col("crowded"), F.array_distinct(F.concat("rare", "pairs"))).otherwise(F.col("rare")).alias("keys"), "signature")
 
 
 def _least(a: str, b: str, percent: int) -> Column:
@@ -324,9 +329,13 @@ def _may_link(percent: int) -> Column:
     return alike & (F.col("first_a") <= F.col("a.n") - least) & (F.col("first_b") <= F.col("b.n") - least)
 
 
-def _parity_allows(percent: int) -> Column:
-    apart = sum((F.bit_count(F.col("parity_a")[k].bitwiseXOR(F.col("parity_b")[k])) for k in range(PARITY)), F.lit(0))
-    return apart <= F.col("a.n") + F.col("b.n") - 2 * _least("a", "b", percent)
+def _signatures_allow(percent: int) -> Column:
+    """Whether the signatures of ``a`` and ``b`` differ in no more than linked sets may; counts bear on two long sets."""
+    a, b = F.col("signature_a"), F.col("signature_b")
+    most = F.col("a.n") + F.col("b.n") - 2 * _least("a", "b", percent)
+    bits = sum((F.bit_count(a["parity"][k].bitwiseXOR(b["parity"][k])) for k in range(PARITY)), F.lit(0))
+    apart = F.zip_with(a["counts"], b["counts"], lambda x, y: F.abs(x.cast("int") - y.cast("int")))
+    return (bits <= most) & F.coalesce(F.aggregate(apart, F.lit(0), lambda total, x: total + x) <= most, F.lit(True))
 
 
 def _attach(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
@@ -386,7 +395,7 @@ def to_centres(index: DataFrame, shelf: Shelf, percent: int = PERCENT) -> DataFr
     centres = shelf.put("centres", centres.select("key", "size", F.transform("centres", lambda c: F.struct(c["b"].alias("a"), c["first_b"].alias("first_a"))).alias("centres")))
     pairs = lookup(keys, centres, ["key"], "size", centres.agg(F.sum("size")).first()[0] or 0, how="inner")
     pairs = pairs.select("b", "first_b", F.inline("centres")).where((F.col("a") != F.col("b")) & _may_link(percent)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    return _attach(pairs, index, "parity").where(_parity_allows(percent)).select("a", "b")
+    return _attach(pairs, index, "signature").where(_signatures_allow(percent)).select("a", "b")
 
 
 def across(index: DataFrame, roots: DataFrame, shelf: Shelf, percent: int = PERCENT) -> DataFrame:
@@ -396,16 +405,16 @@ def across(index: DataFrame, roots: DataFrame, shelf: Shelf, percent: int = PERC
     task compares more than BLOCK sets of a key with the others.
     """
     v = F.struct("node", "n")
-    placed = index.select(v.alias("v"), "first", "keys", "parity").join(roots.select(F.col("node").alias("v"), "root"), "v", "left")
-    placed = placed.select("v", "first", F.explode("keys").alias("key"), F.coalesce("root", "v").alias("root"), "parity")
+    placed = index.select(v.alias("v"), "first", "keys", "signature").join(roots.select(F.col("node").alias("v"), "root"), "v", "left")
+    placed = placed.select("v", "first", F.explode("keys").alias("key"), F.coalesce("root", "v").alias("root"), "signature")
     split = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size")).where("low != high")
     split = shelf.put("split", split.select("key", "size"))
     # One row of ``split`` a key: where a key is hot, AQE splits the rows that meet it.
     rows = placed.join(split, "key").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
-    side = lambda x: [F.col("v").alias(x), F.col("first").alias(f"first_{x}"), F.col("root").alias(f"root_{x}"), F.col("parity").alias(f"parity_{x}")]
+    side = lambda x: [F.col("v").alias(x), F.col("first").alias(f"first_{x}"), F.col("root").alias(f"root_{x}"), F.col("signature").alias(f"signature_{x}")]
     a = rows.select("key", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int").alias("block"), *side("a"))
     b = rows.select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), *side("b"))
-    open_pair = (F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & _may_link(percent) & _parity_allows(percent)
+    open_pair = (F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & _may_link(percent) & _signatures_allow(percent)
     return a.join(b, ["key", "block"]).where(open_pair).select("a", "b").distinct()
 
 
