@@ -156,6 +156,23 @@ def test_neighbours_in_extended_prefixes():
             assert {*zip(p, p[1:], strict=False)} & {*zip(q, q[1:], strict=False)}
 
 
+def test_ngram_join_long_sets(spark):
+    """Sets long enough for counts: some near copies link, some miss by a little, some only share a passage."""
+    rng = random.Random(11)
+    fresh = lambda n: [f"w{rng.randint(0, 10**7)}" for _ in range(n)]
+    base = fresh(1400)
+    texts = {0: " ".join(base), 20: " ".join(base[:300] + fresh(1100)), 21: " ".join(base[:300] + fresh(900))}
+    for d, edits in ((1, 5), (2, 23), (3, 27), (4, 60)):
+        changed = list(base)
+        for at in range(edits):
+            changed[10 + 20 * at] = f"e{d}x{at}"
+        texts[d] = " ".join(changed)
+    expected = jaccard_components(texts)
+    assert all(n >= ngram_join.LONG for n, _ in expected.values()) and len({c for _, c in expected.values()}) > 3
+    got = by_id(ngram_join.similar_components(spark.createDataFrame(list(texts.items()), "doc_id long, text string")))
+    assert {d: (r.n_shingles, r.component_id) for d, r in got.items()} == expected
+
+
 def test_ngram_join_refuses_low_similarities(spark):
     with pytest.raises(ValueError, match="percent"):
         ngram_join.similar_components(spark.createDataFrame([], SCHEMA), 60)
