@@ -19,6 +19,7 @@ MODULES = {
     "op2_best_fit_packing": "packing",
     "op6_exact_dedup": "exact_dedup",
     "op10_source_mixing": "mixing",
+    "op11_sentence_pieces": "sentence_pieces",
 }
 
 #: Those whose module states the whole result as SQL, ``ORACLE``.
