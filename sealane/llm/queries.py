@@ -20,10 +20,12 @@ MODULES = {
     "op6_exact_dedup": "exact_dedup",
     "op10_source_mixing": "mixing",
     "op11_sentence_pieces": "sentence_pieces",
+    "op12_phrase_mining": "phrases",
+    "op13_filter_audit": "filter_audit",
 }
 
 #: Those whose module states the whole result as SQL, ``ORACLE``.
-WITH_SQL = ["op1_substring_dedup", "op6_exact_dedup", "op7_ngram_jaccard_join"]
+WITH_SQL = ["op1_substring_dedup", "op6_exact_dedup", "op7_ngram_jaccard_join", "op12_phrase_mining", "op13_filter_audit"]
 
 
 def _run(module: str) -> Callable[[SparkSession, str], DataFrame]:

@@ -20,7 +20,7 @@ def _inverse(odd: np.uint64) -> np.uint64:
     return U(pow(int(odd), -1, 1 << 64))
 
 
-class _Powers:
+class Powers:
     """Powers of an odd number and of its inverse, modulo 2**64."""
 
     def __init__(self, base: np.uint64) -> None:
@@ -36,7 +36,7 @@ class _Powers:
         return self.up[:n], self.down[:n]
 
 
-_bytes, _words = _Powers(_BASE), _Powers(_STEP)
+_bytes, _words = Powers(_BASE), Powers(_STEP)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -124,7 +124,7 @@ def ngrams(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
     return at, mix((sums[at + n] - sums[at]) * down[at] + U(n))
 
 
-_others = _Powers(U(0xA24BAED4963EE407))
+_others = Powers(U(0xA24BAED4963EE407))
 
 
 class Spans:
