@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from sealane.operators import places
+from sealane.sources import feed
 from sealane.sources.readers import messages, stream_positions
 
 LATE = "2 hours"
@@ -48,3 +49,15 @@ def learn_places(rows: DataFrame, state_path: str, checkpoint: str, every: str |
 def learned_state(spark: SparkSession, state_path: str) -> DataFrame:
     """The distinct (cell_y, cell_x, mmsi) of all batches."""
     return spark.read.parquet(state_path).select("cell_y", "cell_x", "mmsi").distinct()
+
+
+def drain(spark: SparkSession, folder: str, archive: str, checkpoint: str, rows_a_batch: int = feed.ROWS_A_BATCH, most_s: float = 180.0) -> int:
+    """One bounded run over a landed feed: at most ``rows_a_batch`` envelopes and about ``most_s`` seconds go to the archive.
+
+    Returns the number of envelopes read.  The next run goes on where this one has ended; what a
+    stopped run had not committed is read again, and only once kept.
+    """
+    query = to_archive(feed.stream_feed(spark, folder, rows_a_batch), archive, checkpoint, every=None)
+    if not query.awaitTermination(most_s):
+        query.stop()
+    return sum(p["numInputRows"] for p in query.recentProgress)
