@@ -23,8 +23,8 @@ LEAST = 10
 SWALLOWED = 50
 #: Phrases of each language in the report.
 TOP = 2000
-#: Words whose n-grams a task counts together before it sends them.
-FLUSH = 2_000_000
+#: N-grams that a task counts together before it sends them.
+FLUSH = 500_000
 #: Bits of the filter of frequent n-grams that tasks are sent: BITS_EACH for each, MOST_BITS (32 MB) at most.
 #: A full filter lets rare n-grams pass, which are then counted and left out.
 BITS_EACH, LEAST_BITS, MOST_BITS = 32, 1 << 20, 1 << 28
@@ -33,8 +33,6 @@ SHARES = 32
 #: Bits of a fingerprint that are used; fewer make collisions, which tests want.
 FINGERPRINT = U(0xFFFFFFFFFFFFFFFF)
 
-_GRAMS = "key long, second long, times long, row long, at int"
-
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 32]] = True
 _CUT = np.zeros(256, bool)
@@ -106,9 +104,6 @@ class Filter:
         for bucket, bits in rows:
             self.bits[(bucket - 1) * 4096 : bucket * 4096] = np.frombuffer(bits, np.uint8)
 
-    def __contains__(self, key: int) -> bool:
-        return bool(self.has(np.asarray([key], U))[0])
-
     def has(self, keys: np.ndarray) -> np.ndarray:
         at = (mix(keys) & U(self.n_bits - 1)).astype(np.int64)
         return (self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
@@ -137,25 +132,66 @@ def texts_of(docs: DataFrame) -> DataFrame:
     return d.select(F.xxhash64("d.doc_id", "d.text").alias("row"), "d.lang", "d.text")
 
 
-def occurrences(texts: DataFrame, n: int, allowed=None) -> DataFrame:
-    """(key, second, times, row, at) of n-grams: both fingerprints, and where one occurrence stands.
+def _allowed(w: Words, n: int, lang: np.ndarray, shorter: Filter | None) -> np.ndarray:
+    """Places of the n-grams whose first and last n - 1 words ``shorter`` lets pass: no other can be frequent."""
+    at = places(w, n)
+    if shorter is None or not len(at):
+        return at
+    passes = np.zeros(len(w.start) + 1, bool)
+    parts = places(w, n - 1)
+    passes[parts] = shorter.has(fingerprints(w, n - 1, parts, lang)[0])
+    return at[passes[at] & passes[at + 1]]
+
+
+def tallied(texts: DataFrame, n: int, shorter=None) -> DataFrame:
+    """(key, times): fingerprints of n-grams and nothing else, a row for each in FLUSH of a task's n-grams.
+
+    ``shorter`` is a broadcast :class:`Filter` of frequent (n - 1)-grams.
+    """
+
+    def counted(parts: list[np.ndarray]) -> pa.RecordBatch:
+        key = np.sort(np.concatenate(parts))
+        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(key[first].view(np.int64)), pa.array(np.diff(np.r_[first, len(key)]))], names=["key", "times"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, held = [], 0
+        for batch in batches:
+            langs = _language(batch.column(0))
+            for chunk in chunks(batch.column(1)):
+                w, lang = split(chunk), langs[chunk.first :]
+                parts.append(fingerprints(w, n, _allowed(w, n, lang, shorter and shorter.value), lang)[0])
+                held += len(parts[-1])
+                if held >= FLUSH:
+                    yield counted(parts)
+                    parts, held = [], 0
+        if parts:
+            yield counted(parts)
+
+    return texts.select("lang", "text").mapInArrow(run, "key long, times long")
+
 
-    ``allowed`` is a broadcast :class:`Filter` of shorter n-grams: only those are counted whose first
-    and last n - 1 words it lets pass, as the whole cannot occur more often than its parts.  A task
-    counts the n-grams of FLUSH words together, so a common one is one row of it.  With single words
-    come, at ``at`` -1, all words of each language.
+def occurrences(texts: DataFrame, filters) -> DataFrame:
+    """(key, n, second, times, row, at) of n-grams that the broadcast filters by length let pass.
+
+    Both fingerprints, and where one occurrence stands: the hash of its text's row and the number of
+    its first word.  A task counts FLUSH n-grams together, so a common one is one row of it.  With
+    n = 0 come all words of each language.
     """
 
     def counted(parts: list) -> pa.RecordBatch:
-        key, second, row, at, times = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order = np.lexsort((second, key))
-        key, second = key[order], second[order]
-        first = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (second[1:] != second[:-1])]) if len(key) else order
+        key, n, second, row, at, times = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.argsort(key, kind="stable")
+        same = key[order][1:] == key[order][:-1]
+        if (same & ((second[order][1:] != second[order][:-1]) | (n[order][1:] != n[order][:-1]))).any():  # texts collide here already
+            order = np.lexsort((second, n, key))
+            same = (key[order][1:] == key[order][:-1]) & (second[order][1:] == second[order][:-1]) & (n[order][1:] == n[order][:-1])
+        first = np.flatnonzero(np.r_[True, ~same]) if len(key) else order
         times = np.add.reduceat(times[order], first) if len(key) else times
-        where = order[first]  # lexsort is stable: the first occurrence
+        where = order[first]  # both sorts are stable: the first occurrence
         by_place = np.argsort(where)  # neighbours in a text stay neighbours, which compresses
-        first, where = first[by_place], where[by_place]
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (key[first].view(np.int64), second[first].view(np.int64), times[by_place], row[where], at[where])], names=["key", "second", "times", "row", "at"])
+        where = where[by_place]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (key[where].view(np.int64), n[where], second[where].view(np.int64), times[by_place], row[where], at[where])], names=["key", "n", "second", "times", "row", "at"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held = [], 0
@@ -163,39 +199,34 @@ def occurrences(texts: DataFrame, n: int, allowed=None) -> DataFrame:
             rows, langs = batch.column(0).to_numpy(), _language(batch.column(1))
             for chunk in chunks(batch.column(2)):
                 w, lang = split(chunk), langs[chunk.first :]
-                at = places(w, n)
-                if allowed is not None and len(at):
-                    shorter = np.zeros(len(w.start) + 1, bool)
-                    parts_at = places(w, n - 1)
-                    shorter[parts_at] = allowed.value.has(fingerprints(w, n - 1, parts_at, lang)[0])
-                    at = at[shorter[at] & shorter[at + 1]]
-                one, two = fingerprints(w, n, at, lang)
-                doc = w.doc[at]
-                parts.append((one, two, rows[chunk.first + doc], (at - w.of[doc]).astype(np.int32), np.ones(len(at), np.int64)))
-                held += len(at)
-                if n == 1:
-                    words, k = np.diff(w.of), len(chunk.bounds) - 1
-                    here = np.flatnonzero(words)
-                    total = mix(lang[:k] + U(7))[here]
-                    parts.append((total[:, 0] & FINGERPRINT, total[:, 1], rows[chunk.first + here], np.full(len(here), -1, np.int32), words[here].astype(np.int64)))
+                words, k = np.diff(w.of), len(chunk.bounds) - 1
+                here = np.flatnonzero(words)
+                total = mix(lang[:k] + U(7))[here]
+                parts.append((total[:, 0] & FINGERPRINT, np.zeros(len(here), np.int32), total[:, 1], rows[chunk.first + here], np.zeros(len(here), np.int32), words[here].astype(np.int64)))
+                for n, frequent in enumerate(filters.value, 1):
+                    at = places(w, n)
+                    one, two = fingerprints(w, n, at, lang)
+                    hit = frequent.has(one)
+                    at, doc = at[hit], w.doc[at[hit]]
+                    parts.append((one[hit], np.full(len(at), n, np.int32), two[hit], rows[chunk.first + doc], (at - w.of[doc]).astype(np.int32), np.ones(len(at), np.int64)))
+                    held += len(at)
                 if held >= FLUSH:
                     yield counted(parts)
                     parts, held = [], 0
         if parts:
             yield counted(parts)
 
-    return texts.mapInArrow(run, _GRAMS)
+    return texts.mapInArrow(run, "key long, n int, second long, times long, row long, at int")
 
 
 def frequent(grams: DataFrame, least: int) -> DataFrame:
-    """(key, total, times, low, high, row, at) of fingerprints that occur often enough.
+    """(key, n, times, low, high, row, at) of fingerprints that occur often enough, and of all words.
 
     ``low`` and ``high`` are the smallest and largest second fingerprint: they differ if several
     texts share the first one.  ``row`` and ``at`` are of one row, as both take the first that they see.
     """
-    total = F.col("at") < 0
-    sums = grams.groupBy("key", total.alias("total")).agg(F.sum("times").alias("times"), F.min("second").alias("low"), F.max("second").alias("high"), F.first("row").alias("row"), F.first("at").alias("at"))
-    return sums.where(F.col("total") | (F.col("times") >= least))
+    sums = grams.groupBy("key", "n").agg(F.sum("times").alias("times"), F.min("second").alias("low"), F.max("second").alias("high"), F.first("row").alias("row"), F.first("at").alias("at"))
+    return sums.where((F.col("n") == 0) | (F.col("times") >= least))
 
 
 def materialised(texts: DataFrame, pointers: DataFrame) -> DataFrame:
@@ -267,24 +298,23 @@ def recounted(texts: DataFrame, clashing: DataFrame, least: int) -> DataFrame:
 def counts(docs: DataFrame, shelf: Shelf, least: int = LEAST) -> DataFrame:
     """(n, lang, phrase, times) of all phrases of up to LONGEST words that occur ``least`` times, and, with n = 0, of all words.
 
-    One pass for each length: n-grams are looked at only where both shorter ones in them are frequent.
+    A pass for each length tallies fingerprints alone and leaves a filter of the frequent ones, by
+    which the next length is thinned.  Only what passes these filters is sent with pointers.
     """
-    texts, tables, allowed = texts_of(docs), [], None
+    texts, context, filters = texts_of(docs), docs.sparkSession.sparkContext, []
     for n in range(1, LONGEST + 1):
-        often = shelf.put(f"grams {n}", frequent(occurrences(texts, n, allowed), least))
-        tables.append(often.withColumn("n", F.when(F.col("total"), 0).otherwise(n)))
-        if n < LONGEST:
-            allowed = docs.sparkSession.sparkContext.broadcast(filter_of(often.where("NOT total")))
-    pointers = tables[0]
-    for t in tables[1:]:
-        pointers = pointers.unionByName(t)
+        tally = tallied(texts, n, context.broadcast(filters[-1]) if filters else None)
+        keys = shelf.put(f"keys {n}", tally.groupBy("key").agg(F.sum("times").alias("times")).where(F.col("times") >= least).select("key"))
+        filters.append(filter_of(keys))
+        shelf.drop(f"keys {n}")
+    pointers = shelf.put("pointers", frequent(occurrences(texts, context.broadcast(filters)), least))
     found = shelf.put("found", materialised(texts, pointers))
     sure = found.where("phrase IS NOT NULL").select("n", "lang", "phrase", "times")
     clashing = found.where("phrase IS NULL").select("key", "n")
     if not clashing.isEmpty():
         sure = sure.unionByName(recounted(texts, clashing, least))
     out = shelf.put("phrases", sure)
-    shelf.drop("found", *[f"grams {n}" for n in range(1, LONGEST + 1)])
+    shelf.drop("pointers", "found")
     return out
 
 
