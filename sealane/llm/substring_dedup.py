@@ -163,9 +163,14 @@ class FingerprintIndex:
 
 
 def _batches(rows: DataFrame, n: int) -> list[DataFrame]:
-    """Parts of the rows by ascending id; rows with one id stay together."""
-    cuts = sorted(set(rows.approxQuantile("id", [k / n for k in range(1, n)], 0.01))) if n > 1 else []
-    edges = [None, *[int(c) for c in cuts], None]
+    """Parts of the rows by ascending id; rows with one id stay together.
+
+    Rows without an id come in the last part and choose no cut.  Cuts come as doubles, which for
+    large ids only stand near a quantile; as longs they part the ids exactly all the same.
+    """
+    named = rows.where(F.col("id") < LAST)
+    cuts = sorted({min(int(c), LAST - 1) for c in named.approxQuantile("id", [k / n for k in range(1, n)], 0.01)}) if n > 1 else []
+    edges = [None, *cuts, None]
     out = []
     for low, high in zip(edges, edges[1:], strict=False):
         part = rows if low is None else rows.where(F.col("id") > low)
@@ -292,8 +297,12 @@ def substring_dedup(docs: DataFrame, n_batches: int = BATCHES) -> DataFrame:
     classes = durable(runs.groupBy(*key).agg(F.min("id").alias("first"), F.count("*").alias("n")))
     later = lookup(runs, classes, key, "n", n_runs).where("id > first").select("id", "text_key", F.array(F.struct("pos", "length")).alias("places"))
     contested = classes.groupBy("part").agg(F.count("*").alias("k")).where("k > 1")
-    owners = classes.join(contested, "part", "left_semi").groupBy(F.col("first").alias("id")).agg(F.collect_set("part").alias("wanted"))
-    single = durable(single_windows(involved.join(owners, "id").select("id", "text_key", "packed", F.col("wanted").alias("marks"))))
+    owners = classes.where(F.col("first") < LAST).join(contested, "part", "left_semi").groupBy(F.col("first").alias("id")).agg(F.collect_set("part").alias("wanted"))
+    # Rows without an id share one number, so each takes its own parts by its text; it only loses words.
+    nameless = runs.where(F.col("id") == LAST).join(contested, "part", "left_semi").groupBy("id", "text_key").agg(F.collect_set("part").alias("wanted"))
+    wanted = involved.where(F.col("id") < LAST).join(owners, "id").select("id", "text_key", "packed", "wanted")
+    wanted = wanted.unionByName(involved.join(nameless, ["id", "text_key"]).select("id", "text_key", "packed", "wanted"))
+    single = durable(single_windows(wanted.withColumnRenamed("wanted", "marks")))
     firsts = single.groupBy("h1", "h2").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count("*").alias("n")).where("first < last").drop("last")
     earlier = lookup(single, durable(firsts), ["h1", "h2"], "n", single.count(), how="inner").where("id > first")
     places = later.unionByName(earlier.select("id", "text_key", "places")).groupBy("id", "text_key").agg(F.flatten(F.collect_list("places")).alias("places"))

@@ -266,6 +266,31 @@ def test_substring_dedup_repeated_and_null_ids(spark):
     assert got == [(0, 61, 60), (1, 61, 0), (3, 60, 60), (3, 60, 60)]
 
 
+def test_substring_dedup_many_null_ids(spark):
+    """A third of the rows, and all of them, without an id; null-id rows lose to ids and not to each other."""
+    rng = random.Random(9)
+    passages = [[f"p{k}w{i}" for i in range(90)] for k in range(4)]
+    made = lambda: [f"x{rng.randint(0, 10**6)}" for _ in range(rng.randint(0, 30))] + rng.choice(passages)[rng.randint(0, 20) :] + rng.choice(passages)[: rng.randint(30, 90)] + [f"y{rng.randint(0, 10**6)}"]
+    texts = [" ".join(made()) for _ in range(60)]
+    for null in (lambda i: i % 3 == 0, lambda i: i % 3, lambda i: True):
+        rows = [(None if null(i) else 2**60 + i, t) for i, t in enumerate(texts)]
+        first = {}
+        for d, t in rows:
+            w = t.split(" ")
+            for i in range(len(w) - 49):
+                first[tuple(w[i : i + 50])] = min(first.get(tuple(w[i : i + 50]), 2**63), 2**63 if d is None else d)
+        want = []
+        for d, t in rows:
+            w = t.split(" ")
+            gone = [False] * len(w)
+            for i in range(len(w) - 49):
+                if first[tuple(w[i : i + 50])] < (2**63 if d is None else d):
+                    gone[i : i + 50] = [True] * 50
+            want.append((str(d), len(w), sum(gone), hashlib.sha256(" ".join(x for x, g in zip(w, gone, strict=True) if not g).encode()).hexdigest()))
+        found = substring_dedup.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string"))
+        assert sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept_sha256) for r in found.collect()) == sorted(want)
+
+
 def test_packing(docs, texts, odd, empty):
     from tokenizers import Tokenizer
 
