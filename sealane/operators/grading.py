@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sealane.functions.ais import iso
 from sealane.functions.geo import haversine_m
 from sealane.operators.corridors import nearest_route
+from sealane.operators.order import ROWS_A_PART, numbered
 
 CONFIDENCE = {"LOW": 0, "MODERATE": 1, "HIGH": 2}
 KIND_ORDER = ["corridor_gap", "anchor_drag", "loiter", "survey_pattern"]
@@ -39,11 +39,11 @@ def with_quality(found: DataFrame, quality: DataFrame) -> DataFrame:
     return out.withColumn("confidence", F.when(F.coalesce(F.col("track_quality") != "CLEAN", F.lit(False)), "LOW").otherwise(F.col("confidence")))
 
 
-def ordered(found: DataFrame) -> DataFrame:
+def ordered(found: DataFrame, rows_a_part: int = ROWS_A_PART) -> DataFrame:
     """Adds ord: strongest first, then earliest; ties in the order of finding."""
     kind = F.array_position(F.array(*[F.lit(k) for k in KIND_ORDER]), F.col("kind"))
-    w = W.orderBy(rank(F.col("confidence")).desc(), F.col("score").desc(), "start_ts", "mmsi", "clean_seg", kind, "route_idx")
-    return found.withColumn("ord", F.row_number().over(w))
+    keys = {"strength": -rank(F.col("confidence")), "score": -F.col("score"), **{c: F.col(c) for c in ("start_ts", "mmsi", "clean_seg")}, "kind": kind, "route_idx": F.col("route_idx")}
+    return numbered(found, keys, "ord", rows_a_part=rows_a_part)
 
 
 def repeat_presence(found: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sealane.functions.geo import haversine_m
+from sealane.operators.extent import far_apart
 from sealane.operators.tracks import MAX_KN, clean_segments, impossible
 
 LEAST_BAD_LEGS = 4
@@ -15,8 +15,8 @@ LEAST_SEPARATION_M = 200_000.0
 def track_quality(positions: DataFrame, segmented: DataFrame | None = None, max_kn: float = MAX_KN) -> DataFrame:
     """(mmsi, verdict, n_positions, n_impossible_legs, max_implied_kn, n_segments, usable).
 
-    Separations between segments are only computed for tracks with LEAST_BAD_LEGS or more bad legs:
-    others cannot be collisions.  Of these, equal centroids are taken once.
+    Separations between segments are only looked at for tracks with LEAST_BAD_LEGS or more bad legs:
+    others cannot be collisions.
     """
     segmented = clean_segments(positions, max_kn) if segmented is None else segmented
     counts = segmented.groupBy("mmsi").agg(
@@ -24,11 +24,8 @@ def track_quality(positions: DataFrame, segmented: DataFrame | None = None, max_
     )
     bad = counts.where(F.col("n_impossible_legs") >= LEAST_BAD_LEGS).select("mmsi")
     centres = segmented.join(bad, "mmsi", "left_semi").groupBy("mmsi", "clean_seg").agg(F.avg("lat").alias("lat"), F.avg("lon").alias("lon"))
-    centres = centres.select("mmsi", "lat", "lon").distinct()
-    other = centres.select("mmsi", F.col("lat").alias("lat2"), F.col("lon").alias("lon2"))
-    apart = centres.join(other, "mmsi").groupBy("mmsi").agg(F.max(haversine_m(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2"))).alias("separation_m"))
-    out = counts.join(apart, "mmsi", "left")
-    shared = (F.col("n_impossible_legs") >= LEAST_BAD_LEGS) & (F.coalesce("separation_m", F.lit(0.0)) >= LEAST_SEPARATION_M)
+    out = counts.join(far_apart(centres.select("mmsi", "lat", "lon"), ["mmsi"], LEAST_SEPARATION_M), "mmsi", "left")
+    shared = (F.col("n_impossible_legs") >= LEAST_BAD_LEGS) & F.coalesce("apart", F.lit(False))
     verdict = F.when(F.col("n_impossible_legs") == 0, "CLEAN").when(shared, "PROBABLE_MMSI_COLLISION").otherwise("SUSPECT_DECODE")
     return out.select("mmsi", verdict.alias("verdict"), "n_positions", "n_impossible_legs", "max_implied_kn", "n_segments", (verdict != "PROBABLE_MMSI_COLLISION").alias("usable"))
 

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sealane.functions.ais import loose_float
 from sealane.functions.geo import densify
+from sealane.operators.order import numbered
 
 _GEOJSON = "features array<struct<properties:struct<id:string,name:string,OBJNAM:string,owners:string,rfs:string,length:string>,geometry:struct<type:string,coordinates:string>>>"
 _POINT = "array<double>"
@@ -56,4 +56,4 @@ def assembled(*parts: DataFrame) -> DataFrame:
     for k, part in enumerate(parts):
         part = part.withColumn("_k", F.lit(k))
         whole = part if whole is None else whole.unionByName(part)
-    return whole.withColumn("route_idx", (F.row_number().over(W.orderBy("_k", "cable_id")) - 1).cast("long")).drop("_k")
+    return numbered(whole, {"k": F.col("_k"), "cable_id": F.col("cable_id")}, "route_idx", first=0).drop("_k")
