@@ -62,7 +62,8 @@ def cells_near(boxes: DataFrame, reach_m: float) -> DataFrame:
     return out.dropDuplicates(["route_idx", *[c for c in ("seg_idx", "vlon", "vlat") if c in boxes.columns], "cell_row", "cell_col"])
 
 
-def _small(table: DataFrame) -> DataFrame:
+def small(table: DataFrame) -> DataFrame:
+    """A table to broadcast, if a count finds it small enough."""
     return F.broadcast(table) if table.count() <= BROADCAST_CELLS else table
 
 
@@ -70,7 +71,7 @@ def corridor_join(points: DataFrame, routes: DataFrame, reach_m: float, key: lis
     """(key, payload, route_idx, dist_m): every point less than ``reach_m`` from a route."""
     keep = [*key, *(payload or [])]
     placed = cells_of_points(points.select(*dict.fromkeys([*keep, "lat", "lon"])), reach_m)
-    near = _small(cells_near(segments(routes), reach_m).withColumnRenamed("cell_row", "_r").withColumnRenamed("cell_col", "_c"))
+    near = small(cells_near(segments(routes), reach_m).withColumnRenamed("cell_row", "_r").withColumnRenamed("cell_col", "_c"))
     pairs = placed.join(near, (placed["cell_row"] == near["_r"]) & (placed["cell_col"] == near["_c"]))
     pairs = pairs.withColumn("dist_m", point_segment_m(*map(F.col, ("lat", "lon", "lat1", "lon1", "lat2", "lon2")))).where(F.col("dist_m") < reach_m)
     firsts = [F.first(c).alias(c) for c in payload or [] if c not in key]
@@ -89,7 +90,7 @@ def vertices_within(points: DataFrame, routes: DataFrame, reach_m: float, key: l
     """(key, route_idx, vertex_m) of routes with a vertex at most ``reach_m`` away."""
     placed = cells_of_points(points.select(*key, "lat", "lon"), reach_m)
     v = vertices(routes).select("route_idx", "vlon", "vlat", *[F.col(f"v{c}").alias(f"{c}{k}") for k in (1, 2) for c in ("lon", "lat")])
-    near = _small(cells_near(v, reach_m).select("route_idx", "vlon", "vlat", F.col("cell_row").alias("_r"), F.col("cell_col").alias("_c")))
+    near = small(cells_near(v, reach_m).select("route_idx", "vlon", "vlat", F.col("cell_row").alias("_r"), F.col("cell_col").alias("_c")))
     pairs = placed.join(near, (placed["cell_row"] == near["_r"]) & (placed["cell_col"] == near["_c"]))
     pairs = pairs.withColumn("vertex_m", haversine_m(F.col("lat"), F.col("lon"), F.col("vlat"), F.col("vlon"))).where(F.col("vertex_m") <= reach_m)
     return pairs.groupBy(*key, "route_idx").agg(F.min("vertex_m").alias("vertex_m"))

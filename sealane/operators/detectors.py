@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 
 from sealane.functions.geo import angular_diff, haversine_m, initial_bearing
 from sealane.operators import places
-from sealane.operators.corridors import CORRIDOR_M, corridor_join, vertex_distance, vertices_within
+from sealane.operators.corridors import corridor_join, small, vertex_distance, vertices_within
 from sealane.operators.tracks import seconds, slow_runs, stationarity, time_segments, track_payload, track_stats
 from sealane.plans.config import Thresholds
 
@@ -62,7 +62,7 @@ def anchor_drag(segments: DataFrame, baseline: DataFrame, routes: DataFrame, th:
     step = haversine_m(F.lag("lat").over(w), F.lag("lon").over(w), F.col("lat"), F.col("lon"))
     inside = inside.withColumn("_step", F.when(F.col("_in") & F.lag("_in").over(w), step))
     by_route = inside.groupBy(*key, "route_idx").agg(F.min("vertex_m").alias("closest_m"), F.coalesce(F.sum("_step"), F.lit(0.0)).alias("inside_m"))
-    out = by_route.join(runs, key).join(track_payload(fixes, key), key).join(F.broadcast(_classes(routes)), "route_idx")
+    out = by_route.join(runs, key).join(track_payload(fixes, key), key).join(small(_classes(routes)), "route_idx")
     level = F.when(F.col("test_basis") == "geometric_only", "LOW").when(F.col("score") >= 0.5, "MODERATE").otherwise("LOW")
     km = lambda c, digits: F.round(c / 1000, digits)
     evidence = F.struct(

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sealane.functions import identity
-from sealane.operators.corridors import CORRIDOR_M, corridor_join, nearest_route
+from sealane.operators.corridors import CORRIDOR_M, corridor_join, nearest_route, small
 
 LATEST = ["lat", "lon", "sog", "cog", "heading", "nav_status"]
 WATCHLIST = 200
@@ -58,9 +58,9 @@ def vessel_layer(positions: DataFrame, routes: DataFrame, reach_m: float = CORRI
     """Latest fix of each vessel with the nearest route and the routes whose corridor it is in."""
     latest = latest_positions(positions)
     named = routes.select("route_idx", "name", "positional_class")
-    hits = corridor_join(latest, routes, reach_m, ["mmsi"]).join(F.broadcast(named), "route_idx")
+    hits = corridor_join(latest, routes, reach_m, ["mmsi"]).join(small(named), "route_idx")
     inside = hits.groupBy("mmsi").agg(F.array_sort(F.collect_set("name")).alias("cables"), F.array_sort(F.collect_set("positional_class")).alias("cable_positional_class"))
-    near = nearest_route(latest, routes, ["mmsi"]).join(F.broadcast(named.select("route_idx", F.col("name").alias("nearest_cable"))), "route_idx").select("mmsi", "nearest_cable", F.col("nearest_m").cast("long").alias("nearest_m"))
+    near = nearest_route(latest, routes, ["mmsi"]).join(small(named.select("route_idx", F.col("name").alias("nearest_cable"))), "route_idx").select("mmsi", "nearest_cable", F.col("nearest_m").cast("long").alias("nearest_m"))
     out = latest.join(near, "mmsi", "left").join(inside, "mmsi", "left")
     out = out.withColumns({"in_corridor": F.col("cables").isNotNull(), "sog": F.round("sog", 1), "cog": F.round("cog", 1)})
     return out.withColumn("colour", F.when(F.col("in_corridor") & (F.coalesce("sog", F.lit(99.0)) < 2), "stopped_in_corridor").when(F.col("in_corridor"), "in_corridor").otherwise("other"))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sealane.operators import detectors, grading
-from sealane.operators.corridors import corridor_join
+from sealane.operators.corridors import corridor_join, small
 from sealane.operators.quality import track_quality
 from sealane.operators.tracks import clean_segments, transit_baseline
 from sealane.plans.config import Thresholds
@@ -20,6 +20,12 @@ PUBLIC = ["detection_id", "kind", "mmsi", "cable_id", "cable_name", "positional_
 class Found(NamedTuple):
     detections: DataFrame
     quality: DataFrame
+    held: tuple[DataFrame, ...] = ()
+
+    def release(self) -> None:
+        """Give back the memory of what the run has persisted; both tables are computed anew if read again."""
+        for df in self.held:
+            df.unpersist()
 
 
 def prepared(positions: DataFrame) -> DataFrame:
@@ -29,7 +35,14 @@ def prepared(positions: DataFrame) -> DataFrame:
 
 
 def run(positions: DataFrame, routes: DataFrame, th: Thresholds | None = None, cells: DataFrame | None = None, seeds: DataFrame | None = None) -> Found:
-    """Detections of all four kinds, with quality, ids and order.
+    """Detections of all four kinds, with quality, ids and order."""
+    found = detect(positions, routes, th, cells, seeds)
+    rows = found.detections.persist()
+    return Found(grading.ordered(rows).select(*PUBLIC), found.quality, (*found.held, rows))
+
+
+def detect(positions: DataFrame, routes: DataFrame, th: Thresholds | None = None, cells: DataFrame | None = None, seeds: DataFrame | None = None) -> Found:
+    """What :func:`run` gives, not in order but with clean_seg and route_idx.
 
     Tracks are segmented once.  The routes meet the positions once, at the wider reach; the corridor
     itself is a filter of that.  A detector adds no shuffle of positions but those on mmsi.  What
@@ -53,8 +66,8 @@ def run(positions: DataFrame, routes: DataFrame, th: Thresholds | None = None, c
     parts = [p.withColumn("evidence", F.to_json("evidence", {"ignoreNullFields": "false"})).select(*detectors.COMMON) for p in parts]
     found = reduce(DataFrame.unionByName, parts)
     named = routes.select("route_idx", "cable_id", F.col("name").alias("cable_name"), "positional_class", F.col("source").alias("cable_source"))
-    found = grading.with_quality(found.join(F.broadcast(named), "route_idx"), quality)
-    return Found(grading.ordered(grading.with_ids(found)).select(*PUBLIC), quality)
+    found = grading.with_ids(grading.with_quality(found.join(small(named), "route_idx"), quality))
+    return Found(found.select(*[c for c in PUBLIC if c != "ord"], "clean_seg", "route_idx"), quality, (fixes, segmented, good, routes, reach))
 
 
 def evaluate(found: DataFrame, faults: DataFrame | None = None, external: DataFrame | None = None) -> DataFrame:

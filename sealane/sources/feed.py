@@ -24,6 +24,7 @@ from pyspark.sql.types import StructType
 
 NAME = "sealane_feed"
 ENVELOPE = "ts timestamp, mmsi bigint, value string"
+PUSHDOWN = "spark.sql.python.filterPushdown.enabled"
 ROWS_A_FILE = 100_000
 ROWS_A_BATCH = 200_000
 
@@ -165,6 +166,17 @@ class FeedReader(DataSourceReader):
                 t = _micros(datetime.fromisoformat(options[name]))
                 self.bounds.append(("t", t if low else None, None if low else t))
 
+    def partitions(self) -> list[Part]:
+        files = [f for b in _batches(self.folder) for f in index_of(self.folder, b)]
+        return [Part(f.batch, f.file, 0, f.rows) for f in files if _may_hold(f, self.bounds)]
+
+    def read(self, partition: Part) -> Iterator[pa.RecordBatch]:
+        yield from _rows(self.folder, partition, self.bounds)
+
+
+class PushingReader(FeedReader):
+    """The same, with comparisons of ts and mmsi taken from the plan; Spark refuses it unless pushdown is enabled."""
+
     def pushFilters(self, filters: list[Filter]):
         for condition in filters:
             bound = bound_of(condition)
@@ -173,13 +185,6 @@ class FeedReader(DataSourceReader):
             else:
                 self.bounds.append(bound)
 
-    def partitions(self) -> list[Part]:
-        files = [f for b in _batches(self.folder) for f in index_of(self.folder, b)]
-        return [Part(f.batch, f.file, 0, f.rows) for f in files if _may_hold(f, self.bounds)]
-
-    def read(self, partition: Part) -> Iterator[pa.RecordBatch]:
-        yield from _rows(self.folder, partition, self.bounds)
-
 
 class FeedStream(DataSourceStreamReader):
     """Batches of at most ``rowsPerBatch`` rows, in the order of landing.
@@ -249,7 +254,7 @@ class FeedSource(DataSource):
         return ENVELOPE
 
     def reader(self, schema: StructType) -> FeedReader:
-        return FeedReader(self.options)
+        return (PushingReader if self.options.get("pushdown") == "true" else FeedReader)(self.options)
 
     def streamReader(self, schema: StructType) -> FeedStream:
         return FeedStream(self.options)
@@ -259,10 +264,10 @@ def read_feed(spark: SparkSession, folder: str, start: datetime | None = None, e
     """Envelopes of all complete batches; the bounds are inclusive and choose files by the index first.
 
     Comparisons of ts and mmsi in later filters reach the index too where
-    ``spark.sql.python.filterPushdown.enabled`` is set.
+    the session has :data:`PUSHDOWN` set.
     """
     spark.dataSource.register(FeedSource)
-    reader = spark.read.format(NAME)
+    reader = spark.read.format(NAME).option("pushdown", spark.conf.get(PUSHDOWN, "false"))
     for name, value in (("start", start), ("end", end)):
         if value is not None:
             reader = reader.option(name, (value if value.tzinfo else value.replace(tzinfo=timezone.utc)).isoformat())
