@@ -379,7 +379,7 @@ def links(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> tuple
     rest = shelf.put("rest", across(index, roots, shelf, percent).join(stars, ["a", "b"], "left_anti"))
     if not rest.isEmpty():
         roots = components(found.unionByName(shelf.put("links", verified(rest, sets, percent))), shelf)
-    shelf.drop("sets", "index", "centres", "stars", "links", "rest", "split")
+    shelf.drop("sets", "index", "centres", "stars", "links", "rest", "split", "met")
     return members, roots, shelf
 
 
@@ -405,12 +405,14 @@ def across(index: DataFrame, roots: DataFrame, shelf: Shelf, percent: int = PERC
     task compares more than BLOCK sets of a key with the others.
     """
     v = F.struct("node", "n")
-    placed = index.select(v.alias("v"), "first", "keys", "signature").join(roots.select(F.col("node").alias("v"), "root"), "v", "left")
-    placed = placed.select("v", "first", F.explode("keys").alias("key"), F.coalesce("root", "v").alias("root"), "signature")
+    placed = index.select(v.alias("v"), "first", "keys").join(roots.select(F.col("node").alias("v"), "root"), "v", "left")
+    placed = placed.select("v", "first", F.explode("keys").alias("key"), F.coalesce("root", "v").alias("root"))
     split = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size")).where("low != high")
     split = shelf.put("split", split.select("key", "size"))
-    # One row of ``split`` a key: where a key is hot, AQE splits the rows that meet it.
-    rows = placed.join(split, "key").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+    # One row of ``split`` a key: where a key is hot, AQE splits the rows that meet it.  Signatures
+    # are long and most keys are not split, so they come to the rows that are left.
+    rows = shelf.put("met", placed.join(split, "key").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")))
+    rows = rows.join(index.select(v.alias("v"), "signature"), "v")
     side = lambda x: [F.col("v").alias(x), F.col("first").alias(f"first_{x}"), F.col("root").alias(f"root_{x}"), F.col("signature").alias(f"signature_{x}")]
     a = rows.select("key", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int").alias("block"), *side("a"))
     b = rows.select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), *side("b"))
