@@ -5,6 +5,8 @@ Each returns the common detection columns and a typed ``evidence`` struct.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -15,6 +17,9 @@ from sealane.operators.corridors import corridor_join, small, vertex_distance, v
 from sealane.operators.tracks import seconds, slow_runs, stationarity, time_segments, track_payload, track_stats
 from sealane.plans.config import Thresholds
 
+#: What keeps a table that is read several times: persist(), or the caller's written steps.
+Hold = Callable[[DataFrame], DataFrame]
+
 FIX = ["mmsi", "ts"]
 COMMON = ["kind", "mmsi", "clean_seg", "route_idx", "start_ts", "end_ts", "duration_s", "lat", "lon", "score", "confidence", "evidence", "track"]
 
@@ -31,12 +36,13 @@ def _clip(c: Column, low: float = 0.0, high: float = 1.0) -> Column:
     return F.least(F.lit(high), F.greatest(F.lit(low), c))
 
 
-def drag_candidates(segments: DataFrame, baseline: DataFrame, th: Thresholds) -> tuple[DataFrame, DataFrame]:
+def drag_candidates(segments: DataFrame, baseline: DataFrame, th: Thresholds, hold: Hold = DataFrame.persist) -> tuple[DataFrame, DataFrame]:
     """(fixes of slow runs with a run key, statistics of the runs that look like a dragged anchor).
 
     All tests here are of the run alone, so routes are only joined to runs that pass them.
     """
-    fixes = slow_runs(time_segments(segments, ["mmsi", "clean_seg"], gap_s=th.max_gap_for_continuity_s), band=(th.drag_min_sog, th.drag_max_sog)).persist()
+    fixes = slow_runs(time_segments(segments, ["mmsi", "clean_seg"], gap_s=th.max_gap_for_continuity_s), band=(th.drag_min_sog, th.drag_max_sog))
+    fixes = hold(fixes)
     key = ["mmsi", "clean_seg", "time_seg", "run"]
     s = track_stats(fixes, key).join(baseline, "mmsi", "left")
     s = s.where((F.col("duration_s") >= th.drag_min_duration_s) & (F.col("distance_m") >= th.drag_min_distance_m) & F.col("median_sog").between(th.drag_min_sog, th.drag_max_sog) & (F.col("cog_stability") >= th.drag_min_cog_stability))
@@ -50,8 +56,8 @@ def drag_candidates(segments: DataFrame, baseline: DataFrame, th: Thresholds) ->
     return fixes, s.withColumn("score", F.round(score, 3))
 
 
-def anchor_drag(segments: DataFrame, baseline: DataFrame, routes: DataFrame, th: Thresholds) -> DataFrame:
-    fixes, runs = drag_candidates(segments, baseline, th)
+def anchor_drag(segments: DataFrame, baseline: DataFrame, routes: DataFrame, th: Thresholds, hold: Hold = DataFrame.persist) -> DataFrame:
+    fixes, runs = drag_candidates(segments, baseline, th, hold)
     key = ["mmsi", "clean_seg", "time_seg", "run"]
     fixes = fixes.join(runs.select(*key), key, "left_semi").select(*key, "ts", "lat", "lon", "sog", "cog", "nav_status")
     touched = corridor_join(fixes, routes, th.corridor_m, FIX, key).select(*key, "route_idx").distinct()
@@ -74,19 +80,19 @@ def anchor_drag(segments: DataFrame, baseline: DataFrame, routes: DataFrame, th:
     return out.select(F.lit("anchor_drag").alias("kind"), "mmsi", "clean_seg", "route_idx", "start_ts", "end_ts", "duration_s", "lat", "lon", "score", capped(level, F.col("positional_class")).alias("confidence"), evidence.alias("evidence"), "track")
 
 
-def _in_reach(segments: DataFrame, hits: DataFrame, least: int, th: Thresholds) -> DataFrame:
+def _in_reach(segments: DataFrame, hits: DataFrame, least: int, th: Thresholds, hold: Hold) -> DataFrame:
     """Time segments of those fixes of clean segments that are in reach of a route, route by route."""
     inside = segments.select(*FIX, "clean_seg", "lat", "lon", "sog", "cog", "nav_status").join(hits, FIX)
     inside = time_segments(inside, ["mmsi", "clean_seg", "route_idx"], gap_s=th.max_gap_for_continuity_s)
     n = F.count("*").over(W.partitionBy("mmsi", "clean_seg", "route_idx", "time_seg"))
-    return inside.withColumn("_n", n).where(F.col("_n") >= least).drop("_n").persist()
+    return hold(inside.withColumn("_n", n).where(F.col("_n") >= least).drop("_n"))
 
 
 SEGMENT = ["mmsi", "clean_seg", "route_idx", "time_seg"]
 
 
-def loiter_candidates(segments: DataFrame, hits: DataFrame, th: Thresholds) -> tuple[DataFrame, DataFrame]:
-    fixes = _in_reach(segments, hits, 3, th)
+def loiter_candidates(segments: DataFrame, hits: DataFrame, th: Thresholds, hold: Hold = DataFrame.persist) -> tuple[DataFrame, DataFrame]:
+    fixes = _in_reach(segments, hits, 3, th, hold)
     s = track_stats(fixes, SEGMENT).where((F.col("duration_s") >= th.loiter_min_duration_s) & (F.col("mean_sog") <= th.loiter_max_sog))
     s = s.join(stationarity(fixes, SEGMENT), SEGMENT)
     only = lambda *labels: F.size(F.array_except("nav_statuses", F.array(*[F.lit(x) for x in labels]))) == 0
@@ -96,8 +102,9 @@ def loiter_candidates(segments: DataFrame, hits: DataFrame, th: Thresholds) -> t
     return fixes, s.withColumn("score", F.round(score, 3))
 
 
-def loiter(segments: DataFrame, hits: DataFrame, routes: DataFrame, th: Thresholds, cells: DataFrame | None = None, seeds: DataFrame | None = None) -> DataFrame:
-    fixes, s = loiter_candidates(segments, hits, th)
+def loiter(segments: DataFrame, hits: DataFrame, routes: DataFrame, th: Thresholds, cells: DataFrame | None = None, seeds: DataFrame | None = None, hold: Hold = DataFrame.persist) -> DataFrame:
+    fixes, s = loiter_candidates(segments, hits, th, hold)
+    s = hold(s)
     if cells is not None or seeds is not None:
         s = s.join(places.why_normal(s, SEGMENT, cells, seeds).select(*SEGMENT), SEGMENT, "left_anti")
     close = vertex_distance(fixes, routes, SEGMENT[:2] + ["time_seg"]).groupBy(*SEGMENT).agg(F.min("vertex_m").alias("closest_m"))
@@ -132,9 +139,9 @@ def survey_legs(fixes: DataFrame, keys: list[str] | None = None, tolerance: floa
     return out.select(*keys, "bearings", "dominant", F.coalesce("legs", F.lit(0)).alias("legs"), ((F.col("_a") + F.col("_b")) / F.col("bearings")).alias("share"), F.coalesce(F.least("_a", "_b") / F.nullif(F.greatest("_a", "_b"), F.lit(0)), F.lit(0.0)).alias("balance"))
 
 
-def survey_candidates(segments: DataFrame, hits: DataFrame, th: Thresholds) -> tuple[DataFrame, DataFrame]:
+def survey_candidates(segments: DataFrame, hits: DataFrame, th: Thresholds, hold: Hold = DataFrame.persist) -> tuple[DataFrame, DataFrame]:
     """(fixes in reach, statistics of the segments that look like a survey)."""
-    fixes = _in_reach(segments, hits, 12, th)
+    fixes = _in_reach(segments, hits, 12, th, hold)
     s = track_stats(fixes, SEGMENT).where((F.col("duration_s") >= th.survey_min_duration_s) & (F.col("mean_sog") >= th.survey_min_sog))
     box = fixes.groupBy(*SEGMENT).agg(haversine_m(F.min("lat"), F.min("lon"), F.max("lat"), F.max("lon")).alias("extent_m"))
     s = s.join(box, SEGMENT).where(F.col("extent_m") >= th.survey_min_extent_m).join(survey_legs(fixes, tolerance=th.survey_reciprocal_tolerance_deg), SEGMENT)
@@ -143,24 +150,28 @@ def survey_candidates(segments: DataFrame, hits: DataFrame, th: Thresholds) -> t
     return fixes, s.withColumn("score", F.round(score, 3))
 
 
-def survey_pattern(segments: DataFrame, hits: DataFrame, routes: DataFrame, th: Thresholds) -> DataFrame:
-    fixes, s = survey_candidates(segments, hits, th)
+def survey_pattern(segments: DataFrame, hits: DataFrame, routes: DataFrame, th: Thresholds, hold: Hold = DataFrame.persist) -> DataFrame:
+    fixes, s = survey_candidates(segments, hits, th, hold)
     s = s.join(track_payload(fixes, SEGMENT), SEGMENT)
     evidence = F.struct("legs", F.col("dominant").alias("primary_course_deg"), F.pmod(F.col("dominant") + 180, F.lit(360.0)).alias("reciprocal_course_deg"), F.round("share", 3).alias("lobe_share"), F.round("balance", 3).alias("lobe_balance"), F.round(F.col("duration_s") / 3600, 2).alias("hours"), F.round("mean_sog", 2).alias("mean_sog_kn"), F.round(F.col("extent_m") / 1000, 2).alias("pattern_extent_km"), F.lit(th.survey_buffer_m).alias("buffer_m"))
     return _low(s, "survey_pattern", evidence)
 
 
-def corridor_gap(segments: DataFrame, hits: DataFrame, routes: DataFrame, th: Thresholds) -> DataFrame:
+def corridor_gap(segments: DataFrame, hits: DataFrame, routes: DataFrame, th: Thresholds, hold: Hold = DataFrame.persist) -> DataFrame:
     """One detection for each route near either end of a long silence inside a clean segment.
 
     Only fixes at the ends of a silence meet the routes; silences with no end in a corridor look for
     routes with a vertex within ``gap_max_entry_dist_m``.
     """
     w = W.partitionBy("mmsi", "clean_seg").orderBy("ts")
-    around = F.collect_list(F.struct("ts", F.round("lon", 5).alias("lon"), F.round("lat", 5).alias("lat"), F.round("sog", 1).alias("sog"), F.round("cog", 1).alias("cog"))).over(w.rowsBetween(-6, 5))
-    gaps = segments.withColumns({"ts0": F.lag("ts").over(w), "lat0": F.lag("lat").over(w), "lon0": F.lag("lon").over(w), "track": around})
-    gaps = gaps.withColumn("gap_s", seconds(F.col("ts")) - seconds(F.col("ts0"))).where(F.col("gap_s").between(th.gap_min_s, th.gap_max_s))
-    gaps = gaps.select("mmsi", "clean_seg", "ts0", "ts", "lat0", "lon0", "lat", "lon", "gap_s", "track")
+    numbered = segments.select("mmsi", "clean_seg", "ts", "lat", "lon", "sog", "cog", F.row_number().over(w).alias("_k"), *[F.lag(c).over(w).alias(f"{c}0") for c in ("ts", "lat", "lon")])
+    numbered = hold(numbered.withColumn("gap_s", seconds(F.col("ts")) - seconds(F.col("ts0"))))
+    gaps = hold(numbered.where(F.col("gap_s").between(th.gap_min_s, th.gap_max_s)).select("mmsi", "clean_seg", "ts0", "ts", "lat0", "lon0", "lat", "lon", "gap_s", "_k"))
+    # Twelve numbered fixes around each silence, fetched for the silences alone.
+    asked = gaps.select("mmsi", "clean_seg", F.col("ts").alias("_gap"), F.explode(F.sequence(F.col("_k") - 6, F.col("_k") + 5)).alias("_k"))
+    point = F.struct("ts", F.round("lon", 5).alias("lon"), F.round("lat", 5).alias("lat"), F.round("sog", 1).alias("sog"), F.round("cog", 1).alias("cog"))
+    excerpts = asked.join(numbered.select("mmsi", "clean_seg", "_k", "ts", "lat", "lon", "sog", "cog"), ["mmsi", "clean_seg", "_k"]).groupBy("mmsi", F.col("_gap").alias("ts")).agg(F.array_sort(F.collect_list(point)).alias("track"))
+    gaps = gaps.drop("_k").join(excerpts, ["mmsi", "ts"])
     key = ["mmsi", "ts"]
     sides = hits.groupBy(*FIX).agg(F.array_sort(F.collect_set("route_idx")).alias("routes"))
     none = F.array().cast("array<bigint>")

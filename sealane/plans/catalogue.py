@@ -14,6 +14,8 @@ from sealane.operators.corridors import corridor_join, nearest_route, vertex_dis
 from sealane.operators.quality import track_quality
 from sealane.plans import adapter
 from sealane.plans.config import Thresholds
+from sealane.plans.scratch import Steps
+from sealane.sources.schema import POSITIONS
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -142,11 +144,12 @@ def _segmented(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _good(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """(positions, clean segments of usable tracks); the segments are read by several branches."""
-    positions = adapter.tracks(spark, d)
-    segmented = tracks.clean_segments(positions).persist()
+    """(positions, clean segments of usable tracks); both are read by several branches."""
+    steps = Steps(spark)
+    segmented = steps.put(tracks.clean_segments(adapter.tracks(spark, d)))
+    positions = segmented.select(*POSITIONS.names)
     quality = track_quality(positions, segmented)
-    return positions, segmented.join(quality.where("usable AND n_positions >= 2").select("mmsi"), "mmsi", "left_semi").persist()
+    return positions, steps.put(segmented.join(quality.where("usable AND n_positions >= 2").select("mmsi"), "mmsi", "left_semi"))
 
 
 @query("track_legs", "SELECT mmsi, t, dt::DOUBLE AS dt_s, round(leg_m, 3) AS leg_m, round(leg_kn, 6) AS leg_kn FROM legs")

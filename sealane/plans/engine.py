@@ -13,6 +13,7 @@ from sealane.operators.corridors import corridor_join, small
 from sealane.operators.quality import track_quality
 from sealane.operators.tracks import clean_segments, transit_baseline
 from sealane.plans.config import Thresholds
+from sealane.plans.scratch import Steps
 
 PUBLIC = ["detection_id", "kind", "mmsi", "cable_id", "cable_name", "positional_class", "cable_source", "start_ts", "end_ts", "duration_s", "lat", "lon", "confidence", "score", "evidence", "track", "track_quality", "ord"]
 
@@ -20,12 +21,11 @@ PUBLIC = ["detection_id", "kind", "mmsi", "cable_id", "cable_name", "positional_
 class Found(NamedTuple):
     detections: DataFrame
     quality: DataFrame
-    held: tuple[DataFrame, ...] = ()
+    steps: Steps
 
     def release(self) -> None:
-        """Give back the memory of what the run has persisted; both tables are computed anew if read again."""
-        for df in self.held:
-            df.unpersist()
+        """Delete what the run has written on its way; neither table can be read after that."""
+        self.steps.release()
 
 
 def prepared(positions: DataFrame) -> DataFrame:
@@ -37,8 +37,7 @@ def prepared(positions: DataFrame) -> DataFrame:
 def run(positions: DataFrame, routes: DataFrame, th: Thresholds | None = None, cells: DataFrame | None = None, seeds: DataFrame | None = None) -> Found:
     """Detections of all four kinds, with quality, ids and order."""
     found = detect(positions, routes, th, cells, seeds)
-    rows = found.detections.persist()
-    return Found(grading.ordered(rows).select(*PUBLIC), found.quality, (*found.held, rows))
+    return found._replace(detections=grading.ordered(found.detections).select(*PUBLIC))
 
 
 def detect(positions: DataFrame, routes: DataFrame, th: Thresholds | None = None, cells: DataFrame | None = None, seeds: DataFrame | None = None) -> Found:
@@ -46,28 +45,28 @@ def detect(positions: DataFrame, routes: DataFrame, th: Thresholds | None = None
 
     Tracks are segmented once.  The routes meet the positions once, at the wider reach; the corridor
     itself is a filter of that.  A detector adds no shuffle of positions but those on mmsi.  What
-    several detectors read is persisted: lost blocks are computed anew from the input.
+    several detectors read is written once, so neither work nor plans pile up; see ``Found.release``.
     """
-    th = th or Thresholds()
-    fixes = prepared(positions).persist()
-    segmented = clean_segments(fixes, th.impossible_kn).persist()
-    quality = track_quality(fixes, segmented, th.impossible_kn)
-    good = segmented.join(quality.where("usable AND n_positions >= 2").select("mmsi"), "mmsi", "left_semi").persist()
-    baseline = transit_baseline(fixes)
-    routes = routes.persist()
-    reach = corridor_join(good, routes, max(th.survey_buffer_m, th.corridor_m), detectors.FIX).persist()
+    th, steps = th or Thresholds(), Steps(positions.sparkSession)
+    fixes = steps.put(prepared(positions))
+    segmented = steps.put(clean_segments(fixes, th.impossible_kn))
+    quality = steps.put(track_quality(fixes, segmented, th.impossible_kn))
+    good = steps.put(segmented.join(quality.where("usable AND n_positions >= 2").select("mmsi"), "mmsi", "left_semi"))
+    baseline = steps.put(transit_baseline(fixes))
+    routes = steps.put(routes)
+    reach = steps.put(corridor_join(good, routes, max(th.survey_buffer_m, th.corridor_m), detectors.FIX))
     near, wide = reach.where(F.col("dist_m") < th.corridor_m), reach.where(F.col("dist_m") < th.survey_buffer_m)
     parts = [
-        detectors.corridor_gap(good, near, routes, th),
-        detectors.anchor_drag(good, baseline, routes, th),
-        detectors.loiter(good, near, routes, th, cells, seeds),
-        detectors.survey_pattern(good, wide, routes, th),
+        detectors.corridor_gap(good, near, routes, th, hold=steps.put),
+        detectors.anchor_drag(good, baseline, routes, th, hold=steps.put),
+        detectors.loiter(good, near, routes, th, cells, seeds, hold=steps.put),
+        detectors.survey_pattern(good, wide, routes, th, hold=steps.put),
     ]
     parts = [p.withColumn("evidence", F.to_json("evidence", {"ignoreNullFields": "false"})).select(*detectors.COMMON) for p in parts]
-    found = reduce(DataFrame.unionByName, parts)
+    found = reduce(DataFrame.unionByName, [steps.put(p) for p in parts])
     named = routes.select("route_idx", "cable_id", F.col("name").alias("cable_name"), "positional_class", F.col("source").alias("cable_source"))
     found = grading.with_ids(grading.with_quality(found.join(small(named), "route_idx"), quality))
-    return Found(found.select(*[c for c in PUBLIC if c != "ord"], "clean_seg", "route_idx"), quality, (fixes, segmented, good, routes, reach))
+    return Found(steps.put(found.select(*[c for c in PUBLIC if c != "ord"], "clean_seg", "route_idx")), quality, steps)
 
 
 def evaluate(found: DataFrame, faults: DataFrame | None = None, external: DataFrame | None = None) -> DataFrame:

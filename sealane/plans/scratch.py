@@ -5,17 +5,51 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession, name: str) -> str:
     """A new folder under the session's spark.checkpoint.dir; in local mode without one, under a temporary one."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    return f"{_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def _root(spark: SparkSession) -> str:
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or _own.get(spark.sparkContext.applicationId)
     if root is None:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = tempfile.mkdtemp(prefix="sealane-")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        root = _own[spark.sparkContext.applicationId] = tempfile.mkdtemp(prefix="sealane-")
+    return root
+
+
+#: In local mode, the temporary folder of each application.
+_own: dict[str, str] = {}
+
+
+class Steps:
+    """Tables that a job stands on while it goes on: written once, so that neither the work nor the plan before them is done again.
+
+    They are checkpoints in the shared folder, which outlive lost executors and keep how their rows
+    are partitioned and sorted.  ``release`` deletes them; without it Spark's cleaner does, where
+    the session has that set.
+    """
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.paths = spark, []
+
+    def put(self, df: DataFrame) -> DataFrame:
+        context = self.spark.sparkContext
+        if context.getCheckpointDir() is None:
+            context.setCheckpointDir(_root(self.spark))
+        done = df.checkpoint(eager=True)
+        file = done._jdf.queryExecution().logical().rdd().getCheckpointFile()
+        if file.isDefined():
+            self.paths.append(file.get())
+        return done
+
+    def release(self) -> None:
+        while self.paths:
+            delete(self.spark, self.paths.pop())
 
 
 def delete(spark: SparkSession, path: str) -> None:
