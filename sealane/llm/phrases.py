@@ -24,7 +24,7 @@ SWALLOWED = 50
 #: Phrases of each language in the report.
 TOP = 2000
 #: N-grams that a task counts together before it sends them.
-FLUSH = 500_000
+FLUSH = 250_000
 #: Bits of the filter of frequent n-grams that tasks are sent: BITS_EACH for each, MOST_BITS (32 MB) at most.
 #: A full filter lets rare n-grams pass, which are then counted and left out.
 BITS_EACH, LEAST_BITS, MOST_BITS = 32, 1 << 20, 1 << 28
@@ -39,7 +39,6 @@ _CUT = np.zeros(256, bool)
 _CUT[[*b".,;:!?", *range(10, 14)]] = True
 _BETWEEN = _BLANK | _CUT
 _SECOND_BYTES = np.random.default_rng(20_240).integers(1, 1 << 63, 256, np.uint64)
-_polynomials = [(_bytes, _words), (Powers(U(0xA24BAED4963EE407)), Powers(U(0x8CB92BA72F3D8DD7)))]
 
 
 class Words(NamedTuple):
@@ -72,7 +71,8 @@ def split(chunk: Chunk) -> Words:
     of = np.searchsorted(start, chunk.bounds)
     doc = np.repeat(np.arange(len(chunk.bounds) - 1), np.diff(of))
     piece = np.cumsum(_CUT[data])[start] if len(start) else start
-    hashes = [_spans(values, byte, start, end) for values, (byte, _) in zip((data + U(1), _SECOND_BYTES[data]), _polynomials, strict=True)]
+    # The second hash reads the bytes through a table of random numbers, so no two texts collide in both by rule.
+    hashes = [_spans(values, _bytes, start, end) for values in (data + U(1), _SECOND_BYTES[data])]
     return Words(start, end, doc, of, piece, hashes)
 
 
@@ -85,7 +85,7 @@ def places(words: Words, n: int) -> np.ndarray:
 
 def fingerprints(words: Words, n: int, at: np.ndarray, lang: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Two independent fingerprints of the n-grams that begin at ``at``; ``lang`` has two hashes of each text's language."""
-    one, two = (mix(_spans(values, word, at, at + n) ^ lang[words.doc[at], k]) for k, (values, (_, word)) in enumerate(zip(words.hashes, _polynomials, strict=True)))
+    one, two = (mix(_spans(values, _words, at, at + n) ^ lang[words.doc[at], k]) for k, values in enumerate(words.hashes))
     return one & FINGERPRINT, two
 
 
