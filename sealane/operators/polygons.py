@@ -43,6 +43,34 @@ def corridor_polygons(routes: DataFrame, width_m: float, tolerance: float | None
     return routes.where(F.size("line") > 0).select("route_idx", "line").mapInPandas(run, RINGS)
 
 
+def turns(ring: str) -> Column:
+    """array of rings: a ring that runs over the antimeridian as its parts of each turn, brought between -180 and 180.
+
+    A part is what is left after cutting at the meridian (Sutherland and Hodgman's rule for one
+    edge); it stays closed.
+    """
+
+    def cut(points: Column, at: float, east: bool) -> Column:
+        inside = lambda p: p["lon"] >= at if east else p["lon"] <= at
+
+        def step(k: Column) -> Column:
+            a, b = F.get(points, k), F.get(points, k + 1)
+            share = (F.lit(at) - a["lon"]) / (b["lon"] - a["lon"])
+            on = F.struct(F.lit(at).alias("lon"), (a["lat"] + share * (b["lat"] - a["lat"])).alias("lat"))
+            both = F.when(inside(b), F.when(inside(a), F.array(b)).otherwise(F.array(on, b))).when(inside(a), F.array(on)).otherwise(F.slice(F.array(b), 1, 0))
+            return both
+
+        kept = F.flatten(F.transform(F.sequence(F.lit(0), F.size(points) - 2), step))
+        return F.when(F.size(kept) > 0, F.concat(F.slice(kept, -1, 1), kept)).otherwise(kept)
+
+    whole = F.col(ring)
+    lon = F.transform(whole, lambda p: p["lon"])
+    moved = lambda points, by: F.transform(points, lambda p: F.struct((p["lon"] + by).alias("lon"), p["lat"].alias("lat")))
+    over = F.array(cut(whole, 180.0, False), moved(cut(whole, 180.0, True), -360.0))
+    under = F.array(cut(whole, -180.0, True), moved(cut(whole, -180.0, False), 360.0))
+    return F.when(F.array_max(lon) > 180, over).when(F.array_min(lon) < -180, under).otherwise(F.array(whole))
+
+
 def polygon_index(polygons: DataFrame, size: float = CELL) -> DataFrame:
     """(polygon, cell_row, cell_col, shift, winding, edges): the cells of each polygon (polygon, ring).
 

@@ -23,6 +23,11 @@ class Found(NamedTuple):
     quality: DataFrame
     steps: Steps
 
+    @property
+    def counts(self) -> dict[str, int]:
+        """Fixes, vessels, routes and detections by kind, counted while the run wrote them: no job of their own."""
+        return self.steps.counts
+
     def release(self) -> None:
         """Delete what the run has written on its way; neither table can be read after that."""
         self.steps.release()
@@ -48,12 +53,12 @@ def detect(positions: DataFrame, routes: DataFrame, th: Thresholds | None = None
     several detectors read is written once, so neither work nor plans pile up; see ``Found.release``.
     """
     th, steps = th or Thresholds(), Steps(positions.sparkSession)
-    fixes = steps.put(prepared(positions))
+    fixes = steps.put(prepared(positions), positions_observed=F.count(F.lit(1)))
     segmented = steps.put(clean_segments(fixes, th.impossible_kn))
-    quality = steps.put(track_quality(fixes, segmented, th.impossible_kn))
+    quality = steps.put(track_quality(fixes, segmented, th.impossible_kn), vessels_observed=F.count(F.lit(1)), vessels_unusable=F.count_if(~F.col("usable")), tracks_suspect=F.count_if(F.col("verdict") != "CLEAN"))
     good = steps.put(segmented.join(quality.where("usable AND n_positions >= 2").select("mmsi"), "mmsi", "left_semi"))
     baseline = steps.put(transit_baseline(fixes))
-    routes = steps.put(routes)
+    routes = steps.put(routes, routes=F.count(F.lit(1)), routes_charted=F.count_if(F.col("positional_class") == "CHARTED"))
     reach = steps.put(corridor_join(good, routes, max(th.survey_buffer_m, th.corridor_m), detectors.FIX))
     near, wide = reach.where(F.col("dist_m") < th.corridor_m), reach.where(F.col("dist_m") < th.survey_buffer_m)
     parts = [
@@ -66,7 +71,8 @@ def detect(positions: DataFrame, routes: DataFrame, th: Thresholds | None = None
     found = reduce(DataFrame.unionByName, [steps.put(p) for p in parts])
     named = routes.select("route_idx", "cable_id", F.col("name").alias("cable_name"), "positional_class", F.col("source").alias("cable_source"))
     found = grading.with_ids(grading.with_quality(found.join(small(named), "route_idx"), quality))
-    return Found(steps.put(found.select(*[c for c in PUBLIC if c != "ord"], "clean_seg", "route_idx")), quality, steps)
+    kinds = {kind: F.count_if(F.col("kind") == kind) for kind in grading.KIND_ORDER}
+    return Found(steps.put(found.select(*[c for c in PUBLIC if c != "ord"], "clean_seg", "route_idx"), detections=F.count(F.lit(1)), **kinds), quality, steps)
 
 
 def evaluate(found: DataFrame, faults: DataFrame | None = None, external: DataFrame | None = None) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def folder(spark: SparkSession, name: str) -> str:
@@ -36,12 +36,18 @@ class Steps:
 
     def __init__(self, spark: SparkSession) -> None:
         self.spark, self.paths = spark, []
+        self.counts: dict[str, int] = {}
 
-    def put(self, df: DataFrame) -> DataFrame:
-        context = self.spark.sparkContext
+    def put(self, df: DataFrame, **counts: Column) -> DataFrame:
+        """Write ``df``; ``counts`` are aggregates of its rows, taken while they pass and kept by name."""
+        context, seen = self.spark.sparkContext, Observation() if counts else None
+        if seen is not None:
+            df = df.observe(seen, *[c.alias(name) for name, c in counts.items()])
         if context.getCheckpointDir() is None:
             context.setCheckpointDir(_root(self.spark))
         done = df.checkpoint(eager=True)
+        if seen is not None:
+            self.counts |= seen.get
         file = done._jdf.queryExecution().logical().rdd().getCheckpointFile()
         if file.isDefined():
             self.paths.append(file.get())

@@ -32,7 +32,7 @@ _LINE = pa.schema([("t", pa.int64()), ("mmsi", pa.int64()), ("value", pa.string(
 _OUT = pa.schema([("ts", pa.timestamp("us", "UTC")), ("mmsi", pa.int64()), ("value", pa.string())])
 
 
-def _store(uri: str) -> tuple[pafs.FileSystem, str]:
+def store(uri: str) -> tuple[pafs.FileSystem, str]:
     """The file system of a folder and the folder's place in it; a bare path is a local one."""
     if not re.match(r"\w+:", uri):
         return pafs.LocalFileSystem(), uri
@@ -40,7 +40,7 @@ def _store(uri: str) -> tuple[pafs.FileSystem, str]:
 
 
 def _names(uri: str, suffix: str = "") -> list[str]:
-    fs, path = _store(uri)
+    fs, path = store(uri)
     found = fs.get_file_info(pafs.FileSelector(path, allow_not_found=True))
     return sorted(x.base_name for x in found if x.base_name.endswith(suffix) and not x.base_name.startswith("."))
 
@@ -87,7 +87,7 @@ def index_of(folder: str, batch: int) -> list[Landed]:
     """Files of a batch in the order in which they are read."""
     out = []
     for name in _names(f"{folder}/index/batch={batch}", ".json"):
-        fs, path = _store(f"{folder}/index/batch={batch}/{name}")
+        fs, path = store(f"{folder}/index/batch={batch}/{name}")
         with fs.open_input_stream(path) as file:
             if data := file.read():
                 out += pj.read_json(pa.py_buffer(data)).to_pylist()
@@ -143,7 +143,7 @@ def _may_hold(file: Landed, bounds: list[Bound]) -> bool:
 
 
 def _rows(folder: str, part: Part, bounds: list[Bound]) -> Iterator[pa.RecordBatch]:
-    fs, path = _store(f"{folder}/data/batch={part.batch}/{part.file}")
+    fs, path = store(f"{folder}/data/batch={part.batch}/{part.file}")
     with fs.open_input_stream(path) as file:  # decompresses by the name's ending
         table = pj.read_json(file, parse_options=pj.ParseOptions(explicit_schema=_LINE, unexpected_field_behavior="ignore"))
     table = table.slice(part.first, part.last - part.first)
@@ -170,8 +170,9 @@ class FeedReader(DataSourceReader):
         files = [f for b in _batches(self.folder) for f in index_of(self.folder, b)]
         return [Part(f.batch, f.file, 0, f.rows) for f in files if _may_hold(f, self.bounds)]
 
-    def read(self, partition: Part) -> Iterator[pa.RecordBatch]:
-        yield from _rows(self.folder, partition, self.bounds)
+    def read(self, partition: Part | None) -> Iterator[pa.RecordBatch]:
+        if isinstance(partition, Part):  # without partitions Spark asks for one that is none
+            yield from _rows(self.folder, partition, self.bounds)
 
 
 class PushingReader(FeedReader):

@@ -6,15 +6,21 @@ nothing is inferred, and with filters on columns that reach the scan.
 
 from __future__ import annotations
 
+import zipfile
+from collections.abc import Iterator
 from datetime import datetime, timedelta
 
+import pyarrow as pa
+import pyarrow.csv as csv
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from sealane.functions import ais
 from sealane.functions.geo import bbox_contains
-from sealane.sources.schema import FAULTS, POSITIONS, STATIC, conform, last_values
+from sealane.sources.feed import store
+from sealane.sources.schema import FAULTS, POSITIONS, STATIC, conform, empty, last_values
 
 Bbox = tuple[float, float, float, float]
 WORLD: Bbox = (-180.0, -90.0, 180.0, 90.0)
@@ -81,11 +87,45 @@ DAILY = "`# Timestamp` string, `Type of mobile` string, MMSI string, Latitude do
 
 def daily_rows(spark: SparkSession, path: str, bbox: Bbox = WORLD) -> DataFrame:
     """Rows of unzipped daily CSV files (with this header order) of class A and B mobiles in an area."""
-    raw = spark.read.schema(DAILY).csv(path, header=True)
+    return _daily(spark.read.schema(DAILY).csv(path, header=True), bbox)
+
+
+def _daily(raw: DataFrame, bbox: Bbox) -> DataFrame:
     rows = raw.where(bbox_contains(F.col("Longitude"), F.col("Latitude"), bbox) & F.col("Type of mobile").startswith("Class"))
     return rows.withColumns({"ts": F.try_to_timestamp("# Timestamp", F.lit("dd/MM/yyyy HH:mm:ss")), "mmsi": F.col("MMSI").try_cast("long")})
 
 
+#: Bytes of a daily file that are decompressed and parsed at a time.
+BLOCK = 8 << 20
+
+
+def zipped_daily_rows(spark: SparkSession, path: str, bbox: Bbox = WORLD) -> DataFrame:
+    """The same from zip archives of a day each, whatever the order of their columns.
+
+    An archive is a task's work: its first CSV file is decompressed as it is read, a block at a time,
+    so memory does not follow its size.  Columns go by the names in the header; absent ones are null
+    and others are never parsed.  Numbers that are none are null.  Archives without a CSV have no rows.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in StructType.fromDDL(DAILY)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for uri in batch.column(0).to_pylist():
+                fs, place = store(uri)
+                with fs.open_input_file(place) as file, zipfile.ZipFile(file) as archive:
+                    member = next((n for n in archive.namelist() if n.lower().endswith(".csv")), None)
+                    if member is None or not archive.getinfo(member).file_size:
+                        continue
+                    options = csv.ConvertOptions(include_columns=list(kinds), include_missing_columns=True, column_types=dict.fromkeys(kinds, pa.string()), strings_can_be_null=True)
+                    with archive.open(member) as text:
+                        yield from csv.open_csv(text, read_options=csv.ReadOptions(block_size=BLOCK), convert_options=options)
+
+    # Of binary files only the paths are asked for, so none of them is read here; each is a partition's worth by its size.
+    paths = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path).select("path")
+    text = paths.repartition(max(1, paths.count()), "path").mapInArrow(run, ", ".join(f"`{c}` string" for c in kinds))
+    return _daily(text.select(*[F.col(f"`{c}`").try_cast(kind).alias(c) for c, kind in kinds.items()]), bbox)
+
+
 def daily_positions(rows: DataFrame, start: datetime | None = None, end: datetime | None = None) -> DataFrame:
     out = rows.select("ts", "mmsi", F.col("Latitude").alias("lat"), F.col("Longitude").alias("lon"), F.col("SOG").alias("sog"), F.col("COG").alias("cog"), F.col("Heading").alias("heading"), F.col("Navigational status").alias("nav_status"), F.lit("daily").alias("source"))
     return conform(between(out, start, end), POSITIONS)
@@ -132,8 +172,41 @@ def archive_positions(spark: SparkSession, path: str, since: datetime) -> DataFr
     return rows.drop("date").dropDuplicates(["mmsi", "ts"])
 
 
-def archive_static(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).dropDuplicates(["mmsi", "name", "imo", "callsign", "destination"])
+def newest_files(spark: SparkSession, path: str, most: int) -> list[str]:
+    """Paths of the ``most`` newest Parquet files of a folder by name, which begins with their time; only names are read."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path).select("path")
+    return sorted(r.path for r in files.orderBy(F.col("path").desc()).limit(most).collect())
+
+
+#: Files of vessel data that a run reads, the newest ones.
+STATIC_FILES = 200
+
+
+def archive_static(spark: SparkSession, path: str, most: int = STATIC_FILES) -> DataFrame:
+    """Distinct vessel data of the newest files; the others are not opened.  A folder without files has no rows."""
+    newest = newest_files(spark, path, most)
+    rows = spark.read.schema(STATIC).parquet(*newest) if newest else empty(spark, STATIC)
+    return rows.dropDuplicates(["mmsi", "name", "imo", "callsign", "destination"])
+
+
+_ALERTS = "data array<struct<time:string,datasource:string,level:string>>"
+#: Hours that an alert stands for, and kilometres around nowhere in particular that it may bear on.
+ALERT_HOURS, ALERT_KM = 6, 400.0
+
+
+def outage_alerts(spark: SparkSession, path: str, country: str, label: str = "", url: str = "") -> DataFrame:
+    """Landed connectivity alerts of a country as faults without a place: weak evidence for any cable.
+
+    Alerts without a readable time are left out.
+    """
+    a = spark.read.schema(_ALERTS).json(path, multiLine=True).select(F.explode("data").alias("a")).select("a.*")
+    a = a.withColumn("start", F.timestamp_seconds(F.col("time").try_cast("long"))).where("start IS NOT NULL")
+    text = lambda c: F.coalesce(c, F.lit(""))
+    return a.select(
+        F.concat_ws(":", F.lit("outage"), F.lit(country), "time", text("datasource")).alias("fault_id"), "start", (F.col("start") + F.expr(f"INTERVAL {ALERT_HOURS} HOURS")).alias("end"), F.lit("passive_outage").alias("kind"),
+        F.lit(f"{country}: connectivity of the country").alias("asset"), F.concat(F.lit("alert of "), text("datasource"), F.lit(", level "), text("level")).alias("detail"),
+        F.lit(label).alias("source_label"), F.lit(url).alias("source_url"), F.lit(None).cast("double").alias("lat"), F.lit(None).cast("double").alias("lon"), F.lit(ALERT_KM).alias("radius_km"),
+    )
 
 
 def first_values(static: DataFrame, order: str) -> DataFrame:

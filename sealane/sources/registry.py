@@ -45,8 +45,9 @@ def _daily(spark: SparkSession, path: str, start: datetime | None, end: datetime
 
 SNAPSHOT = Source("snapshot", _snapshot, lambda spark, path, start, end, bbox: readers.snapshot_static(spark, f"{path}/vessels"))
 STREAM = Source("stream", _stream, lambda spark, path, start, end, bbox: readers.stream_static(readers.messages(feed.read_feed(spark, path, start, end))))
+ZIPPED = Source("zipped", lambda spark, path, start, end, bbox: readers.daily_positions(readers.zipped_daily_rows(spark, path, bbox), start, end), lambda spark, path, start, end, bbox: readers.daily_static(readers.zipped_daily_rows(spark, path, bbox)))
 DAILY = Source("daily", _daily, lambda spark, path, start, end, bbox: readers.daily_static(readers.daily_rows(spark, path, bbox)))
-SOURCES = {s.name: s for s in (SNAPSHOT, STREAM, DAILY)}
+SOURCES = {s.name: s for s in (SNAPSHOT, STREAM, DAILY, ZIPPED)}
 
 
 def chosen(names: Iterable[str], known: dict[str, Source] | None = None) -> list[Source]:
