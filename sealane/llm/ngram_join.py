@@ -405,14 +405,16 @@ def across(index: DataFrame, roots: DataFrame, shelf: Shelf, percent: int = PERC
     task compares more than BLOCK sets of a key with the others.
     """
     v = F.struct("node", "n")
-    placed = index.select(v.alias("v"), "first", "keys").join(roots.select(F.col("node").alias("v"), "root"), "v", "left")
-    placed = placed.select("v", "first", F.explode("keys").alias("key"), F.coalesce("root", "v").alias("root"))
-    split = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size")).where("low != high")
+    placed = index.select(v.alias("v"), "first", "keys", "signature").join(roots.select(F.col("node").alias("v"), "root"), "v", "left").withColumn("root", F.coalesce("root", "v"))
+    # A key of one component alone needs no look.  What goes by key is thin: of most keys nothing is left.
+    at = placed.select(F.explode("keys").alias("key"), F.col("root.node").alias("r"), F.col("root.n").alias("m"))
+    ends = [f(c).alias(f"{name}_{c}") for c in ("r", "m") for name, f in (("low", F.min), ("high", F.max))]
+    split = at.groupBy("key").agg(*ends, F.count("*").alias("size")).where("low_r != high_r OR low_m != high_m")
     split = shelf.put("split", split.select("key", "size"))
-    # One row of ``split`` a key: where a key is hot, AQE splits the rows that meet it.  Signatures
-    # are long and most keys are not split, so they come to the rows that are left.
-    rows = shelf.put("met", placed.join(split, "key").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")))
-    rows = rows.join(index.select(v.alias("v"), "signature"), "v")
+    # One row of ``split`` a key: where a key is hot, AQE splits the rows that meet it.
+    met = index.select("node", "n", F.explode("keys").alias("key")).join(split, "key")
+    met = shelf.put("met", met.select(v.alias("v"), "key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")))
+    rows = met.join(placed.select("v", "first", "root", "signature"), "v")
     side = lambda x: [F.col("v").alias(x), F.col("first").alias(f"first_{x}"), F.col("root").alias(f"root_{x}"), F.col("signature").alias(f"signature_{x}")]
     a = rows.select("key", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int").alias("block"), *side("a"))
     b = rows.select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), *side("b"))
