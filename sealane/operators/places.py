@@ -40,7 +40,7 @@ def seeded_near(points: DataFrame, seeds: DataFrame, key: list[str]) -> DataFram
     """(key, label): the nearest seed point whose radius holds the point; seeds(lat, lon, radius_m, label)."""
     reach = float(seeds.agg(F.max("radius_m")).first()[0] or 1.0)
     boxes = seeds.select(F.monotonically_increasing_id().alias("route_idx"), *[F.col(c).alias(f"{c}{k}") for k in (1, 2) for c in ("lat", "lon")], F.col("radius_m"), F.col("label"))
-    near = cells_near(boxes, reach).withColumnRenamed("cell_row", "_r").withColumnRenamed("cell_col", "_c")
+    near = cells_near(boxes, reach).drop("route_idx").withColumnRenamed("cell_row", "_r").withColumnRenamed("cell_col", "_c")
     placed = cells_of_points(points.select(*key, "lat", "lon"), reach)
     pairs = placed.join(near, (placed["cell_row"] == near["_r"]) & (placed["cell_col"] == near["_c"]))
     pairs = pairs.withColumn("_m", haversine_m(F.col("lat"), F.col("lon"), F.col("lat1"), F.col("lon1"))).where("_m <= radius_m")
