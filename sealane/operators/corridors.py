@@ -103,14 +103,20 @@ def nearest_route(points: DataFrame, routes: DataFrame, key: list[str], first_re
     farther; the others go on to a ring four times as wide.  What is left after the widest ring
     (points over 3,200 km from any route) looks at every route's vertices.
     """
-    found, left, reach = None, points.select(*key, "lat", "lon"), first_reach_m
+    found, reach = None, first_reach_m
+    left = points.select(*key, "lat", "lon").persist()
     while reach <= WIDEST_M and not left.isEmpty():
-        hit = vertices_within(left, routes, reach, key).groupBy(*key).agg(F.min_by("route_idx", F.struct("vertex_m", "route_idx")).alias("route_idx"), F.min("vertex_m").alias("nearest_m"))
+        # Kept, so that the next ring starts from what this one has left and not from the points again.
+        hit = vertices_within(left, routes, reach, key).groupBy(*key).agg(F.min_by("route_idx", F.struct("vertex_m", "route_idx")).alias("route_idx"), F.min("vertex_m").alias("nearest_m")).persist()
         found = hit if found is None else found.unionByName(hit)
-        left, reach = left.join(hit.select(*key), key, "left_anti"), reach * 4
+        rest = left.join(hit.select(*key), key, "left_anti").persist()
+        rest.count()
+        left.unpersist()
+        left, reach = rest, reach * 4
     if not left.isEmpty():
         far = nearest_of_all(left, routes, key)
-        found = far if found is None else found.unionByName(far)
+        return far if found is None else found.unionByName(far)
+    left.unpersist()
     if found is None:
         return left.select(*key, F.lit(None).cast("long").alias("route_idx"), F.lit(None).cast("double").alias("nearest_m"))
     return found

@@ -56,7 +56,7 @@ def dossiers(static: DataFrame, places: DataFrame | None = None, mids: DataFrame
 
 def vessel_layer(positions: DataFrame, routes: DataFrame, reach_m: float = CORRIDOR_M) -> DataFrame:
     """Latest fix of each vessel with the nearest route and the routes whose corridor it is in."""
-    latest = latest_positions(positions)
+    latest = latest_positions(positions).persist()
     named = routes.select("route_idx", "name", "positional_class")
     hits = corridor_join(latest, routes, reach_m, ["mmsi"]).join(small(named), "route_idx")
     inside = hits.groupBy("mmsi").agg(F.array_sort(F.collect_set("name")).alias("cables"), F.array_sort(F.collect_set("positional_class")).alias("cable_positional_class"))
