@@ -19,22 +19,47 @@ NEAR_PERCENT, NEAR_SHINGLE = 80, 5
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows whose text scores 0.5 or more for toxicity go, each judged by itself.
+
+    Null ids and repeated ids are judged by their own text; a null or empty text is scored like any
+    other.  Texts of any length are scored whole.  An empty table, or one without labels, loses nothing.
+    """
     return toxicity.without_toxic(docs, labels(spark, sf_dir))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of texts that are equal up to white space the row with the smallest doc_id stays, null ids last.
+
+    Null texts count as empty and are copies of each other.  Of repeated rows with one id one stays.
+    Texts of any length and other columns, whatever their names, pass unchanged.
+    """
     return exact_dedup.drop_copies(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by a Jaccard index of 80 % or more on five-word shingles the smallest doc_id stays, null ids last.
+
+    Links chain.  Rows without words are in no group and stay; rows of one id are each judged by
+    their own text.  An empty table stays empty.
+    """
     return ngram_join.one_of_each(docs, NEAR_PERCENT, NEAR_SHINGLE)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Copies of each source's documents in proportion to its weight; a document may come twice or not at all.
+
+    A null source is a source, the last one; null texts have no size.  Rows of one id are told apart
+    by a hash of source and text.  An empty table stays empty.
+    """
     return mixing.mixed_documents(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of at most 1,024 tokens; only longer documents are cut.
+
+    A null text is empty and is its end token alone.  The last stage: it returns pieces and not the
+    columns of documents.  An empty table gives none.
+    """
     return packing.pack(docs, packing.tokenizer_path())
 
 
