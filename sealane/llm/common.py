@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import itertools
 import tempfile
 import uuid
@@ -59,14 +60,20 @@ class Shelf:
         self.puts += 1
         path = f"{self.folder}/{name.replace(' ', '-')}-{self.puts}"
         df.write.parquet(path)
+        self.collect()
         self.paths.setdefault(name, []).append(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
-        """Delete tables; Spark's cleaner then removes finished jobs' shuffle files, which it does after a collection of the driver's memory only."""
+        """Delete tables."""
         for name in names:
             for path in self.paths.pop(name, []):
                 delete(self.spark, path)
+        self.collect()
+
+    def collect(self) -> None:
+        """Let Spark's cleaner remove the shuffle files of jobs that are done, which it does after a collection of the driver's memory only."""
+        gc.collect()
         self.spark._jvm.System.gc()
 
 
