@@ -10,7 +10,7 @@ from pyspark.sql.datasource import EqualTo, GreaterThan, In, LessThanOrEqual
 
 from sealane.__main__ import main
 from sealane.functions.geo import densify
-from sealane.operators import payloads, places
+from sealane.operators import grading, payloads, places
 from sealane.plans import adapter, engine, incremental, publish, scratch
 from sealane.plans.live_catalogue import messages
 from sealane.sources import feed, readers, registry, routes
@@ -257,3 +257,22 @@ def test_steps_leave_nothing_behind(spark, tracks):
     paths = list(found.steps.paths)
     found.release()
     assert not any(scratch.children(spark, p) for p in paths)
+
+
+def test_external_events_become_detections(spark, tmp_path):
+    event = lambda k, kind, lon, **more: {"id": f"e{k}", "start": "2024-01-01T00:00:00.000Z", "end": None, "position": {"lat": 59.8, "lon": lon}, "vessel": {"ssvid": "230000001234"}, **more}
+    (tmp_path / "gap.json").write_text(json.dumps({"entries": [event(1, "GAP", 24.801, gap={"durationHours": 12}), event(2, "GAP", 25.9), {"id": "e3", "start": "2024-01-01T00:00:00Z"}]}))
+    (tmp_path / "enc.json").write_text(json.dumps({"entries": [event(4, "ENCOUNTER", 24.79, durationHours=0)]}))
+    rows = readers.external_events(spark, str(tmp_path / "gap.json"), "GAP").unionByName(readers.external_events(spark, str(tmp_path / "enc.json"), "ENCOUNTER"))
+    found = {r.kind: r for r in grading.external_detections(rows, adapter.meridian(spark), 3000.0).collect()}
+    assert {k: (r.mmsi, r.cable_id, r.score, r.duration_s, r.confidence) for k, r in found.items()} == {"gfw_ais_off": (230000001, "t1", 0.5, 43_200.0, "LOW"), "gfw_encounter": (230000001, "t1", 0.3, 0.0, "LOW")}
+    assert found["gfw_ais_off"].end_ts == found["gfw_ais_off"].start_ts and found["gfw_ais_off"].distance_to_route_m < 9_000
+
+
+def test_first_values_and_state_export(spark):
+    rows = spark.createDataFrame([(1, " ", None, 0), (1, "nan", "9", 1), (1, "SHIP", "8", 2), (2, None, None, 0)], "mmsi long, name string, imo string, _seq int")
+    rows = rows.select("*", *[F.lit(None).cast("string").alias(c) for c in ("ship_type", "destination", "callsign")])
+    assert {r.mmsi: (r.name, r.imo) for r in readers.first_values(rows, "_seq").collect()} == {1: ("SHIP", "9"), 2: (None, None)}
+    cells = spark.range(100).select(F.lit(1).cast("long").alias("cell_y"), F.lit(-2).cast("long").alias("cell_x"), F.col("id").alias("mmsi"))
+    (row,) = places.exported(cells).collect()
+    assert row.cell == "1:-2" and row.vessels == list(range(40))
