@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import itertools
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -13,7 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-from sealane.llm.common import Shelf, components, documents, lookup
+from sealane.llm.common import Shelf, components, documents, lookup, tidy
 from sealane.llm.words import U, chunks, lowered, mix, ngrams, words
 
 #: Words of a shingle.
@@ -46,6 +48,11 @@ STAR_KEYS, CENTRES = 12, 4
 WORD_PLACES = 1 << 14
 #: Sets of one key that one task compares with each other.
 BLOCK = 1_000
+#: Smallest keys by which a pair that meets at many keys is known to have met before.
+SKETCH = 8
+#: Pairs are compared and checked in so many parts one after the other (checked ones: times itself), so
+#: that shuffles of signatures and whole sets never lie on disk all at once.
+PARTS = 2
 
 
 def shingle_sets(batch: pa.RecordBatch, size: int = SHINGLE, rarity: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray | None]]:
@@ -114,6 +121,7 @@ def members_and_counts(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
         often = count > 1
         return rows(int(often.sum()), shingle=_signed(key[often]), times=count[often])
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets, held, total = [], 0, np.zeros(WORD_PLACES, np.int64)
         for batch in batches:
@@ -193,6 +201,7 @@ def prefixes(docs: DataFrame, order, percent: int = PERCENT, size: int = SHINGLE
     are dealt over many places: what they are is known already.
     """
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, seen = order.value, set()
         for batch in batches:
@@ -259,6 +268,7 @@ def sets_of(docs: DataFrame, order, percent: int = PERCENT, size: int = SHINGLE)
     differences of their ``counts``, which shorter sets have not (null).
     """
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common = order.value
         for batch in batches:
@@ -345,10 +355,21 @@ def _attach(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
     return pairs.join(one, "b").join(two, "a")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(a, b) of those pairs whose whole sets link."""
+def _part_of(column: Column) -> Column:
+    return F.pmod(F.xxhash64(column), F.lit(PARTS))
+
+
+def verified(pairs: DataFrame, sets: DataFrame, shelf: Shelf, percent: int = PERCENT) -> DataFrame:
+    """(a, b) of those pairs whose whole sets link, part by part on the shelf as ``links``."""
     shared = F.size(F.array_intersect("shingles_a", "shingles_b"))
-    return _attach(pairs, sets, "shingles").where(shared * (100 + percent) >= percent * (F.col("a.n") + F.col("b.n"))).select("a", "b")
+    table = sets.select(F.struct("node", "n").alias("v"), "shingles")
+    ends = {(x, k): table.where(_part_of(F.col("v")) == k).select(F.col("v").alias(x), F.col("shingles").alias(f"shingles_{x}")) for x in "ab" for k in range(PARTS)}
+    found = []
+    for k, m in itertools.product(range(PARTS), repeat=2):
+        part = pairs.where((_part_of(F.col("a")) == k) & (_part_of(F.col("b")) == m))
+        both = part.join(ends["b", m], "b").join(ends["a", k], "a")
+        found.append(shelf.put("links", both.where(shared * (100 + percent) >= percent * (F.col("a.n") + F.col("b.n"))).select("a", "b")))
+    return functools.reduce(DataFrame.unionByName, found)
 
 
 def links(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> tuple[DataFrame, DataFrame, Shelf]:
@@ -374,12 +395,12 @@ def links(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> tuple
     shelf.drop("tokens", "owners")
 
     stars = shelf.put("stars", to_centres(index, shelf, percent))
-    found = shelf.put("links", verified(stars, sets, percent))
+    found = verified(stars, sets, shelf, percent)
     roots = components(found, shelf)
     rest = shelf.put("rest", across(index, roots, shelf, percent).join(stars, ["a", "b"], "left_anti"))
     if not rest.isEmpty():
-        roots = components(found.unionByName(shelf.put("links", verified(rest, sets, percent))), shelf)
-    shelf.drop("sets", "index", "centres", "stars", "links", "rest", "split", "met")
+        roots = components(found.unionByName(verified(rest, sets, shelf, percent)), shelf)
+    shelf.drop("sets", "index", "centres", "stars", "links", "open", "rest", "split", "met")
     return members, roots, shelf
 
 
@@ -402,10 +423,12 @@ def across(index: DataFrame, roots: DataFrame, shelf: Shelf, percent: int = PERC
     """(a, b) of sets that share a key, are in different components and may link.
 
     The sets of a key with many are dealt into blocks of about BLOCK, each of which meets all, so no
-    task compares more than BLOCK sets of a key with the others.
+    task compares more than BLOCK sets of a key with the others.  Sets that are alike but not enough
+    share hundreds of keys; a pair that shares one of its SKETCH smallest keys is taken at the
+    smallest such key alone.  That key is held by two components, so the pair does meet there.
     """
     v = F.struct("node", "n")
-    placed = index.select(v.alias("v"), "first", "keys", "signature").join(roots.select(F.col("node").alias("v"), "root"), "v", "left").withColumn("root", F.coalesce("root", "v"))
+    placed = index.select(v.alias("v"), "first", "keys", "signature", F.slice(F.array_sort("keys"), 1, SKETCH).alias("sketch")).join(roots.select(F.col("node").alias("v"), "root"), "v", "left").withColumn("root", F.coalesce("root", "v"))
     # A key of one component alone needs no look.  What goes by key is thin: of most keys nothing is left.
     at = placed.select(F.explode("keys").alias("key"), F.col("root.node").alias("r"), F.col("root.n").alias("m"))
     ends = [f(c).alias(f"{name}_{c}") for c in ("r", "m") for name, f in (("low", F.min), ("high", F.max))]
@@ -414,12 +437,20 @@ def across(index: DataFrame, roots: DataFrame, shelf: Shelf, percent: int = PERC
     # One row of ``split`` a key: where a key is hot, AQE splits the rows that meet it.
     met = index.select("node", "n", F.explode("keys").alias("key")).join(split, "key")
     met = shelf.put("met", met.select(v.alias("v"), "key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")))
-    rows = met.join(placed.select("v", "first", "root", "signature"), "v")
-    side = lambda x: [F.col("v").alias(x), F.col("first").alias(f"first_{x}"), F.col("root").alias(f"root_{x}"), F.col("signature").alias(f"signature_{x}")]
+    placed = placed.select("v", "first", "root", "signature", "sketch")
+    found = [shelf.put("open", meetings(met.where(_part_of(F.col("key")) == k), placed, percent).distinct()) for k in range(PARTS)]
+    return functools.reduce(DataFrame.unionByName, found).distinct()
+
+
+def meetings(met: DataFrame, placed: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(a, b) of sets of different components that meet at a key of ``met`` and may link."""
+    side = lambda x: [F.col("v").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("first", "root", "signature", "sketch")]]
+    open_pair = (F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & _may_link(percent) & _signatures_allow(percent)
+    open_pair &= F.coalesce(F.array_min(F.array_intersect("sketch_a", "sketch_b")) >= F.col("key"), F.lit(True))
+    rows = met.join(placed, "v")
     a = rows.select("key", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int").alias("block"), *side("a"))
     b = rows.select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), *side("b"))
-    open_pair = (F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & _may_link(percent) & _signatures_allow(percent)
-    return a.join(b, ["key", "block"]).where(open_pair).select("a", "b").distinct()
+    return a.join(b, ["key", "block"]).where(open_pair).select("a", "b")
 
 
 def similar_components(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
@@ -456,6 +487,7 @@ def one_of_each(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) ->
     judged = shelf.put("judged", judged.select("node", "n", "size", F.struct("stays", "keep_id", "copies").alias("judged")))
     n_judged, n_repeated = judged.agg(F.count("*"), F.count_if(F.col("judged.stays") & (F.col("judged.copies") > 1))).first()
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             row = batch.column(0)

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sealane.llm.common import documents, durable, labels
+from sealane.llm.common import documents, durable, labels, tidy
 from sealane.llm.words import Chunk, Words, chunks, words
 
 #: The model is fitted on so many labelled texts at most, each read whole.
@@ -394,6 +394,7 @@ def without_toxic(docs: DataFrame, marks: DataFrame) -> DataFrame:
     """``docs`` without the rows that :func:`toxicity` predicts to be toxic, each judged by its own text."""
     scores, text = scorer(docs, marks), docs.columns.index("text")
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, found in scores(batches, text):
             yield batch.filter(pa.array(found < LEAST_TOXIC))

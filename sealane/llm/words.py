@@ -9,8 +9,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Texts are taken together up to so many bytes; a longer text is taken alone and whole.
-CHUNK = 1 << 20
+#: Texts are taken together up to so many bytes; a longer text is taken alone and whole.  A task holds
+#: about a hundred bytes for each.
+CHUNK = 1 << 18
 
 U = np.uint64
 _BASE, _STEP = U(0x9E3779B97F4A7C15), U(0xD1342543DE82EF95)
