@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sealane.llm.common import documents
+from sealane.llm.common import documents, durable
 from sealane.llm.spans import N_CODES, PAD, Adam, Span, codes, digest, joined
 
 # The base patterns.
@@ -27,8 +27,12 @@ CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{12,}")
 INSIDE, BEFORE, AFTER = 40, 24, 12
 WIDTH, FILTERS = 5, 32
 N_INPUTS = 2 * N_CODES  # a code inside the candidate is another input than outside
-#: Texts whose findings are labelled by the base patterns for training, and candidates of each.
-SAMPLE_TEXTS, SAMPLE_EACH = 3_000, 20
+#: Distinct windows that one task trains on, rounds of such training, and steps of a round at least.
+SHARD, ROUNDS, LEAST_STEPS = 50_000, 3, 150
+#: Rows of a step from the table, and made ones beside them.
+STEP_OWN, STEP_MADE = 96, 32
+#: Parts of a whole in which weights are summed, and in which scores are counted for the threshold.
+FINE, SCORE_STEPS = 1 << 30, 1_000
 N_MADE = 1_500
 LEAST_RECALL = 0.98
 SEED = 11
@@ -84,6 +88,16 @@ def _forward(w: dict[str, np.ndarray], x: np.ndarray):
     return pooled @ w["dense"] + w["last"][0], pooled, at
 
 
+def _gradient(w: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
+    z, pooled, at = _forward(w, x)
+    error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * weight
+    inner = np.outer(error, w["dense"]) * (pooled > 0)
+    conv = np.zeros_like(w["conv"])
+    for k in range(WIDTH):
+        np.add.at(conv[k], (np.take_along_axis(x, at + k, 1), np.arange(FILTERS)[None]), inner)
+    return {"conv": conv + 1e-5 * w["conv"], "bias": inner.sum(0), "dense": pooled.T @ error + 1e-4 * w["dense"], "last": np.asarray([error.sum()])}
+
+
 def train(x: np.ndarray, y: np.ndarray, steps: int = 500, seed: int = SEED) -> Network:
     """Fit on four fifths; calibrate and set the threshold on the rest.
 
@@ -99,13 +113,7 @@ def train(x: np.ndarray, y: np.ndarray, steps: int = 500, seed: int = SEED) -> N
     groups = [used[y[used]], used[~y[used]]]
     for _ in range(steps):
         pick = np.concatenate([rng.choice(g, 64) for g in groups])
-        z, pooled, at = _forward(w, x[pick])
-        error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[pick]) / len(pick)
-        inner = np.outer(error, w["dense"]) * (pooled > 0)
-        conv = np.zeros_like(w["conv"])
-        for k in range(WIDTH):
-            np.add.at(conv[k], (np.take_along_axis(x[pick], at + k, 1), np.arange(FILTERS)[None]), inner)
-        adam.step({"conv": conv + 1e-5 * w["conv"], "bias": inner.sum(0), "dense": pooled.T @ error + 1e-4 * w["dense"], "last": np.asarray([error.sum()])})
+        adam.step(_gradient(w, x[pick], y[pick], np.full(len(pick), 1 / len(pick))))
     z = _forward(w, x[held])[0]
     slope, offset = _calibrate(z, y[held])
     p = 1 / (1 + np.exp(-np.clip(slope * z + offset, -30, 30)))
@@ -114,14 +122,16 @@ def train(x: np.ndarray, y: np.ndarray, steps: int = 500, seed: int = SEED) -> N
     return Network(w, slope, offset, threshold)
 
 
-def _calibrate(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+def _calibrate(z: np.ndarray, y: np.ndarray, times: np.ndarray | None = None) -> tuple[float, float]:
     """Platt scaling: logistic regression of the label on the network's output."""
     a, b = 1.0, 0.0
-    target = np.where(y, (y.sum() + 1) / (y.sum() + 2), 1 / ((~y).sum() + 2))
+    times = np.ones(len(y)) if times is None else times
+    yes, no, share = times[y].sum(), times[~y].sum(), times / max(times.sum(), 1)
+    target = np.where(y, (yes + 1) / (yes + 2), 1 / (no + 2))
     for _ in range(200):
         p = 1 / (1 + np.exp(-np.clip(a * z + b, -30, 30)))
-        a -= 0.05 * ((p - target) * z).mean()
-        b -= 0.05 * (p - target).mean()
+        a -= 0.05 * ((p - target) * z * share).sum()
+        b -= 0.05 * ((p - target) * share).sum()
     return float(a), float(b)
 
 
@@ -150,29 +160,95 @@ def made_findings(n: int = N_MADE, seed: int = SEED) -> tuple[np.ndarray, np.nda
     return np.concatenate(rows), np.asarray(labels)
 
 
-def labelled_findings(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Candidates of a bounded sample of texts, labelled by whether a base span covers them."""
-    some = docs.where("doc_id IS NOT NULL").select("doc_id").orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id").limit(SAMPLE_TEXTS)
-    size = BEFORE + INSIDE + AFTER
+def labelled_findings(docs: DataFrame) -> DataFrame:
+    """(x, y): every window of every candidate of every text, and whether a base span touches the candidate."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, labels = [], []
-            for text in batch.column(0).to_pylist():
-                base = base_spans(text or "")
-                for a, b in candidates(text or "")[:SAMPLE_EACH]:
-                    rows.append(windows(text, a, min(b, a + INSIDE))[0].tobytes())
-                    labels.append(any(s.start < b and a < s.end for s in base))
+            for text in batch.column(0):
+                text = text.as_py() or ""
+                base = base_spans(text)
+                for a, b in candidates(text):
+                    found = windows(text, a, b).astype(np.uint8)
+                    rows += [x.tobytes() for x in found]
+                    labels += [any(s.start < b and a < s.end for s in base)] * len(found)
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), pa.array(labels, pa.bool_())], names=["x", "y"])
 
-    found = docs.select("doc_id", "text").join(F.broadcast(some.distinct()), "doc_id", "left_semi").select("text").mapInArrow(run, "x binary, y boolean").collect()
-    found = sorted((bytes(r[0]), r[1]) for r in found)
-    return np.asarray([np.frombuffer(x, np.int16) for x, _ in found], np.int16).reshape(-1, size), np.asarray([y for _, y in found], bool)
+    return docs.select("text").mapInArrow(run, "x binary, y boolean")
+
+
+def _inputs(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, BEFORE + INSIDE + AFTER).astype(np.int16)
 
 
 def fit(docs: DataFrame) -> Network:
-    made, own = made_findings(), labelled_findings(docs)
-    return train(np.concatenate([made[0], own[0]]), np.concatenate([made[1], own[1]]))
+    """A network fitted on made examples and on all windows of all texts, but for a fifth that is held out.
+
+    It starts from made examples.  In each round tasks go through all distinct windows of their shards
+    from the same weights, with made examples beside them and both labels weighing alike, and the mean of
+    the shards' weights by rows is the next round's start (iterative parameter mixing).  Calibration and
+    threshold come from the scores of all held-out windows, as often as they occur, and of made ones.
+    Spark sums the weights, in whole numbers, and counts the scores: what the driver gets does not grow
+    with the table.
+    """
+    made, context = made_findings(), docs.sparkSession.sparkContext
+    network = train(*made)
+    rows = durable(labelled_findings(docs).groupBy("x", "y").agg(F.count("*").alias("times")))
+    held = F.pmod(F.xxhash64("x", F.lit(SEED)), F.lit(5)) == 0
+    sizes = {r.y: r.n for r in rows.where(~held).groupBy("y").agg(F.count("*").alias("n")).collect()}
+    n = sum(sizes.values())
+    if not rows.head(1):
+        return network
+    shards = max(1, n // SHARD)
+    names = ["conv", "bias", "dense", "last"]
+    w = {k: network.weights[k] for k in names}
+    alike = {k: n / (2 * sizes[k]) for k in sizes} if len(sizes) == 2 else {}
+
+    def trained(start, seed: int):
+        def run(table: pa.Table) -> pa.Table:
+            order = np.lexsort((table.column("y").to_numpy(), table.column("x").to_numpy()))
+            x, y, rng = _inputs(table.column("x"))[order], table.column("y").to_numpy()[order], np.random.default_rng(seed)
+            own = {k: v.copy() for k, v in start.value.items()}
+            adam, (made_x, made_y) = Adam(own, 0.003), made
+            at = np.concatenate([rng.permutation(len(y)) for _ in range(-(-LEAST_STEPS * STEP_OWN // len(y)))])
+            for a in range(0, len(at), STEP_OWN):
+                one, two = at[a : a + STEP_OWN], rng.integers(0, len(made_y), STEP_MADE)
+                labels = np.concatenate([y[one], made_y[two]])
+                weight = np.concatenate([[alike.get(v, 1.0) for v in y[one].tolist()], np.ones(len(two))]) / len(labels)
+                adam.step(_gradient(own, np.concatenate([x[one], made_x[two]]), labels, weight))
+            flat = np.concatenate([own[k].ravel() for k in names])
+            return pa.table({"k": np.arange(len(flat)), "w": np.round(flat * len(y) * FINE).astype(np.int64)})
+
+        return run
+
+    for r in range(ROUNDS if n else 0):
+        shard = F.pmod(F.xxhash64("x", F.lit(SEED + 1)), F.lit(shards)).alias("shard")
+        parts = rows.where(~held).select(shard, "x", "y").groupBy("shard").applyInArrow(trained(context.broadcast(w), SEED + r), "k long, w long")
+        flat = np.asarray([s for _, s in sorted(parts.groupBy("k").agg(F.sum("w")).collect())], float) / (n * FINE)
+        ends = np.cumsum([w[k].size for k in names])
+        w = {k: flat[end - w[k].size : end].reshape(w[k].shape) for k, end in zip(names, ends, strict=True)}
+
+    final = context.broadcast(w)
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(_steps(final.value, _inputs(batch.column(0)))), batch.column(1), batch.column(2)], names=["z", "y", "times"])
+
+    seen = rows.where(held).mapInArrow(scored, "z long, y boolean, times long").groupBy("z", "y").agg(F.sum("times")).collect()
+    made_x, made_y = made_findings(seed=SEED + 1)
+    seen = sorted([*map(tuple, seen), *zip(_steps(w, made_x).tolist(), made_y.tolist(), [1] * len(made_y), strict=True)])
+    z, y, times = np.asarray([s[0] for s in seen]) / SCORE_STEPS, np.asarray([s[1] for s in seen], bool), np.asarray([s[2] for s in seen], float)
+    slope, offset = _calibrate(z, y, times)
+    found = np.cumsum(times[y][::-1])  # from the highest score down
+    lowest = z[y][::-1][np.searchsorted(found, LEAST_RECALL * found[-1])]
+    return Network(w, slope, offset, float(1 / (1 + np.exp(-np.clip(slope * lowest + offset, -30, 30)))))
+
+
+def _steps(w: dict[str, np.ndarray], x: np.ndarray) -> np.ndarray:
+    """The network's outputs, rounded down to whole SCORE_STEPS parts."""
+    z = np.concatenate([np.empty(0), *(_forward(w, x[i : i + 512])[0] for i in range(0, len(x), 512))])
+    return np.floor(np.clip(z, -30, 30) * SCORE_STEPS).astype(np.int64)
 
 
 SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
@@ -183,7 +259,7 @@ def secret_scan(docs: DataFrame, network: Network | None = None) -> DataFrame:
 
     Base spans come from every whole text.  Every candidate that no base span touches goes through
     the network, and those over its threshold are spans of kind ``cnn``.  The network is fitted on
-    at most SAMPLE_TEXTS texts and on made examples.  A null or empty text has no spans (empty
+    all texts and on made examples (see :func:`fit`).  A null or empty text has no spans (empty
     strings).  Repeated rows get a row each; only doc_id and text are read; an empty table gives an
     empty result.
     """
