@@ -117,6 +117,18 @@ def test_state_equals_the_batch_answer(spark, tmp_path, tracks):
     assert {(r.cell_y, r.cell_x): r.vessels for r in state.learned(spark, str(tmp_path / "grown")).collect()} == want
 
 
+def test_state_learns_more_than_a_batch_of_a_feed(spark, tmp_path):
+    """Vessels that stop once each, in landings of several batches; a new query goes on after the last one."""
+    folder, seen = str(tmp_path / "feed"), []
+    stops = lambda low, high: spark.range(low, high, 1, 2).select(F.timestamp_seconds(int(T0.timestamp()) + F.col("id")).alias("ts"), (F.lit(230000000) + F.col("id")).alias("mmsi"), F.lit(59.85).alias("lat"), F.lit(24.8).alias("lon"), F.lit(0.1).alias("sog"), F.lit(90.0).alias("cog"), F.lit("Moored").alias("nav_status"))
+    for low, high in ((0, 400), (400, 700), (300, 700)):
+        feed.land(messages(stops(low, high)), folder, 70)
+        rows = readers.stream_positions(readers.messages(feed.stream_feed(spark, folder, 150)))
+        state.learn_all(rows, str(tmp_path / "grown"), str(tmp_path / "check"))
+        seen += [r.vessels for r in state.learned(spark, str(tmp_path / "grown")).collect()]
+    assert seen == [400, 700, 700]
+
+
 def test_incremental_steps_equal_a_full_run(spark, tmp_path, tracks):
     """As fixes come and the window moves on, the kept detections are those of a full run over the window."""
     line = adapter.meridian(spark)
