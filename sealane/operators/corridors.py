@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sealane.functions.geo import EARTH_M, haversine_m, point_segment_m
+from sealane.functions.geo import EARTH_M, haversine_m, nearest_share, point_segment_terms
 
 CORRIDOR_M = 3_000.0
 SURVEY_M = 15_000.0
@@ -67,15 +67,24 @@ def small(table: DataFrame) -> DataFrame:
     return F.broadcast(table) if table.count() <= BROADCAST_CELLS else table
 
 
+def with_distance(pairs: DataFrame) -> DataFrame:
+    """Adds dist_m from lat, lon to the segment lat1, lon1, lat2, lon2, as :func:`point_segment_m` has it, but each term once."""
+    terms = point_segment_terms(*map(F.col, ("lat", "lon", "lat1", "lon1", "lat2", "lon2")))
+    pairs = pairs.withColumns(dict(zip(("_x1", "_y1", "_x2", "_y2"), terms, strict=True)))
+    pairs = pairs.withColumns({"_dx": F.col("_x2") - F.col("_x1"), "_dy": F.col("_y2") - F.col("_y1")})
+    pairs = pairs.withColumn("_along", nearest_share(*map(F.col, ("_x1", "_y1", "_dx", "_dy"))))
+    return pairs.withColumn("dist_m", F.hypot(F.col("_x1") + F.col("_along") * F.col("_dx"), F.col("_y1") + F.col("_along") * F.col("_dy"))).drop("_x1", "_y1", "_x2", "_y2", "_dx", "_dy", "_along")
+
+
 def corridor_join(points: DataFrame, routes: DataFrame, reach_m: float, key: list[str], payload: list[str] | None = None) -> DataFrame:
     """(key, payload, route_idx, dist_m): every point less than ``reach_m`` from a route."""
     keep = [*key, *(payload or [])]
     placed = cells_of_points(points.select(*dict.fromkeys([*keep, "lat", "lon"])), reach_m)
     near = small(cells_near(segments(routes), reach_m).withColumnRenamed("cell_row", "_r").withColumnRenamed("cell_col", "_c"))
     pairs = placed.join(near, (placed["cell_row"] == near["_r"]) & (placed["cell_col"] == near["_c"]))
-    pairs = pairs.withColumn("dist_m", point_segment_m(*map(F.col, ("lat", "lon", "lat1", "lon1", "lat2", "lon2")))).where(F.col("dist_m") < reach_m)
     firsts = [F.first(c).alias(c) for c in payload or [] if c not in key]
-    return pairs.groupBy(*key, "route_idx").agg(F.min("dist_m").alias("dist_m"), *firsts)
+    # The reach is asked of the least distance: a filter of pairs would go into the join's condition, with each shared term written out again wherever it stands.
+    return with_distance(pairs).groupBy(*key, "route_idx").agg(F.min("dist_m").alias("dist_m"), *firsts).where(F.col("dist_m") < reach_m)
 
 
 def vertex_distance(pairs: DataFrame, routes: DataFrame, key: list[str]) -> DataFrame:

@@ -75,7 +75,9 @@ def step(kept: Kept, archive: str, fresh: DataFrame, since: datetime, routes: Da
     """Archive ``fresh`` fixes and bring the detections of the window from ``since`` on up to date.
 
     A step that runs twice archives its fixes twice, which the archive's reader drops, and writes
-    the same detections again.  ``before`` is where the last step's window began.
+    the same detections again.  ``before`` is where the last step's window began.  Spark drops what a
+    step's jobs have left (broadcasts, shuffles) as the driver's garbage is collected, so that is
+    done here and does not pile up from step to step.
     """
     fresh = fresh.persist()
     publish.archive(fresh, archive)
@@ -85,6 +87,7 @@ def step(kept: Kept, archive: str, fresh: DataFrame, since: datetime, routes: Da
         return redetect(kept, readers.archive_positions(fresh.sparkSession, archive, since), changed, routes, th)
     finally:
         fresh.unpersist()
+        scratch.collect(fresh.sparkSession)
 
 
 def current(kept: Kept, cells: DataFrame | None = None, seeds: DataFrame | None = None) -> DataFrame | None:

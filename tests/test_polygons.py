@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from sealane.functions import outline
 from sealane.functions.geo import densify, point_segment_m
 from sealane.operators import polygons
-from sealane.operators.corridors import segments
+from sealane.operators.corridors import corridor_join, segments
 
 WIDTH = 3000.0
 
@@ -54,6 +54,16 @@ def distances(points, routes):
     return {(r.id, r.route_idx): r.m for r in rows.where(F.col("m") < 4 * WIDTH).collect()}
 
 
+def test_corridor_join_writes_each_term_once(points, routes):
+    """The distance stands in the plan once, and not again with all its terms in the join's condition."""
+    long = routes.where(F.size("line") > 1)
+    out = corridor_join(points, long, WIDTH, ["id"])
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("HYPOT(") == 1
+    want = {pair: m for pair, m in distances(points, long).items() if m < WIDTH}
+    assert {(r.id, r.route_idx): r.dist_m for r in out.collect()} == want and len(want) > 1500
+
+
 @pytest.mark.parametrize("tolerance", [None, polygons.tolerance_deg(WIDTH)])
 def test_points_are_inside_exactly_when_nearer_than_the_width(points, routes, tolerance):
     rings = polygons.corridor_polygons(routes, WIDTH, tolerance).withColumnRenamed("route_idx", "polygon").cache()
